@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import held_out, map_rows, ngram_hashes, staged, table
 
-ORDERS = (3, 4, 5)
-MAX_ROWS, MIN_DOCS, MIN_Z = 10_000, 5, 6.0
+ORDERS = (3, 4, 5, 6, 8)
+MAX_ROWS, MIN_DOCS, MIN_Z = 20_000, 5, 6.0
 THRESHOLD = 0.3
 STEPS, RATE, PENALTY = 300, 0.1, 1e-3
 
