@@ -9,8 +9,9 @@ elite of its neighbour, and evolves on. An island ends early at a packing that
 the sum of lengths shows to be the best there is.
 
 The bins of a block that are not well filled are opened again, and their pieces
-go to the next level, with fewer blocks, until one block is left; so the loss
-at the edges of blocks doesn't grow with their number.
+go to the next level, with fewer blocks, until one block is left, or until more
+than half of a level's pieces would be opened again; so the loss at the edges of
+blocks doesn't grow with their number.
 
 Results for odd input: a null or empty text is one piece, the end id alone; a
 null id is kept; repeated rows are packed each for itself; an empty table gives
@@ -203,6 +204,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
             return reduce(DataFrame.unionByName, [*done, packed.drop("__fill")])
         packed = staged(packed, "packed")
         good = F.col("__fill") >= WELL_FILLED * capacity
+        if 2 * packed.where(~good).count() > n:  # lengths that fill no bin well: another level would do no better
+            return reduce(DataFrame.unionByName, [*done, packed.drop("__fill")])
         done.append(packed.where(good).drop("__fill"))
         items = packed.where(~good).drop("sequence_id", "offset", "__fill")
         level += 1
