@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that count as blank.
 BLANK = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
@@ -84,7 +85,7 @@ def winansi_encodable(x: Column) -> Column:
     return F.rlike(x, F.lit(f"^[\\t\\n\\r\\x20-\\x7E\\xA0-\\xFF{CP1252_EXTRA}]*$"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no function for it."""
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s), na_action="ignore")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ LIMITATIONS = (
 
 @dataclass
 class Audit:
-    """Relations of one audit. Each is lazy; persist folded if several are used."""
+    """Relations of one audit. Each is lazy; close() lets go of the fold."""
 
     pages: DataFrame
     cover_ratio: float = 0.6
@@ -48,7 +49,11 @@ class Audit:
     use_grid: bool = True
 
     def __post_init__(self):
-        self.folded = fold_pages(self.pages)
+        # Read by several joins of one audit: kept, and recomputed from the pages where an executor is lost.
+        self.folded = fold_pages(self.pages).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def close(self) -> None:
+        self.folded.unpersist()
 
     def records(self) -> DataFrame:
         """Text records with their number on the page; blank and empty ones left out."""

@@ -61,17 +61,17 @@ def audit_findings(t):
     return Audit(pages(t("documents"))).findings().select("doc_id", "page", "rec", "kind", "text", "char_from", "char_to")
 
 
-@query(f"""{FINDINGS_SQL}, per AS (SELECT doc_id, page, count(*) AS n FROM found GROUP BY ALL)
-SELECT l.doc_id, CAST(l.page AS INTEGER) AS page, count(*) FILTER (role IN (0, 5)) AS n_covers, count(*) AS n_records, coalesce(max(n), 0) AS n_findings,
-  CASE WHEN max(n) > 0 THEN 'text-found' ELSE 'no-findings' END AS verdict
+@query(f"""{FINDINGS_SQL}, per AS (SELECT doc_id, page, count(*) AS hits FROM found GROUP BY ALL)
+SELECT l.doc_id, CAST(l.page AS INTEGER) AS page, count(*) FILTER (role IN (0, 5)) AS n_covers, count(*) AS n_records, coalesce(max(hits), 0) AS n_findings,
+  CASE WHEN max(hits) > 0 THEN 'text-found' ELSE 'no-findings' END AS verdict
 FROM numbered_records l LEFT JOIN per USING (doc_id, page) GROUP BY l.doc_id, l.page""")
 def audit_page_verdicts(t):
     return Audit(pages(t("documents"))).page_verdicts().select("doc_id", "page", "n_covers", "n_records", "n_findings", "verdict")
 
 
-@query(f"""{FINDINGS_SQL}, per AS (SELECT doc_id, count(*) AS n FROM found GROUP BY ALL)
-SELECT l.doc_id, count(DISTINCT page) AS n_pages, count(DISTINCT page) AS pages_checked, CAST(coalesce(max(n), 0) AS BIGINT) AS n_findings, CAST(count(*) FILTER (role IN (0, 5)) AS BIGINT) AS n_covers,
-  CASE WHEN max(n) > 0 THEN 'text-found' ELSE 'no-findings' END AS verdict
+@query(f"""{FINDINGS_SQL}, per AS (SELECT doc_id, count(*) AS hits FROM found GROUP BY ALL)
+SELECT l.doc_id, count(DISTINCT page) AS n_pages, count(DISTINCT page) AS pages_checked, CAST(coalesce(max(hits), 0) AS BIGINT) AS n_findings, CAST(count(*) FILTER (role IN (0, 5)) AS BIGINT) AS n_covers,
+  CASE WHEN max(hits) > 0 THEN 'text-found' ELSE 'no-findings' END AS verdict
 FROM numbered_records l LEFT JOIN per USING (doc_id) GROUP BY l.doc_id""")
 def audit_document_verdicts(t):
     return Audit(pages(t("documents"))).document_verdicts()
@@ -107,9 +107,9 @@ SELECT r.doc_id, CAST(r.page AS INTEGER) AS page, CAST(least(max(total), 41) AS
 FROM running r LEFT JOIN found f ON f.doc_id = r.doc_id AND f.page = r.page AND f.rec = r.rec GROUP BY r.doc_id, r.page""")
 def audit_budget(t):
     """Pages under a budget of 40 tests: where it ends, and what was found before."""
-    return Audit(pages(t("documents")), budget=40).page_verdicts().where("comparisons > 0 OR n_findings > 0 OR n_records > 0").join(
-        Audit(pages(t("documents")), budget=40).records().select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"
-    ).select("doc_id", "page", "comparisons", "incomplete", "n_findings")
+    audit = Audit(pages(t("documents")), budget=40)
+    real = audit.records().select("doc_id", "page").distinct()
+    return audit.page_verdicts().join(real, ["doc_id", "page"], "left_semi").select("doc_id", "page", "comparisons", "incomplete", "n_findings")
 
 
 @query()

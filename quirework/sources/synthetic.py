@@ -8,8 +8,16 @@ annotation) and where follows from the document's id and the line's number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from quirework.operators.pagefold import PAGE
 
 LINE, LINES = 80, 50
 SIZE, LEFT, FIRST, STEP = 10, 72, 740, 14
@@ -18,71 +26,44 @@ WIDTH, HEIGHT = 612, 792
 ADVANCE = SIZE // 2
 
 
-def plain_text(text: Column) -> Column:
-    """Line breaks and other control characters as blanks, and what Latin-1 lacks as a question mark."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00-\\x1F\\x7F-\\x9F]", " "), "[^\\x00-\\xFF]", "?")
+CONTROL, BEYOND = re.compile("[\\x00-\\x1F\\x7F-\\x9F]"), re.compile("[^\\x00-\\xFF]")
 
 
-def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and lines: an array of (n, page, line, text, role, a, b). A text without characters has one empty line."""
-    text = plain_text(F.col(text_col))
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / LINE)).cast("int")
-    key = F.coalesce(F.col(id_col), F.lit(0)).cast("long")
+def line_code(text: str, role: int, a: int, b: int, y: int) -> str:
+    spelled = re.sub(r"([\\()])", r"\\\1", text)
+    shown = f"BT /F1 {SIZE} Tf {3 if role == 1 else 0} Tr 1 0 0 1 {LEFT} {y} Tm ({spelled}) Tj ET\n"
+    fill = f"0 g {LEFT + ADVANCE * a} {y - 2.2:.1f} {ADVANCE * (b - a)} {1.1 * SIZE:.1f} re f Q\n"
+    return {0: f"{shown}q {fill}", 2: f"/OC /Off BDC\n{shown}EMC\n", 4: f"{shown}q /Faint gs {fill}", 5: f"q {fill}{shown}"}.get(role, shown)
 
-    def line(i: Column) -> Column:
-        page, j = F.floor(i / LINES).cast("int"), (i % LINES).cast("int")
-        a = ((key + j) % 20).cast("int")
-        return F.struct(
-            i.cast("int").alias("n"), page.alias("page"), j.alias("line"), F.substring(F.col("__text"), (i * LINE + 1).cast("int"), F.lit(LINE)).alias("text"),
-            ((key * 31 + page * 17 + j * 7) % 7).cast("int").alias("role"), a.alias("a"), (a + 5 + ((page + j) % 30)).cast("int").alias("b"),
-        )
 
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), n.alias("__n")).select("doc_id", F.transform(F.sequence(F.lit(0), F.col("__n") - 1), line).alias("lines"))
+def page_rows(doc_id: int | None, text: str | None) -> Iterator[dict]:
+    """The pages of one text. Roles: 0 a fill over characters a to b, painted after them; 1 invisible; 2 in a layer that is off; 3 an annotation over characters a to b; 4 a fill that is too faint; 5 a fill painted before; 6 nothing."""
+    text, key = BEYOND.sub("?", CONTROL.sub(" ", text or "")), doc_id or 0
+    lines = [text[i : i + LINE] for i in range(0, len(text), LINE)] or [""]
+    for page, first in enumerate(range(0, len(lines), LINES)):
+        code, notes = [], []
+        for j, line in enumerate(lines[first : first + LINES]):
+            role, a = (key * 31 + page * 17 + j * 7) % 7, (key + j) % 20
+            b, y = a + 5 + (page + j) % 30, FIRST - STEP * j
+            code.append(line_code(line, role, a, b, y))
+            if role == 3:
+                top = HEIGHT - y - 0.88 * SIZE
+                notes.append({"subtype": "Square", "x": float(LEFT + ADVANCE * a), "top": top, "right": float(LEFT + ADVANCE * b), "bottom": top + 1.1 * SIZE})
+        yield {"doc_id": doc_id, "page": page, "box": {"x": 0.0, "y": 0.0, "w": float(WIDTH), "h": float(HEIGHT)}, "rotate": 0, "content": "".join(code).encode("latin-1"), "fonts": [("F1", {"subtype": "Type1", "base_font": "Helvetica"})],
+               "gs_alpha": [("Faint", 0.49)], "hidden_names": ["Off"], "images": [], "annots": notes}
 
 
 def pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A page relation, ready for the fold. Row by row, without a shuffle.
-
-    Roles: 0 a fill over characters a to b, painted after them; 1 invisible; 2 in
-    a layer that is off; 3 an annotation over characters a to b; 4 a fill that is
-    too faint; 5 a fill painted before; 6 nothing.
-    """
-    lines = laid_out(docs, id_col, text_col)
-    y = lambda x: F.lit(FIRST) - x["line"] * STEP
-
-    def code(x: Column) -> Column:
-        spelled = F.regexp_replace(x["text"], "([\\\\()])", "\\\\$1")
-        text = lambda mode: F.concat(F.lit(f"BT /F1 {SIZE} Tf {mode} Tr 1 0 0 1 {LEFT} "), y(x).cast("string"), F.lit(" Tm ("), spelled, F.lit(") Tj ET\n"))
-        fill = F.concat_ws(" ", F.lit("q 0 g"), LEFT + ADVANCE * x["a"], (y(x) - 2.2).cast("decimal(9,1)"), ADVANCE * (x["b"] - x["a"]), F.lit(1.1 * SIZE).cast("decimal(9,1)"), F.lit("re f Q\n"))
-        return (
-            F.when(x["role"] == 0, F.concat(text(0), fill))
-            .when(x["role"] == 1, text(3))
-            .when(x["role"] == 2, F.concat(F.lit("/OC /Off BDC\n"), text(0), F.lit("EMC\n")))
-            .when(x["role"] == 4, F.concat(text(0), F.lit("q /Faint gs "), F.substring(fill, F.lit(3), F.length(fill))))
-            .when(x["role"] == 5, F.concat(fill, text(0)))
-            .otherwise(text(0))
-        )
-
-    mine = lambda p: F.filter("lines", lambda x: x["page"] == p)
-    top = lambda x: HEIGHT - y(x) - 0.88 * SIZE
-    noted = lambda p: F.transform(
-        F.filter("lines", lambda x: (x["page"] == p) & (x["role"] == 3)),
-        lambda x: F.struct(F.lit("Square").alias("subtype"), (LEFT + ADVANCE * x["a"]).cast("double").alias("x"), top(x).cast("double").alias("top"), (LEFT + ADVANCE * x["b"]).cast("double").alias("right"), (top(x) + 1.1 * SIZE).cast("double").alias("bottom")),
-    )
-    each = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES).cast("int")), lambda p: F.struct(p.alias("page"), F.array_join(F.transform(mine(p), code), "").alias("content"), noted(p).alias("annots")))
-    font = F.struct(F.lit("Type1").alias("subtype"), F.lit("Helvetica").alias("base_font"), F.expr("cast(null as map<int,double>)").alias("widths"), F.expr("cast(null as map<int,string>)").alias("to_unicode"), F.lit(None).cast("double").alias("default_width"))
-    return lines.select("doc_id", F.explode(each).alias("p")).select(
-        "doc_id",
-        "p.page",
-        F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(float(WIDTH)).alias("w"), F.lit(float(HEIGHT)).alias("h")).alias("box"),
-        F.lit(0).alias("rotate"),
-        F.encode("p.content", "ISO-8859-1").alias("content"),
-        F.create_map(F.lit("F1"), font).alias("fonts"),
-        F.create_map(F.lit("Faint"), F.lit(0.49)).alias("gs_alpha"),
-        F.array(F.lit("Off")).alias("hidden_names"),
-        F.expr("cast(array() as array<string>)").alias("images"),
-        "p.annots",
-    )
+    """A page relation, ready for the fold. Row by row, without a shuffle."""
+    kind = _parse_datatype_string(f"doc_id long, page int, {PAGE}")
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_pylist(list(page_rows(doc_id, text)), schema=arrow)
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, kind)
 
 
 #: The same layout for SQL: one row for each line.
