@@ -81,10 +81,10 @@ def hocr_page(html: Column, page: Column) -> Column:
     body = F.when(body == "", html).otherwise(body)
     n = page.cast("string")
     parts = F.split(body, "page_1\\b", -1)
-    body = F.array_join(parts, F.concat(F.lit("page_"), n))
+    body = F.call_function("array_join", parts, F.concat(F.lit("page_"), n))
     parts = F.split(body, "(?<=\\b(?:word|line|par|block)_)1(?=_)", -1)
-    body = F.array_join(parts, n)
-    return F.array_join(F.split(body, "ppageno [0-9]+", -1), F.concat(F.lit("ppageno "), (page - 1).cast("string")))
+    body = F.call_function("array_join", parts, n)
+    return F.call_function("array_join", F.split(body, "ppageno [0-9]+", -1), F.concat(F.lit("ppageno "), (page - 1).cast("string")))
 
 
 def hocr_document(pages: DataFrame, key: str) -> DataFrame:

@@ -186,7 +186,7 @@ def page_ranges(t):
 r AS (SELECT user_id, run, min(day) + 1 AS a, max(day) + 1 AS b FROM g GROUP BY ALL)
 SELECT user_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY user_id""")
 def compact_ranges(t):
-    days = t("events").select("user_id", (F.floor(F.col("ts").cast("double") / 86400) - 19000).cast("long").alias("day")).distinct()
+    days = t("events").select("user_id", (F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")) - 19000).cast("long").alias("day")).distinct()
     return R.compact_ranges(days, ["user_id"], "day")
 
 
@@ -212,8 +212,9 @@ def winansi_text(t):
 
 
 @query("""SELECT o_orderkey, 'DOC-' || CASE WHEN length(CAST(o_orderkey AS VARCHAR)) < 4 THEN lpad(CAST(o_orderkey AS VARCHAR), 4, '0') ELSE CAST(o_orderkey AS VARCHAR) END || '/x' AS bates, length(CAST(o_orderkey AS VARCHAR)) > 4 AS overflows,
-  CASE WHEN o_custkey > 702 THEN chr(CAST(65 + ((o_custkey - 27) // 26 - 1) // 26 - 0 AS INTEGER) - CASE WHEN ((o_custkey - 27) // 26 - 1) // 26 >= 0 THEN 0 ELSE 0 END) ELSE '' END || CASE WHEN o_custkey > 26 THEN chr(CAST(65 + ((o_custkey - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (o_custkey - 1) % 26 AS INTEGER)) AS letters,
-  o_custkey AS number, 'Exhibit of ' || o_orderkey || ' {who}' AS said FROM orders""".replace("chr(CAST(65 + ((o_custkey - 27) // 26 - 1) // 26 - 0 AS INTEGER) - CASE WHEN ((o_custkey - 27) // 26 - 1) // 26 >= 0 THEN 0 ELSE 0 END)", "chr(CAST(65 + ((o_custkey - 1) // 26 - 1) // 26 - 1 AS INTEGER))"))
+  CASE WHEN o_custkey < 1 THEN '' ELSE CASE WHEN o_custkey > 702 THEN chr(CAST(64 + ((o_custkey - 1) // 26 - 1) // 26 AS INTEGER)) ELSE '' END || CASE WHEN o_custkey > 26 THEN chr(CAST(65 + ((o_custkey - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END
+    || chr(CAST(65 + (o_custkey - 1) % 26 AS INTEGER)) END AS letters,
+  o_custkey AS number, 'Exhibit of ' || o_orderkey || ' {who}' AS said FROM orders""")
 def labels_and_letters(t):
     k = F.col("o_orderkey")
     letters = T.number_to_letters(F.col("o_custkey"))
@@ -282,8 +283,8 @@ def merge_receipts(t):
     return merge.receipts(made, ["source", "lang"], F.concat_ws(" ", "page", "ord", "source_page"))
 
 
-@query(FILES_SQL + """, m AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY ord) AS at FROM f)
-SELECT source, lang, size, row_number() OVER (PARTITION BY source, lang ORDER BY CASE WHEN size % 5 = 0 THEN at - 2.5 ELSE at END, at) AS ord FROM m""")
+@query(FILES_SQL + """, m AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY ord) AS pos FROM f)
+SELECT source, lang, size, row_number() OVER (PARTITION BY source, lang ORDER BY CASE WHEN size % 5 = 0 THEN pos - 2.5 ELSE pos END, pos) AS ord FROM m""")
 def reordered_files(t):
     return merge.moved(as_files(t("documents")), ["source", "lang"], F.col("size") % 5 == 0, F.lit(-2)).select("source", "lang", "size", F.col("ord").cast("long").alias("ord"))
 
@@ -372,16 +373,16 @@ def hocr_pages(t):
 @query()
 def raster_statistics(t):
     """Illumination, skew and columns of pages drawn from keys: a shadow ramp, a gutter, and lines."""
-    base = t("part").select("p_partkey", F.lit(160).alias("w"), F.lit(120).alias("h"))
+    base = t("part").select("p_partkey", F.lit(80).alias("w"), F.lit(60).alias("h"))
     k = F.col("p_partkey")
 
     def pixel(i):
-        x, y = i % 160, F.floor(i / 160)
-        ink = (y % 8 < 3) & ~((k % 3 == 1) & x.between(74, 86))
-        paper = F.when(k % 2 == 0, 255 - F.floor(x / 2)).otherwise(F.lit(250))
+        x, y = i % 80, F.floor(i / 80)
+        ink = (y % 8 < 3) & ~((k % 3 == 1) & x.between(36, 43))
+        paper = F.when(k % 2 == 0, 255 - x).otherwise(F.lit(250))
         return F.lpad(F.hex(F.when(ink, F.lit(40)).otherwise(paper).cast("long")), 2, "0")
 
-    luma = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(160 * 120 - 1)), pixel), ""))
+    luma = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(80 * 60 - 1)), pixel), ""))
     return raster.prepare_pages(base.withColumn("luma", luma), ["p_partkey"])
 
 

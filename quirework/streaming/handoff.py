@@ -26,7 +26,7 @@ def take_once(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     """
     order = W.partitionBy("key").orderBy("ts", "id")
     before = F.lag(F.struct("action", "id", "ts", "value")).over(order)
-    fresh = (before["action"] == "put") & (F.col("ts").cast("double") - before["ts"].cast("double") <= ttl)
+    fresh = (before["action"] == "put") & (F.col("ts") <= before["ts"] + F.expr(f"INTERVAL {int(ttl)} SECONDS"))
     seen = events.where(F.col("action").isin("put", "take")).select("*", F.when(fresh, before).alias("got"))
     return seen.where("action = 'take'").select("key", F.col("id").alias("take_id"), F.col("ts").alias("taken_ts"), F.col("got.id").alias("put_id"), F.col("got.value").alias("value"))
 
@@ -64,7 +64,7 @@ def take_once_stream(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
 
 def expired(puts: DataFrame, now, ttl: int = TTL_SECONDS) -> DataFrame:
     """Records that a sweep at a time deletes."""
-    return puts.where(F.lit(now).cast("timestamp").cast("double") - F.col("ts").cast("double") > ttl)
+    return puts.where(F.col("ts") + F.expr(f"INTERVAL {int(ttl)} SECONDS") < F.lit(now))
 
 
 def latest_wins(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
