@@ -50,7 +50,8 @@ class Audit:
 
     def __post_init__(self):
         # Read by several joins of one audit: kept, and recomputed from the pages where an executor is lost.
-        self.folded = fold_pages(self.pages).persist(StorageLevel.MEMORY_AND_DISK)
+        # Dealt by page first, for a document may have any number of them and a file any number of documents.
+        self.folded = fold_pages(self.pages.repartition(*PAGE)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         self.folded.unpersist()
@@ -68,20 +69,26 @@ class Audit:
     def annotations(self) -> DataFrame:
         return self.folded.select(*PAGE, "vw", "vh", F.posexplode("annots").alias("cover", "a")).select(*PAGE, "vw", "vh", "cover", "a.*")
 
-    def tested(self, covers: DataFrame, in_paint_order: bool) -> DataFrame:
-        """Each record's candidates in order (try_no from 1), with the hit of each, or null."""
+    def ranked(self, covers: DataFrame) -> DataFrame:
+        """Each record's candidates in order, try_no from 1."""
         records = self.records()
         if self.use_grid:
             pairs = candidates(records, covers, PAGE)
         else:
             pairs = records.select(*PAGE, "rec").join(covers.select(*PAGE, "cover"), PAGE).withColumn("first_cell", F.lit(0).cast("long"))
         order = W.partitionBy(*PAGE, "rec").orderBy("first_cell", "cover")
-        ranked = pairs.select(*PAGE, "rec", "cover", F.row_number().over(order).alias("try_no"))
-        later = [F.col("op_offset")] if in_paint_order else [F.lit(None).cast("int").alias("op_offset")]
-        shown = covers.select(*PAGE, "cover", *later, *(F.col(c).alias(f"c_{c}") for c in RECT))
-        both = ranked.join(shown, [*PAGE, "cover"]).join(records.select(*PAGE, "rec", "e", "text", "editable", "advance", "chars", *RECT), [*PAGE, "rec"])
-        hit = self.covered()
-        return both.select(*PAGE, "rec", "cover", "try_no", F.when(F.col("op_offset") > F.col("e"), hit).alias("hit") if in_paint_order else hit.alias("hit"))
+        return pairs.select(*PAGE, "rec", "cover", F.row_number().over(order).alias("try_no"))
+
+    def hits(self, ranked: DataFrame, covers: DataFrame, in_paint_order: bool) -> DataFrame:
+        """Candidates that hide text, with what they hide. Characters are looked at only where the boxes allow for a hit."""
+        order = F.col("op_offset") if in_paint_order else F.lit(2**31 - 1)
+        shown = covers.select(*PAGE, "cover", order.alias("op_offset"), *(F.col(c).alias(f"c_{c}") for c in RECT))
+        records = self.records()
+        tall = F.least("bottom", "c_bottom") - F.greatest("top", "c_top") >= 0.5 * (F.col("bottom") - F.col("top"))
+        meet = (F.col("c_x") <= F.col("right")) & (F.col("x") <= F.col("c_right"))
+        near = ranked.join(records.select(*PAGE, "rec", "e", *RECT), [*PAGE, "rec"]).join(shown, [*PAGE, "cover"]).where((F.col("op_offset") > F.col("e")) & tall & meet)
+        full = near.drop("e", *RECT).join(records.select(*PAGE, "rec", "text", "editable", "advance", "chars", *RECT), [*PAGE, "rec"])
+        return full.select(*PAGE, "rec", "cover", "try_no", self.covered().alias("hit")).where("hit IS NOT NULL")
 
     def covered(self) -> Column:
         """(text, char_from, char_to, precise, x, right), or null: characters whose middle a cover takes in, where text stands upright."""
@@ -105,10 +112,10 @@ class Audit:
 
     def outcomes(self, covers: DataFrame, in_paint_order: bool, prefix: str) -> DataFrame:
         """For each record with candidates: the first hit with its cover, and the tests that it took."""
-        tested = self.tested(covers, in_paint_order)
-        first = F.min_by(F.struct("cover", "hit"), F.when(F.col("hit").isNotNull(), F.col("try_no")))
-        took = F.coalesce(F.min(F.when(F.col("hit").isNotNull(), F.col("try_no"))), F.max("try_no"))
-        return tested.groupBy(*PAGE, "rec").agg(first.alias(f"{prefix}_first"), took.cast("long").alias(f"{prefix}_tests"))
+        ranked = self.ranked(covers)
+        first = self.hits(ranked, covers, in_paint_order).groupBy(*PAGE, "rec").agg(F.min_by(F.struct("cover", "hit"), "try_no").alias(f"{prefix}_first"), F.min("try_no").alias("__at"))
+        tries = ranked.groupBy(*PAGE, "rec").agg(F.max("try_no").alias("__all"))
+        return tries.join(first, [*PAGE, "rec"], "left").select(*PAGE, "rec", f"{prefix}_first", F.coalesce("__at", "__all").cast("long").alias(f"{prefix}_tests"))
 
     def judged(self) -> DataFrame:
         """Every record with its kind, hit, running count of tests, and whether the budget reaches it."""
