@@ -51,7 +51,7 @@ def test_each_kind_and_its_twin(spark):
 
 def test_annotation_comes_last_and_forms_are_never_clean(spark):
     note = [{"subtype": "Square", "x": 99.0, "top": 80.0, "right": 131.0, "bottom": 96.0}]
-    a = audit(spark, page(TEXT, annots=note), page(TEXT + COVER, annots=note), page("/X Do"), page("", content=None), page(TEXT))
+    a = audit(spark, page(TEXT, annots=note), page(TEXT + COVER, annots=note), page("/X Do"), dict(page(""), content=None), page(TEXT))
     assert {r["page"]: r["kind"] for r in a.findings().collect()} == {0: "annotation-cover", 1: "text-under-cover"}
     assert {r["page"]: r["verdict"] for r in a.page_verdicts().collect()} == {0: "text-found", 1: "text-found", 2: "cannot-check", 3: "cannot-check", 4: "no-findings"}
     assert a.document_verdicts().first()["verdict"] == "text-found"
