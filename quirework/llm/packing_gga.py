@@ -195,18 +195,19 @@ def pack_blocks(items: DataFrame, n_blocks: int, capacity: int, level: int) -> D
 def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """items (with a column length, 1 to capacity) with the sequence_id and offset of each."""
     done, level = [], 0
+    items = items.withColumn("__row", F.monotonically_increasing_id())  # parts repeated rows, which would all meet in one block
     while True:
         items = staged(items, "pieces")
         n = items.count()
         n_blocks = max(1, -(-n // block))
         packed = pack_blocks(items, n_blocks, capacity, level)
         if n_blocks == 1:
-            return reduce(DataFrame.unionByName, [*done, packed.drop("__fill")])
+            return reduce(DataFrame.unionByName, [*done, packed.drop("__fill", "__row")])
         packed = staged(packed, "packed")
         good = F.col("__fill") >= WELL_FILLED * capacity
         if 2 * packed.where(~good).count() > n:  # lengths that fill no bin well: another level would do no better
-            return reduce(DataFrame.unionByName, [*done, packed.drop("__fill")])
-        done.append(packed.where(good).drop("__fill"))
+            return reduce(DataFrame.unionByName, [*done, packed.drop("__fill", "__row")])
+        done.append(packed.where(good).drop("__fill", "__row"))
         items = packed.where(~good).drop("sequence_id", "offset", "__fill")
         level += 1
 

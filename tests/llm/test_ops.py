@@ -148,6 +148,14 @@ def test_packing_ends_where_nothing_fits_well(spark):
     assert packing_gga.pack(items, block=64).select("sequence_id").distinct().count() == 300
 
 
+def test_repeated_rows_are_dealt_over_blocks(spark):
+    items = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(1).cast("long").alias("length"))
+    got = packing_gga.pack(items, block=64)
+    assert got.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    assert got.groupBy("sequence_id").count().agg(F.max("count"), F.sum("count")).first()[1] == 600
+    assert packing_gga.pack_blocks(items.withColumn("__row", F.monotonically_increasing_id()), 10, 4096, 0).groupBy("sequence_id").count().agg(F.max("count")).first()[0] < 200
+
+
 def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
