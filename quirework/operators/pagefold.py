@@ -11,7 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,15 +28,15 @@ IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 BLANKS, DELIMITERS = b"\\x00\\t\\n\\x0c\\r\\x20", b"()<>\\[\\]{}/%"
 REGULAR = b"[^" + BLANKS + DELIMITERS + b"]"
 LEXER = re.compile(
-    b"(?P<skip>[" + BLANKS + b"]+|%[^\\r\\n]*)"
-    b"|(?P<name>/" + REGULAR + b"*)"
+    b"(?:[" + BLANKS + b"]++|%[^\\r\\n]*+)*+(?:"
+    b"(?P<name>/" + REGULAR + b"*)"
     b"|(?P<open>\\()"
     b"|(?P<dict><<|>>)"
     b"|(?P<hex><[^>]*>?)"
     b"|(?P<array>[\\[\\]])"
     b"|(?P<num>[0-9+\\-.]" + REGULAR + b"*)"
     b"|(?P<op>" + REGULAR + b"+)"
-    b"|(?P<stray>.)",
+    b"|(?P<stray>.))",
     re.S,
 )
 NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
@@ -70,17 +73,23 @@ def read_string(data: bytes, at: int) -> tuple[bytes, int]:
     return bytes(out), len(data)
 
 
+@lru_cache(1 << 14)
+def number(raw: bytes) -> float:
+    found = NUMBER.match(raw)
+    return float(found[0]) if found else 0.0
+
+
 def tokens(data: bytes) -> Iterator[Token]:
     """The tokens of a content stream; s and e are byte offsets. Keywords such as true count as operators; an inline image is one."""
     at = 0
-    while at < len(data) and (m := LEXER.match(data, at)):
-        kind, raw, start, at = m.lastgroup, m[0], at, m.end()
+    while m := LEXER.match(data, at):
+        kind = m.lastgroup
+        raw, (start, at) = m[kind], m.span(kind)
         if kind == "name":
             spelled = re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), raw[1:])
             yield Token("name", spelled.decode("latin-1"), start, at)
         elif kind == "num":
-            found = NUMBER.match(raw)
-            yield Token("num", float(found[0]) if found else 0.0, start, at)
+            yield Token("num", number(raw), start, at)
         elif kind == "open":
             text, at = read_string(data, at)
             yield Token("str", text, start, at)
@@ -368,30 +377,38 @@ class Page:
         """A record for one show: glyph by glyph, a missing width counts as half the size."""
         if not self.font or not self.size:
             return
-        stretch, advance, chars, pending = self.stretch / 100, 0.0, [], False
+        stretch, advance, pending = self.stretch / 100, 0.0, False
+        unis: list[str] = []
+        steps: list[float] = []
         for part in parts:
             if not isinstance(part, bytes):
                 advance -= part / 1000 * self.size * stretch
                 continue
-            for code, uni, width in self.font.decode(part):
-                pending |= width is None
-                step = ((500 if width is None else width) / 1000 * self.size + self.spacing + self.word * (code == 32)) * stretch
-                chars.append((uni, step))
-                advance += step
+            decoded = self.font.decode(part)
+            if not decoded:
+                continue
+            codes, texts, widths = zip(*decoded)
+            pending |= None in widths
+            known = {w: ((500 if w is None else w) / 1000 * self.size + self.spacing) * stretch for w in set(widths)}
+            if self.word and 32 in codes:
+                blank = self.word * stretch
+                made = [known[w] + blank if c == 32 else known[w] for c, w in zip(codes, widths)]
+            else:
+                made = [known[w] for w in widths]
+            unis += texts
+            steps += made
+            *_, advance = accumulate(made, initial=advance)
         m = times(self.tm, self.ctm)
         corners = [moved(m, x, y) for x, y in ((0, self.rise), (advance, self.rise), (0, self.rise + 0.88 * self.size), (0, self.rise - 0.22 * self.size))]
         rect = self.view.rect(corners)
         scale = (rect["right"] - rect["x"]) / advance if advance else 0.0
-        x, spread = rect["x"], []
-        for uni, step in chars:
-            spread.append({"uni": uni, "x0": x, "x1": x + step * scale})
-            x += step * scale
+        edges = list(accumulate((step * scale for step in steps), initial=rect["x"]))
         whole = self.view.upright(m)
         self.records.append(
             {
-                "s": start, "e": end, "chain": self.chain, "text": "".join(c[0] for c in chars), **rect, "baseline": self.view.place(*corners[0])[1], "advance": advance, "font": self.font.name, "size": self.size,
+                "s": start, "e": end, "chain": self.chain, "text": "".join(unis), **rect, "baseline": self.view.place(*corners[0])[1], "advance": advance, "font": self.font.name, "size": self.size,
                 "size_dev": self.size * (m[2] ** 2 + m[3] ** 2) ** 0.5, "render_mode": int(self.mode), "editable": self.font.editable and whole,
-                "reason": self.font.reason if not self.font.editable else None if whole else "rotated or skewed text", "color": self.color, "pending_widths": pending, "chars": spread,
+                "reason": self.font.reason if not self.font.editable else None if whole else "rotated or skewed text", "color": self.color, "pending_widths": pending, "chars": (unis, edges),
             }
         )
         self.type0 += self.font.two_byte
@@ -443,6 +460,36 @@ def fold_page(row: dict) -> dict:
     return out | {"records": page.records, "covers": page.covers, "spans": page.spans, "graphics": page.graphics, "unknown_ops": page.unknown, "form_xobjects": page.forms, "type0_runs": page.type0}
 
 
+def offsets(lists: list) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+
+
+def chars_array(each: list[tuple[list[str], list[float]]], kind: pa.ListType) -> pa.Array:
+    """The characters of many records, column by column: a page has thousands, too many for a dict each."""
+    unis = [u for u, _ in each]
+    edges = np.concatenate([np.asarray(e, float) for _, e in each]) if each else np.empty(0)
+    last = np.cumsum([len(e) for _, e in each], dtype=np.int64) - 1
+    starts, ends = np.ones(len(edges), bool), np.ones(len(edges), bool)
+    starts[last] = False
+    ends[np.append(0, last[:-1] + 1)[: len(each)]] = False
+    columns = pa.array(list(chain.from_iterable(unis)), pa.string()), pa.array(edges[starts]), pa.array(edges[ends])
+    return pa.ListArray.from_arrays(offsets(unis), pa.StructArray.from_arrays(list(columns), fields=list(kind.value_type)))
+
+
+def folded_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    columns = []
+    for f in schema:
+        values = [r[f.name] for r in rows]
+        if f.name == "records":
+            flat = list(chain.from_iterable(values))
+            parts = list(f.type.value_type)
+            made = [chars_array([r["chars"] for r in flat], p.type) if p.name == "chars" else pa.array([r[p.name] for r in flat], p.type) for p in parts]
+            columns.append(pa.ListArray.from_arrays(offsets(values), pa.StructArray.from_arrays(made, fields=parts)))
+        else:
+            columns.append(pa.array([list(v.items()) for v in values] if f.name == "unknown_ops" else values, f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def fold_pages(pages: DataFrame) -> DataFrame:
     """doc_id, page, annots, and what the fold of each page found. A page that can't be read has error set. No shuffle."""
     kind = _parse_datatype_string(f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page int, annots array<struct<subtype:string,{RECT}>>, {FOLDED}")
@@ -453,6 +500,6 @@ def fold_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [{k: r[k] for k in ("doc_id", "page", "annots")} | fold_page(r) for r in batch.to_pylist()]
             if rows:
-                yield pa.RecordBatch.from_pylist([r | {"unknown_ops": list(r["unknown_ops"].items())} for r in rows], schema=arrow)
+                yield folded_batch(rows, arrow)
 
     return pages.select("doc_id", "page", "box", "rotate", "content", "fonts", "gs_alpha", "hidden_names", "images", "annots").mapInArrow(run, kind)

@@ -71,6 +71,7 @@ class Font:
     differences: dict[int, str] = field(default_factory=dict)
     editable: bool = True
     reason: str | None = None
+    decoded: dict[int, tuple[int, str, float | None]] = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, name: str, row: dict | None) -> Font:
@@ -94,7 +95,9 @@ class Font:
     def decode(self, data: bytes):
         """(code, text, width or None) of each glyph; a last odd byte of a two-byte font stands alone."""
         codes = [int.from_bytes(data[i : i + 2], "big") for i in range(0, len(data), 2)] if self.two_byte else data
-        return [(c, self.char(c), self.width(c)) for c in codes]
+        for c in set(codes).difference(self.decoded):
+            self.decoded[c] = c, self.char(c), self.width(c)
+        return [self.decoded[c] for c in codes]
 
     def inverse(self) -> dict[str, int]:
         """Characters to codes, of those with a width or that the document itself maps."""
