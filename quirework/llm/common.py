@@ -75,10 +75,10 @@ def map_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[[di
         work = start()
         for batch in batches:
             if batch.num_rows:
-                out = work(batch.to_pydict())
+                out = work(dict(zip(columns, (c.to_pylist() for c in batch.columns))))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, kind)
+    return df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(run, kind)
 
 
 def ngram_hashes(text: str, orders: tuple[int, ...]) -> np.ndarray:

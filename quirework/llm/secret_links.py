@@ -55,7 +55,7 @@ def spans(df: DataFrame, columns: list[str], text_col: str = "text") -> DataFram
 
     One shuffle, by row; it carries what columns ask for once.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("first"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*(f"`{c}`" for c in columns)).alias("first"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     each = rows.select("__row", "first", F.posexplode_outer(parts(F.col("__text"))).alias("pos", "x"))
     each = each.select("__row", "pos", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("first")).alias("first"), "x.*").repartition("__row")
     same = W.partitionBy("__row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -79,7 +79,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     listed = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, told))), lambda x: x["text"]), ",")
     count = lambda k: F.count(F.when(F.col("reported") & (F.col("kind") == NAMES.index(k)), 1)).alias(f"n_{k}")
     got = spans(df, [id_col], text_col).groupBy("__row").agg(
-        F.first("first", ignorenulls=True)[id_col].alias(id_col),
+        F.first("first", ignorenulls=True).getField(id_col).alias(id_col),
         *map(count, ("assign", "access", "hex")),
         F.sha2(listed(F.col("reported") & base), 256).alias("base_sha256"),
         listed(F.col("reported")).alias("spans"),

@@ -185,8 +185,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     the same id that stays, one is kept.
     """
     found = near_duplicates(df, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
-    named = df.join(stay, F.col(id_col) == F.col("__stay"), "left_semi").dropDuplicates([id_col])
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = df.join(stay, id_col, "left_semi").select(*(f"`{c}`" for c in df.columns)).dropDuplicates([id_col])
     return named.unionByName(df.where(F.col(id_col).isNull()))
 
 

@@ -148,9 +148,11 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that are not contaminated."""
-    found = hits(df.withColumn("__row", F.monotonically_increasing_id()), benchmark, [*df.columns, "__row"], text_col)
-    return found.where(~contaminated(n_hit(F.col("spans")), F.col("n_words"))).select(*df.columns)
+    """The rows of df that are not contaminated. Columns may have any names: they go by number on the way."""
+    numbers = [f"__{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*numbers).withColumn("__row", F.monotonically_increasing_id())
+    found = hits(rows, benchmark, [*numbers, "__row"], numbers[df.columns.index(text_col)])
+    return found.where(~contaminated(n_hit(F.col("spans")), F.col("n_words"))).select(*numbers).toDF(*df.columns)
 
 
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

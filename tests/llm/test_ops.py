@@ -45,6 +45,17 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark):
         assert compression_bands.keep(d).columns == simhash_bktree.keep_one(d).columns == wu_manber.drop_contaminated(d, bench).columns == d.columns
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ("n_words", "spans", "items", "kept", "component_id", "fingerprint", "root", "low", "block", "length", "piece", "ids", "kind", "first", "cut", "cuts", "__row", "__stay", "a.b")
+    d = docs(spark, ODD).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    for out in (compression_bands.keep(d), simhash_bktree.keep_one(d), wu_manber.drop_contaminated(d, bench), secret_links.redact(d)):
+        assert out.columns == d.columns
+        for row in out.collect():
+            assert row[-len(names) :] == tuple(range(len(names)))
+    assert packing_gga.sequences(d).count() == len(ODD)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = random.Random(1)
     rows = []
