@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirework.functions import geometry as G
 from quirework.functions import ranges as R
 from quirework.functions import text as T
-from quirework.operators import layout, merge, raster
+from quirework.operators import edits, layout, merge, raster
 from quirework.operators.audit import Audit
 from quirework.operators.pagefold import fold_pages
 from quirework.operators.spatial import overlap_join
@@ -126,6 +126,20 @@ def text_records(t):
     return r.select("doc_id", "page", "rec", "r.text", F.round("r.x", 3).alias("x"), F.round("r.right", 3).alias("right"), F.round("r.top", 3).alias("top"), F.round("r.bottom", 3).alias("bottom"), "r.render_mode")
 
 
+@query(f"""WITH {LINES_SQL}, ruled AS (SELECT *, replace(replace(replace(line, ' ', ''), chr(160), ''), chr(173), '') <> '' AS goes FROM numbered_records WHERE rec = 0)
+  SELECT n.doc_id, CAST(n.page AS INTEGER) AS page, CASE WHEN r.goes AND n.rec = 0 THEN 'X' ELSE n.line END AS text, round(43.2 + 14 * n.rec + CASE WHEN r.goes AND n.rec > 0 AND n.doc_id % 2 = 0 THEN 7 ELSE 0 END, 3) AS top,
+    CAST(72 + 5 * CASE WHEN r.goes AND n.rec = 0 THEN 1 ELSE length(n.line) END AS DOUBLE) AS "right" FROM numbered_records n JOIN ruled r USING (doc_id, page)""")
+def edited_pages(t):
+    """Each page's first line replaced, in every other document what is below moved down; read back from the new bytes."""
+    made = pages(t("documents"))
+    folded = fold_pages(made)
+    first = folded.select("doc_id", "page", F.get("records", F.lit(0)).alias("r")).where("r IS NOT NULL")
+    asked = first.select("doc_id", "page", F.lit(0).alias("edit"), "r.x", "r.top", "r.right", "r.bottom", F.col("r.text").alias("expected"), F.lit("X").alias("replacement"), F.when(F.col("doc_id") % 2 == 0, F.lit(7.0)).alias("push"))
+    done = edits.edit_pages(made, folded, asked).withColumnRenamed("content", "edited")
+    after = made.join(done.select("doc_id", "page", "edited"), ["doc_id", "page"]).withColumn("content", F.col("edited"))
+    return fold_pages(after).select("doc_id", "page", F.explode("records").alias("r")).select("doc_id", "page", "r.text", F.round("r.top", 3).alias("top"), F.round("r.right", 3).alias("right"))
+
+
 @query("""WITH l AS (SELECT l_suppkey AS page, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS l, (l_partkey * 37) % 1000 AS x, (l_orderkey * 53) % 1000 AS y FROM lineitem),
 r AS (SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS page, o_orderkey AS r, (o_orderkey * 29) % 1000 AS x, (o_custkey * 41) % 1000 AS y FROM orders)
 SELECT l.page, l.l, r.r FROM l JOIN r ON l.page = r.page AND l.x < r.x + 60 AND r.x < l.x + 40 AND l.y < r.y + 40 AND r.y < l.y + 20""")
