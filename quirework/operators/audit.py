@@ -57,8 +57,9 @@ class Audit:
         self.folded.unpersist()
 
     def records(self) -> DataFrame:
-        """Text records with their number on the page; blank and empty ones left out."""
-        each = self.folded.select(*PAGE, "vw", "vh", F.posexplode("records").alias("rec", "r")).select(*PAGE, "vw", "vh", "rec", "r.*")
+        """Text records with their number on the page, and whether they lie in a span that is off; blank and empty ones left out."""
+        hidden = F.exists("spans", lambda h: (F.col("r.s") >= h["s"]) & (F.col("r.e") <= h["e"])).alias("is_hidden")
+        each = self.folded.select(*PAGE, "vw", "vh", "spans", F.posexplode("records").alias("rec", "r")).select(*PAGE, "vw", "vh", "rec", "r.*", hidden)
         return each.where(~is_blank(F.col("text")) & (area(*map(F.col, RECT)) > 0))
 
     def covers(self) -> DataFrame:
@@ -69,32 +70,32 @@ class Audit:
     def annotations(self) -> DataFrame:
         return self.folded.select(*PAGE, "vw", "vh", F.posexplode("annots").alias("cover", "a")).select(*PAGE, "vw", "vh", "cover", "a.*")
 
-    def ranked(self, covers: DataFrame) -> DataFrame:
-        """Each record's candidates in order, try_no from 1."""
-        records = self.records()
+    def tries(self, covers: DataFrame) -> DataFrame:
+        """For each record with candidates: tries, these in the order in which they are tested."""
+        carry = ["op_offset", *RECT]
         if self.use_grid:
-            pairs = candidates(records, covers, PAGE)
+            pairs = candidates(self.records(), covers, PAGE, carry)
         else:
-            pairs = records.select(*PAGE, "rec").join(covers.select(*PAGE, "cover"), PAGE).withColumn("first_cell", F.lit(0).cast("long"))
-        order = W.partitionBy(*PAGE, "rec").orderBy("first_cell", "cover")
-        return pairs.select(*PAGE, "rec", "cover", F.row_number().over(order).alias("try_no"))
-
-    def hits(self, ranked: DataFrame, covers: DataFrame, in_paint_order: bool) -> DataFrame:
-        """Candidates that hide text, with what they hide. Characters are looked at only where the boxes allow for a hit."""
-        order = F.col("op_offset") if in_paint_order else F.lit(2**31 - 1)
-        shown = covers.select(*PAGE, "cover", order.alias("op_offset"), *(F.col(c).alias(f"c_{c}") for c in RECT))
-        records = self.records()
-        tall = F.least("bottom", "c_bottom") - F.greatest("top", "c_top") >= 0.5 * (F.col("bottom") - F.col("top"))
-        meet = (F.col("c_x") <= F.col("right")) & (F.col("x") <= F.col("c_right"))
-        near = ranked.join(records.select(*PAGE, "rec", "e", *RECT), [*PAGE, "rec"]).join(shown, [*PAGE, "cover"]).where((F.col("op_offset") > F.col("e")) & tall & meet)
-        full = near.drop("e", *RECT).join(records.select(*PAGE, "rec", "text", "editable", "advance", "chars", *RECT), [*PAGE, "rec"])
-        return full.select(*PAGE, "rec", "cover", "try_no", self.covered().alias("hit")).where("hit IS NOT NULL")
-
-    def covered(self) -> Column:
+            pairs = self.records().select(*PAGE, "rec").join(covers.select(*PAGE, "cover", *carry), PAGE).withColumn("first_cell", F.lit(0).cast("long"))
+        return pairs.groupBy(*PAGE, "rec").agg(F.array_sort(F.collect_list(F.struct("first_cell", "cover", *carry))).alias("tries"))
+
+    def first_hit(self, tries: str, in_paint_order: bool) -> Column:
+        """(try_no, cover, hit) of the first test that hits, or null; to be read beside a record. Characters are looked at only where the boxes allow for a hit."""
+        r = {c: F.col(c) for c in RECT}
+
+        def test(c: Column, i: Column) -> Column:
+            tall = F.least(r["bottom"], c["bottom"]) - F.greatest(r["top"], c["top"]) >= 0.5 * (r["bottom"] - r["top"])
+            near = tall & (c["x"] <= r["right"]) & (r["x"] <= c["right"])
+            if in_paint_order:
+                near = near & (c["op_offset"] > F.col("e"))
+            return F.struct((i + 1).cast("long").alias("try_no"), c["cover"].alias("cover"), F.when(near, self.covered(c)).alias("hit"))
+
+        return F.get(F.filter(F.transform(tries, test), lambda x: x["hit"].isNotNull()), F.lit(0))
+
+    def covered(self, cover: Column) -> Column:
         """(text, char_from, char_to, precise, x, right), or null: characters whose middle a cover takes in, where text stands upright."""
-        tall = F.least("bottom", "c_bottom") - F.greatest("top", "c_top") >= 0.5 * (F.col("bottom") - F.col("top"))
         middle = lambda c: (c["x0"] + c["x1"]) / 2
-        inside = lambda c: (middle(c) >= F.col("c_x")) & (middle(c) <= F.col("c_right"))
+        inside = lambda c: (middle(c) >= cover["x"]) & (middle(c) <= cover["right"])
         under = F.filter("chars", inside)
         at = F.filter(F.transform("chars", lambda c, i: F.when(inside(c), i)), lambda i: i.isNotNull())
         text = F.array_join(F.transform(under, lambda c: c["uni"]), "")
@@ -102,32 +103,25 @@ class Audit:
             F.regexp_replace(text, f"[{BLANK}]", "") != "",
             F.struct(text.alias("text"), F.array_min(at).alias("char_from"), F.array_max(at).alias("char_to"), F.lit(True).alias("precise"), F.get(under, F.lit(0))["x0"].alias("x"), F.element_at(under, -1)["x1"].alias("right")),
         )
-        common = area(F.greatest("x", "c_x"), F.greatest("top", "c_top"), F.least("right", "c_right"), F.least("bottom", "c_bottom"))
+        common = area(F.greatest(F.col("x"), cover["x"]), F.greatest(F.col("top"), cover["top"]), F.least(F.col("right"), cover["right"]), F.least(F.col("bottom"), cover["bottom"]))
         whole = F.when(
             common / area(*map(F.col, RECT)) >= self.cover_ratio,
             F.struct(F.col("text"), F.lit(0).alias("char_from"), (F.length("text") - 1).alias("char_to"), F.lit(False).alias("precise"), F.col("x"), F.col("right")),
         )
         fine = F.col("editable") & (F.size("chars") > 0) & (F.col("advance") != 0) & (F.col("right") > F.col("x"))
-        return F.when(tall, F.when(fine, by_char).otherwise(whole))
-
-    def outcomes(self, covers: DataFrame, in_paint_order: bool, prefix: str) -> DataFrame:
-        """For each record with candidates: the first hit with its cover, and the tests that it took."""
-        ranked = self.ranked(covers)
-        first = self.hits(ranked, covers, in_paint_order).groupBy(*PAGE, "rec").agg(F.min_by(F.struct("cover", "hit"), "try_no").alias(f"{prefix}_first"), F.min("try_no").alias("__at"))
-        tries = ranked.groupBy(*PAGE, "rec").agg(F.max("try_no").alias("__all"))
-        return tries.join(first, [*PAGE, "rec"], "left").select(*PAGE, "rec", f"{prefix}_first", F.coalesce("__at", "__all").cast("long").alias(f"{prefix}_tests"))
+        return F.when(fine, by_char).otherwise(whole)
 
     def judged(self) -> DataFrame:
         """Every record with its kind, hit, running count of tests, and whether the budget reaches it."""
-        hidden = self.folded.select(*PAGE, F.explode("spans").alias("h"))
-        records = self.records()
-        inside = records.select(*PAGE, "rec", "s", "e").join(hidden, PAGE).where((F.col("s") >= F.col("h.s")) & (F.col("e") <= F.col("h.e"))).select(*PAGE, "rec").distinct().withColumn("is_hidden", F.lit(True))
-        joined = (
-            records.select(*PAGE, "rec", "text", "render_mode", *RECT)
-            .join(self.outcomes(self.covers(), True, "cover"), [*PAGE, "rec"], "left")
-            .join(self.outcomes(self.annotations(), False, "annot"), [*PAGE, "rec"], "left")
-            .join(inside, [*PAGE, "rec"], "left")
+        never = self.annotations().withColumn("op_offset", F.lit(None).cast("int"))
+        met = (
+            self.records()
+            .join(self.tries(self.covers()).withColumnRenamed("tries", "cover_tries"), [*PAGE, "rec"], "left")
+            .join(self.tries(never).withColumnRenamed("tries", "annot_tries"), [*PAGE, "rec"], "left")
         )
+        tested = met.select(*PAGE, "rec", "text", "render_mode", *RECT, "is_hidden", "cover_tries", "annot_tries", self.first_hit("cover_tries", True).alias("cover_first"), self.first_hit("annot_tries", False).alias("annot_first"))
+        count = lambda p: F.coalesce(F.col(f"{p}_first.try_no"), F.size(f"{p}_tries").cast("long")).alias(f"{p}_tests")
+        joined = tested.select(*PAGE, "rec", "text", "render_mode", *RECT, "is_hidden", "cover_first", "annot_first", *(F.when(F.col(f"{p}_tries").isNotNull(), count(p)).alias(f"{p}_tests") for p in ("cover", "annot")))
         under, over = F.col("cover_first.hit").isNotNull(), F.col("annot_first.hit").isNotNull()
         kind = F.when(under, KINDS[0]).when(F.col("render_mode") == 3, KINDS[1]).when(F.col("is_hidden"), KINDS[2]).when(over, KINDS[3])
         zero = F.lit(0).cast("long")

@@ -21,10 +21,14 @@ CELL, BIG_SHARE = 48.0, 0.25
 BIG_CELL = -1
 
 
-def cell_range(low: Column, high: Column, extent: Column, cell: float) -> Column:
+def clamped(v: Column, extent: Column, cell: float) -> Column:
+    """The number, along one side, of the cell that v is in; what lies outside counts to the cells at the edge."""
     last = F.greatest(F.lit(1), F.ceil(F.coalesce(extent, F.lit(1.0)) / cell)) - 1
-    clamp = lambda v: F.greatest(F.lit(0), F.least(last, F.floor(v / cell))).cast("long")
-    return F.sequence(clamp(low), clamp(high))
+    return F.greatest(F.lit(0), F.least(last, F.floor(v / cell))).cast("long")
+
+
+def cell_range(low: Column, high: Column, extent: Column, cell: float) -> Column:
+    return F.sequence(clamped(low, extent, cell), clamped(high, extent, cell))
 
 
 def cells(x: Column, top: Column, right: Column, bottom: Column, vw: Column, vh: Column, cell: float = CELL) -> Column:
@@ -34,19 +38,26 @@ def cells(x: Column, top: Column, right: Column, bottom: Column, vw: Column, vh:
     return F.flatten(F.transform(down, lambda r: F.transform(across, lambda c: r * columns + c)))
 
 
-def candidates(records: DataFrame, covers: DataFrame, keys: list[str], cell: float = CELL, big_share: float = BIG_SHARE) -> DataFrame:
-    """Pairs (keys, rec, cover, first_cell), one for each record and each cover in a cell that both touch.
+def candidates(records: DataFrame, covers: DataFrame, keys: list[str], carry: list[str], cell: float = CELL, big_share: float = BIG_SHARE) -> DataFrame:
+    """Pairs (keys, rec, cover, first_cell, carry), one for each record and each cover in a cell that both touch.
 
     records: keys, rec, x, top, right, bottom, vw, vh. covers: the same with
-    cover in place of rec.
+    cover in place of rec, and the columns of carry. A pair meets in each cell
+    that both touch; it counts in the first of them, which the lesser corners
+    tell, so that no pair has to be taken out afterwards.
     """
-    rect = [F.col(c) for c in ("x", "top", "right", "bottom")]
-    size = [F.col("vw"), F.col("vh")]
-    page_area = F.greatest(F.lit(1.0), F.coalesce(F.col("vw"), F.lit(1.0)) * F.coalesce(F.col("vh"), F.lit(1.0)))
-    own = F.when(area(*rect) > big_share * page_area, F.array(F.lit(BIG_CELL).cast("long"))).otherwise(cells(*rect, *size, cell=cell))
-    left = records.select(*keys, "rec", F.explode(F.concat(F.array(F.lit(BIG_CELL).cast("long")), cells(*rect, *size, cell=cell))).alias("__cell"))
-    right = covers.select(*keys, "cover", F.explode(own).alias("__cell"))
-    return left.join(right, [*keys, "__cell"]).groupBy(*keys, "rec", "cover").agg(F.min("__cell").alias("first_cell"))
+    x, top, right, bottom, vw, vh = map(F.col, ("x", "top", "right", "bottom", "vw", "vh"))
+    page_area = F.greatest(F.lit(1.0), F.coalesce(vw, F.lit(1.0)) * F.coalesce(vh, F.lit(1.0)))
+    columns = F.greatest(F.lit(1), F.ceil(F.coalesce(vw, F.lit(1.0)) / cell)).cast("long")
+    big, touched = F.array(F.lit(BIG_CELL).cast("long")), cells(x, top, right, bottom, vw, vh, cell)
+    across = F.least(clamped(x, vw, cell), clamped(right, vw, cell))
+    down = F.least(clamped(top, vh, cell), clamped(bottom, vh, cell))
+    left = records.select(*keys, "rec", across.alias("__lx"), down.alias("__ly"), F.explode(F.concat(big, touched)).alias("first_cell"))
+    own = F.when(area(x, top, right, bottom) > big_share * page_area, big).otherwise(touched)
+    other = covers.select(*keys, "cover", *carry, across.alias("__rx"), down.alias("__ry"), columns.alias("__n"), F.explode(own).alias("first_cell"))
+    corner = F.greatest("__ly", "__ry") * F.col("__n") + F.greatest("__lx", "__rx")
+    met = left.join(other, [*keys, "first_cell"]).where((F.col("first_cell") == BIG_CELL) | (F.col("first_cell") == corner))
+    return met.select(*keys, "rec", "cover", "first_cell", *carry)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float) -> DataFrame:
