@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirework.functions import geometry as G
 from quirework.functions import ranges as R
 from quirework.functions import text as T
-from quirework.operators import edits, layout, merge, raster
+from quirework.operators import edits, layout, merge, raster, stamps
 from quirework.operators.audit import Audit
 from quirework.operators.pagefold import fold_pages
 from quirework.operators.spatial import overlap_join
@@ -186,6 +186,24 @@ def nine_places(t):
     return t("part").select("p_partkey", at["x"].alias("x"), at["y"].cast("double").alias("y"))
 
 
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_type, 90 * (p_partkey % 4) AS angle, 90 * ((p_partkey // 4) % 4) AS rot, (p_partkey // 16) % 3 AS c, (p_partkey // 48) % 3 AS r, 6.0 + p_size % 7 AS size FROM part),
+  b AS (SELECT *, greatest(length(p_brand), length(p_type)) * size / 2 AS w, 2.25 * size AS h, CASE WHEN rot % 180 = 0 THEN 600 ELSE 800 END AS fw, CASE WHEN rot % 180 = 0 THEN 800 ELSE 600 END AS fh FROM p),
+  o AS (SELECT *, CASE WHEN angle % 180 = 0 THEN w ELSE h END AS bw, CASE WHEN angle % 180 = 0 THEN h ELSE w END AS bh FROM b),
+  l AS (SELECT *, 0 AS line_no, p_brand AS line FROM o UNION ALL SELECT *, 1, p_type FROM o),
+  u AS (SELECT *, CASE c WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 0.5 END * (w - length(line) * size / 2) AS a, h - size - 1.25 * size * line_no AS v,
+    CASE c WHEN 0 THEN 28 WHEN 2 THEN fw - 28 - bw ELSE (fw - bw) / 2 END AS ox, CASE r WHEN 0 THEN fh - 28 - bh WHEN 2 THEN 28 ELSE (fh - bh) / 2 END AS oy FROM l),
+  t AS (SELECT *, ox + CASE angle WHEN 90 THEN h - v WHEN 180 THEN w - a WHEN 270 THEN v ELSE a END AS vx, oy + CASE angle WHEN 90 THEN a WHEN 180 THEN h - v WHEN 270 THEN w - a ELSE v END AS vy FROM u)
+  SELECT p_partkey, CAST(line_no AS INTEGER) AS line_no, line, round(10 + CASE rot WHEN 90 THEN 600 - vy WHEN 180 THEN 600 - vx WHEN 270 THEN vy ELSE vx END, 3) AS x, round(20 + CASE rot WHEN 90 THEN vx WHEN 180 THEN 800 - vy WHEN 270 THEN 800 - vx ELSE vy END, 3) AS y, CAST((angle + rot) % 360 AS INTEGER) AS turn FROM t""")
+def stamped_lines(t):
+    """Two lines on each page, at nine places, turned, on pages that are turned."""
+    p = t("part").withColumn("size", 6.0 + F.col("p_size") % 7).withColumn("place", F.concat(F.get(F.array(*map(F.lit, ("top", "middle", "bottom"))), (F.floor(F.col("p_partkey") / 48) % 3).cast("int")), F.lit("-"), F.get(F.array(*map(F.lit, ("left", "center", "right"))), (F.floor(F.col("p_partkey") / 16) % 3).cast("int"))))
+    box = F.struct(*(F.lit(v).alias(k) for k, v in (("x", 10.0), ("y", 20.0), ("w", 600.0), ("h", 800.0))))
+    angle, turn = (90 * (F.col("p_partkey") % 4)).cast("int"), (90 * (F.floor(F.col("p_partkey") / 4) % 4)).cast("int")
+    size = F.col("size")
+    got = stamps.stamp_lines(p, F.array("p_brand", "p_type"), lambda s: F.length(s) * size / 2, size, F.col("place"), F.lit(28.0), angle, box, turn)
+    return got.select("p_partkey", "line_no", "line", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.col("turn").cast("int").alias("turn"))
+
+
 @query("""WITH o AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS a, o_orderkey % 5 + 1 AS b, o_orderkey % 12 AS c FROM orders)
 SELECT o_orderkey, CASE WHEN c = 0 THEN 'pages start at 1' WHEN c > 10 THEN 'page out of range' END AS error,
   CASE WHEN c BETWEEN 1 AND 10 THEN array_to_string(list_append(CASE WHEN a <= b THEN range(a - 1, b) ELSE list_reverse(range(b - 1, a)) END, c - 1), ' ') END AS pages FROM o""")

@@ -102,3 +102,12 @@ def test_pages_are_edited_whole_or_not_at_all(spark):
     assert bytes(got[1]["content"]) == LINES and "spell" in got[1]["reason"]
     assert places(records(bytes(got[0]["content"])))["1"] == places(records(LINES))["one"]
     assert edit_pages(made, fold_pages(made), asked.where(F.lit(False))).count() == 0
+
+
+def test_stamps_without_lines_and_by_default_alignment(spark):
+    from quirework.operators.stamps import stamp_lines
+
+    box = F.struct(*(F.lit(v).alias(k) for k, v in (("x", 0.0), ("y", 0.0), ("w", 200.0), ("h", 100.0))))
+    df = spark.createDataFrame([(1, ["ab", None, "", "abcd"]), (2, []), (3, None)], "id int, lines array<string>")
+    got = stamp_lines(df, F.col("lines"), lambda s: F.length(s) * 5.0, F.lit(10.0), F.lit("bottom-right"), F.lit(8.0), F.lit(0), box, F.lit(0)).collect()
+    assert [(r["id"], r["line"], r["x"], r["y"], r["turn"]) for r in got] == [(1, "ab", 182.0, 20.5, 0), (1, "abcd", 172.0, 8.0, 0)]
