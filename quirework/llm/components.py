@@ -3,8 +3,9 @@
 Each round points every node's larger neighbours at its least neighbour
 (large star), then every node and its smaller neighbours at their least
 (small star), until nothing changes: a number of rounds that grows with the
-logarithm of the longest chain. A hub's rows are only ever joined with one row
-that holds its least neighbour, and the least is found by partial aggregation.
+logarithm of the longest chain. The least neighbour is found by partial
+aggregation, and a hub's rows are joined with the one row that holds it where
+they are: hubs with more than a thousandth of all rows are few and broadcast.
 Each round is written to the shared folder and read again.
 """
 
@@ -13,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import drop_path, fresh_path
+from quirework.llm.common import drop_path, fresh_path, join_unique
 
 
-def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
+def components(edges: DataFrame, kind: str = "bigint", least_hot: int = 10_000) -> DataFrame:
     """(node, root) for each node of edges (u, v) except for the roots; root is the least node that can be reached.
 
     Loops, repeats and either direction of an edge are fine; rows with a null
@@ -32,10 +33,10 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
         if state == before or not state[0]:
             return now
         both = now.select(F.col("node").alias("a"), F.col("root").alias("b")).union(now.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").where("b <> low").select(F.col("b").alias("node"), F.col("low").alias("root"))
+        least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n")
+        large = join_unique(both, least, "a", "n", 2 * state[0], least=least_hot).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = join_unique(large, least, "a", "n", state[0], least=least_hot).where("b <> low").select(F.col("b").alias("node"), F.col("low").alias("root"))
         after = fresh_path(spark, "star")
         small.union(least.select(F.col("a").alias("node"), F.col("low").alias("root"))).distinct().write.parquet(after)
         drop_path(spark, path)

@@ -8,11 +8,14 @@ search follows only the edges within the radius. A shard of more than
 SHARD_LIMIT fingerprints is dealt again by r + 1 bands of its remaining bits,
 which keeps every link, until it is small or REFINE rounds have fixed so many
 bits that its distinct members are few. Trees thus travel with the
-fingerprints that search them: the trees of a whole corpus have no size bound,
-so none is broadcast.
+fingerprints that search them and none is broadcast: the trees of a whole corpus
+have no size bound, and a broadcast would bring all fingerprints to the driver.
+The README has figures.
 
 A shard yields a spanning forest of its links, never its pairs, and alternating
-stars join the forests. Exact copies share a node, however many they are.
+stars join the forests. Exact copies share a node, however many they are, and
+fingerprints that very many rows have, or components of very many fingerprints,
+are joined by broadcast of their few labels.
 
 Results for odd input: null and wordless texts have fingerprint zero and link
 like others; a null id takes the component of its text and names none; a
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import FOLD, WORD, map_rows, staged, table
+from quirework.llm.common import FOLD, WORD, fields, join_unique, map_rows, staged, table
 from quirework.llm.components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -54,8 +57,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         find = re.compile(WORD).findall
         return lambda rows: {id_col: rows[id_col], "fp": [simhash(t, find) for t in rows["__text"]]}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df.select(id_col, F.col(text_col).alias("__text")), [id_col, "__text"], start, f"`{id_col}` {kind}, fp long")
+    picked = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
+    return map_rows(picked, [id_col, "__text"], start, fields(picked, [id_col], "fp long"))
 
 
 class BKTree:
@@ -165,29 +168,32 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT, refi
     return map_rows(shards, ["fps"], start, "u long, v long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least_hot: int = 10_000) -> DataFrame:
     """For each row: its id, fingerprint, and component_id, the least id that links reach."""
     rows = staged(fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
-    roots = components(links(nodes, radius))
-    linked = staged(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "low"), "linked")
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_linked = linked.join(lows, "root").select("fp", "component_id")
-    alone = nodes.join(of_linked, "fp", "left_anti").select("fp", F.col("low").alias("component_id"))
-    labels = staged(of_linked.union(alone), "labels")
-    return rows.join(labels, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = staged(rows.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes, radius), least_hot=least_hot)
+    linked = staged(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "low", "n"), "linked")
+    n_rows, n_linked = rows.count(), linked.count()
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    of_linked = join_unique(linked, lows, "root", "members", n_linked, least=least_hot).select("fp", "component_id", "n")
+    alone = nodes.join(of_linked, "fp", "left_anti").select("fp", F.col("low").alias("component_id"), "n")
+    labels = staged(of_linked.unionByName(alone), "labels")
+    return join_unique(rows, labels, "fp", "n", n_rows, least=least_hot).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df less all but one of each component: that with the least id.
 
     Rows with a null id stay, for no component names them; of rows with one and
-    the same id that stays, one is kept.
+    the same id that stays, one is kept. Columns may have any names.
     """
-    found = near_duplicates(df, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = df.join(stay, id_col, "left_semi").select(*(f"`{c}`" for c in df.columns)).dropDuplicates([id_col])
-    return named.unionByName(df.where(F.col(id_col).isNull()))
+    numbers = [f"c{i}" for i in range(len(df.columns))]
+    rows, key, text = df.toDF(*numbers), numbers[df.columns.index(id_col)], numbers[df.columns.index(text_col)]
+    found = near_duplicates(rows, key, text)
+    stay = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    named = rows.join(stay, key, "left_semi").select(*numbers).dropDuplicates([key])
+    return named.unionByName(rows.where(F.col(key).isNull())).toDF(*df.columns)
 
 
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
