@@ -7,13 +7,14 @@ it may not move, a bucket under the hash of the block lists the patterns that en
 so, and direct comparison confirms. Each word of a document inside a confirmed
 occurrence is hit.
 
-The tables are broadcast. Their size is checked first: beyond SHARD_CHARS of
-benchmark text, items are dealt by hash into shards, each broadcast and searched
-in turn, and the hits joined.
+The tables are broadcast. Their size is checked first: beyond SHARD_WINDOWS
+patterns, items are dealt by hash into shards, each broadcast and searched in
+turn over rows that are written first, and the hits joined by row number.
 
 Results for odd input: null texts and texts without words have no hits; items
-without words are never found; a null item id counts under the name null;
-repeated items with one id count once, and repeated documents each for itself.
+without words are never found; items with a null id count as one item, which is
+not listed, for it has no name; repeated items with one id count once, and
+repeated documents each for itself.
 """
 
 from __future__ import annotations
@@ -24,38 +25,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import FOLD, map_rows, table
+from quirework.llm.common import FOLD, fields, filter_rows, load, map_rows, shared, staged, table
 
 WINDOW = 13
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Code points of benchmark text in one broadcast.
-SHARD_CHARS = 8_000_000
+#: Patterns in one broadcast, each of about half a kilobyte.
+SHARD_WINDOWS = 250_000
 
 
 class Searcher:
-    """Wu-Manber over patterns that all have the same number of words."""
+    """Wu-Manber over patterns that all have the same number of words. Words are numbers, and a block is one number made of two."""
 
-    def __init__(self, size: int, patterns: dict[tuple, list[str]]):
-        self.size, self.block = size, min(2, size)
-        self.far = size - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, list[tuple[tuple, list[str]]]] = {}
+    def __init__(self, size: int, patterns: dict[tuple[int, ...], list[str | None]], numbers: dict[str, int]):
+        self.size, self.numbers = size, numbers
+        self.shift: dict[int, int] = {}
+        self.buckets: dict[int, list[tuple[tuple[int, ...], list[str | None]]]] = {}
+        self.base = len(numbers) if size > 1 else 0
         for words, items in patterns.items():
-            for j in range(self.block - 1, size):
-                b = words[j - self.block + 1 : j + 1]
-                self.shift[b] = min(self.shift.get(b, self.far), size - 1 - j)
-            self.buckets.setdefault(words[-self.block :], []).append((words, items))
+            for j in range(min(1, size - 1), size):
+                b = words[j - 1] * self.base + words[j]
+                self.shift[b] = min(self.shift.get(b, size), size - 1 - j)
+            self.buckets.setdefault(words[-2:][0] * self.base + words[-1], []).append((words, items))
 
-    def find(self, words: list[str]) -> list[tuple[int, list[str]]]:
+    def find(self, words: list[str]) -> list[tuple[int, list[str | None]]]:
         """(start, items) of each occurrence, in order."""
-        out, i, n, m, move, far = [], self.size - 1, len(words), self.size, self.shift.get, self.far
-        two = self.block == 2
+        out, m, n, i = [], self.size, len(words), self.size - 1
+        number, move, base, far = self.numbers.get, self.shift.get, self.base, max(1, self.size - 1)
         while i < n:
-            b = (words[i - 1], words[i]) if two else (words[i],)
+            if (last := number(words[i])) is None:  # no pattern holds this word
+                i += m
+                continue
+            b = last
+            if base:
+                if (before := number(words[i - 1])) is None:
+                    i += far
+                    continue
+                b += before * base
             if step := move(b, far):
                 i += step
                 continue
-            found = tuple(words[i - m + 1 : i + 1])
+            found = tuple(map(number, words[i - m + 1 : i + 1]))
             for pattern, items in self.buckets[b]:
                 if pattern == found:
                     out.append((i - m + 1, items))
@@ -64,15 +73,16 @@ class Searcher:
         return out
 
 
-def searchers(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Searcher]:
+def searchers(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Searcher]:
     find = re.compile(WORDS).findall
-    by_size: dict[int, dict[tuple, set[str]]] = {}
+    numbers: dict[str, int] = {}
+    by_size: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
     for key, text in items:
-        if words := find((text or "").translate(FOLD)):
+        if words := [numbers.setdefault(w, len(numbers)) for w in find((text or "").translate(FOLD))]:
             m = min(window, len(words))
             for i in range(len(words) - m + 1):
                 by_size.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(key)
-    return [Searcher(m, {w: sorted(k) for w, k in p.items()}) for m, p in sorted(by_size.items())]
+    return [Searcher(m, {w: list(k) for w, k in p.items()}, numbers) for m, p in sorted(by_size.items())]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[dict]:
@@ -89,12 +99,12 @@ def scan(df: DataFrame, tables, columns: list[str], text_col: str) -> DataFrame:
     """columns of df with n_words, the merged hit spans (in words) and the ids of the items found, all as text."""
 
     def start():
-        find, finders = re.compile(WORDS).findall, tables.value
+        find, finders = re.compile(WORDS).findall, load(tables)
 
         def one(text: str | None) -> tuple:
             words = find((text or "").translate(FOLD))
             hits = [(i, i + s.size, k) for s in finders for i, k in s.find(words)]
-            return len(words), merged([h[:2] for h in hits]), sorted({k for h in hits for k in h[2]})
+            return len(words), merged([h[:2] for h in hits]), sorted({k for h in hits for k in h[2]}, key=lambda k: (k is None, k))
 
         def batch(rows: dict) -> dict:
             got = list(zip(*map(one, rows["__text"])))
@@ -102,23 +112,29 @@ def scan(df: DataFrame, tables, columns: list[str], text_col: str) -> DataFrame:
 
         return batch
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return map_rows(df.withColumn("__text", F.col(text_col)), [*columns, "__text"], start, f"{kinds}, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
+    picked = df.select(*(F.col(f"`{c}`").alias(c) for c in columns), F.col(f"`{text_col}`").alias("__text"))
+    return map_rows(picked, [*columns, "__text"], start, fields(picked, columns, "n_words long, spans array<struct<a:int,b:int>>, items array<string>"))
 
 
-def hits(df: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    spark = df.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("k"), F.col(item_text).alias("t"))
-    shards = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // shard_chars))
+def shards_of(benchmark: DataFrame, item_id: str, item_text: str, window: int, shard_windows: int) -> list:
+    """Broadcast searchers for all items, each with a bounded number of patterns (or those of a single item)."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).alias("t"))
+    n = items.agg(F.sum(F.greatest(F.lit(1), F.size(F.split("t", WORDS)) - window))).first()[0] or 0
+    shards = max(1, -(-n // shard_windows))
     of = F.pmod(F.xxhash64("k", "t"), F.lit(shards))
-    found = [
-        scan(df, spark.sparkContext.broadcast(searchers([tuple(r) for r in items.where(of == s).collect()], window)), columns, text_col)
-        for s in range(shards)
-    ]
-    if shards == 1:
-        return found[0]
-    every = reduce(DataFrame.unionByName, found).groupBy(*columns).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return every
+    return [shared(benchmark.sparkSession, searchers([tuple(r) for r in items.where(of == s).collect()], window)) for s in range(shards)]
+
+
+def hits(df: DataFrame, benchmark: DataFrame, column: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+    """column, n_words, spans and items for each row of df."""
+    tables = shards_of(benchmark, item_id, item_text, window, shard_windows)
+    if len(tables) == 1:
+        return scan(df, tables[0], [column], text_col)
+    rows = staged(df.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{column}`").alias("__key"), F.col(f"`{text_col}`").alias("__text")), "texts")
+    found = reduce(DataFrame.unionByName, [scan(rows, t, ["__row", "__key"], "__text") for t in tables])
+    flat = lambda c: F.flatten(F.collect_list(c))
+    merged = found.groupBy("__row").agg(F.first("__key").alias(column), F.max("n_words").alias("n_words"), flat("spans").alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    return merged.drop("__row")
 
 
 def n_hit(spans: Column) -> Column:
@@ -132,11 +148,9 @@ def contaminated(hit: Column, words: Column) -> Column:
     return (hit > 0) & (20 * hit >= words)
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """One row for each row of df: its id, words, hit words, items found and whether it is contaminated."""
-    keyed = df.select(id_col, F.monotonically_increasing_id().alias("__row"), F.col(text_col))
-    found = hits(keyed, benchmark, [id_col, "__row"], text_col, shard_chars=shard_chars)
-    counted = found.withColumn("n_hit", n_hit(F.col("spans")))
+    counted = hits(df, benchmark, id_col, text_col, shard_windows=shard_windows).withColumn("n_hit", n_hit(F.col("spans")))
     return counted.select(
         id_col,
         "n_words",
@@ -147,12 +161,28 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     )
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that are not contaminated. Columns may have any names: they go by number on the way."""
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+    """The rows of df that are not contaminated. Columns may have any names and types."""
+    tables = shards_of(benchmark, "item_id", "text", WINDOW, shard_windows)
+
+    def start():
+        find, finders = re.compile(WORDS).findall, [s for t in tables for s in load(t)]
+
+        def clean(text: str | None) -> bool:
+            words = find((text or "").translate(FOLD))
+            hit = sum(x["b"] - x["a"] for x in merged([(i, i + s.size) for s in finders for i, _ in s.find(words)]))
+            return not (hit and 20 * hit >= len(words))
+
+        return lambda texts: list(map(clean, texts))
+
+    if len(tables) == 1:
+        return filter_rows(df, text_col, start)
     numbers = [f"__{i}" for i in range(len(df.columns))]
-    rows = df.toDF(*numbers).withColumn("__row", F.monotonically_increasing_id())
-    found = hits(rows, benchmark, [*numbers, "__row"], numbers[df.columns.index(text_col)])
-    return found.where(~contaminated(n_hit(F.col("spans")), F.col("n_words"))).select(*numbers).toDF(*df.columns)
+    rows = staged(df.toDF(*numbers).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    text = numbers[df.columns.index(text_col)]
+    found = reduce(DataFrame.unionByName, [scan(rows, t, ["__row"], text) for t in tables]).where(F.size("spans") > 0)
+    bad = found.groupBy("__row").agg(F.max("n_words").alias("n"), n_hit(F.flatten(F.collect_list("spans"))).alias("hit")).where(contaminated(F.col("hit"), F.col("n")))
+    return rows.join(bad, "__row", "left_anti").select(*numbers).toDF(*df.columns)
 
 
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
