@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, map_rows, table
+from quirework.llm.common import WORD, fields, filter_rows, map_rows, table
 
 #: From this many UTF-8 bytes on, up to the next entry: least and greatest ratio of compressed to raw size.
 BANDS = ((0, 0.0, 9.0), (128, 0.35, 1.0), (256, 0.32, 0.86), (512, 0.30, 0.80), (1024, 0.27, 0.72), (4096, 0.25, 0.66), (16384, 0.20, 0.64))
@@ -91,13 +91,12 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
         return batch
 
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kind = df.schema[id_col].dataType.simpleString()
-    picked = df.select(F.col(id_col), F.col(text_col).alias("__text"))
-    return map_rows(picked, [id_col, "__text"], start, f"`{id_col}` {kind}, {SCHEMA}")
+    picked = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
+    return map_rows(picked, [id_col, "__text"], start, fields(picked, [id_col], SCHEMA))
 
 
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that judge() keeps, with their columns, in one pass and without a shuffle."""
+    """The rows of df that judge() keeps, with their columns of any names and types, in one pass and without a shuffle."""
 
     def start():
         find, compressor = re.compile(WORD).findall, zstandard.ZstdCompressor(level=LEVEL)
@@ -106,13 +105,9 @@ def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
             counts = word_counts(text or "", find)
             return not (counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT * counts[0] or ratios((text or "").encode(), compressor)[2])
 
-        def batch(rows: dict) -> dict:
-            good = [i for i, t in enumerate(rows[text_col]) if one(t)]
-            return {k: [v[i] for i in good] for k, v in rows.items()}
-
-        return batch
+        return lambda texts: list(map(one, texts))
 
-    return map_rows(df, df.columns, start, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return filter_rows(df, text_col, start)
 
 
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
