@@ -4,27 +4,25 @@ Document frequencies are counted over all rows that may be learnt from. The
 regression is trained by follow-the-regularised-leader with elastic-net
 penalties on max_rows of those rows at most, the first by hash of id; every
 fifth of them is held back, and on these a temperature is fitted that
-calibrates the scores.
+calibrates the scores. The max_langs most frequent languages are learnt, which
+bounds the model; rows in rarer ones teach nothing.
 
-Results for odd input: und with score zero if a text is null or has no letter,
+Results for odd input: und with score zero if a text is null or has no letter (category L),
 or if there was nothing to learn from; rows with a null lang teach nothing;
 repeated rows are judged each for itself.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import held_out, map_rows, ngram_hashes, table
+from quirework.llm.common import bounded, fields, held_out, load, map_rows, ngram_hashes, shared, table
 
 ORDERS, BITS = (1, 2, 3), 15
 MAX_ROWS, MAX_LANGS = 4_000, 256
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-4, 1e-4
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -92,22 +90,21 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(documents: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, idf of each bucket, and weights divided by the temperature. max_rows bounds the rows of the regression."""
-    rows = documents.where(F.col("lang").isNotNull() & ~held_out())
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+def fit(documents: DataFrame, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, idf of each bucket, and weights divided by the temperature. max_rows bounds the rows of the regression, max_langs its classes."""
+    rows = documents.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    rows = rows.where(F.col("lang").isin(langs)) if langs else rows
     n, df = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
     if not langs:
         return langs, idf, np.zeros((0, 1 << BITS))
-    ids = rows.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
-    some = rows.join(F.broadcast(ids), "doc_id")  # of bounded size
-    shared = documents.sparkSession.sparkContext.broadcast(idf)
+    counted = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("__n"))
+    some = rows.join(bounded(counted, max_rows), "doc_id")
+    held = shared(documents.sparkSession, idf)
 
     def start():
-        idf = shared.value
+        idf = load(held)
 
         def batch(rows: dict) -> dict:
             got = [tf_idf(t, idf) for t in rows["text"]]
@@ -115,9 +112,8 @@ def fit(documents: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.n
 
         return batch
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    got = map_rows(some, ["doc_id", "lang", "text"], start, f"doc_id {kind}, lang string, at binary, x binary")
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows).toArrow().to_pydict()
+    got = map_rows(some, ["doc_id", "lang", "text"], start, fields(some, ["doc_id"], "lang string, at binary, x binary"))
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "at", "x").toArrow().to_pydict()
     number = {k: i for i, k in enumerate(langs)}
     data = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for a, x in zip(got["at"], got["x"])]
     labels = [number[k] for k in got["lang"]]
@@ -128,14 +124,14 @@ def fit(documents: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.n
 
 def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row. The model's size is fixed by BITS and MAX_LANGS."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    held = shared(documents.sparkSession, model)
 
     def start():
-        langs, idf, weights = shared.value
+        langs, idf, weights = load(held)
         weights = weights.T.copy()
 
         def one(text: str | None) -> tuple[str, float]:
-            if not text or not langs or not LETTER.search(text):
+            if not text or not langs or not any(map(str.isalpha, text)):
                 return "und", 0.0
             at, x = tf_idf(text, idf)
             p = softmax(x @ weights[at])
@@ -148,8 +144,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray
 
         return batch
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    got = map_rows(documents, ["doc_id", "text"], start, f"doc_id {kind}, lang_pred string, score double")
+    got = map_rows(documents, ["doc_id", "text"], start, fields(documents, ["doc_id"], "lang_pred string, score double"))
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
