@@ -8,7 +8,7 @@ Features are told by 32-bit hashes, so that in long texts, too, hardly any
 occur by chance.
 
 The model is fitted on max_rows labelled rows at most, the first by hash of
-their id. Everything is scored, over whole texts.
+their id, and ids that many rows share last. Everything is scored, over whole texts.
 
 Results for odd input: null and empty texts have no n-grams and get the score
 of the intercept; rows whose label is null or whose id is held out teach
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import held_out, map_rows, ngram_hashes, staged, table
+from quirework.llm.common import bounded, fields, held_out, load, map_rows, ngram_hashes, shared, staged, table
 
 ORDERS = (3, 4, 5, 6, 8)
 MAX_ROWS, MIN_DOCS, MIN_Z = 20_000, 5, 6.0
@@ -52,9 +52,9 @@ class Lookup:
 
 def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """(text, toxic) of at most max_rows labelled rows that may be learnt from."""
-    seen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so the broadcast is bounded
-    return documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    seen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    counted = documents.groupBy("doc_id").agg(F.count("*").alias("__n")).join(seen, "doc_id")
+    return documents.select("doc_id", "text").join(bounded(counted, max_rows), "doc_id").select("text", "toxic")
 
 
 def toxic_ngrams(rows: DataFrame) -> np.ndarray:
@@ -95,10 +95,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tu
         share = n.get(1, 0) / max(1, sum(n.values()))
         return *none, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     known = toxic_ngrams(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(known)
+    held = shared(rows.sparkSession, known)
 
     def start():
-        look = Lookup(shared.value)
+        look = Lookup(load(held))
         return lambda rows: {"toxic": rows["toxic"], "at": [look(t) for t in rows["text"]]}
 
     found = map_rows(rows, ["text", "toxic"], start, "toxic int, at array<int>")
@@ -112,10 +112,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tu
     if not len(chosen):
         return *none, float(np.log(share / (1 - share)))
     ratio = np.log((pos[chosen] + 1) / (n[1] + 2)) - np.log((neg[chosen] + 1) / (n[0] + 2))
-    shared_chosen = rows.sparkSession.sparkContext.broadcast(known[chosen])
+    held_chosen = shared(rows.sparkSession, known[chosen])
 
     def again():
-        look = Lookup(shared_chosen.value)
+        look = Lookup(load(held_chosen))
         return lambda rows: {"toxic": rows["toxic"], "at": [look(t) for t in rows["text"]]}
 
     got = map_rows(rows, ["text", "toxic"], again, "toxic int, at array<int>").toArrow()
@@ -125,10 +125,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tu
 
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for each row. The model has a weight for each hash, of which fit() finds a bounded number."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    held = shared(documents.sparkSession, model)
 
     def start():
-        known, weights, intercept = shared.value
+        known, weights, intercept = load(held)
         look = Lookup(known)
 
         def batch(rows: dict) -> dict:
@@ -137,8 +137,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thr
 
         return batch
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    got = map_rows(documents, ["doc_id", "text"], start, f"doc_id {kind}, score double")
+    got = map_rows(documents, ["doc_id", "text"], start, fields(documents, ["doc_id"], "score double"))
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
