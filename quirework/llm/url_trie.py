@@ -6,8 +6,10 @@ rule's last segment may be part of one: it fits where the url's path goes on
 with it.
 
 The trie is broadcast while the rules have at most MAX_CHARS characters.
-Beyond, rules are joined by host and whole segments with each url's own
-suffixes and prefixes, and the best is picked.
+Beyond, it takes the rules with few labels and segments, as many as fit, for
+these are the ones that very many urls share; the others are joined by host and
+whole segments with each url's own suffixes and prefixes, salted against busy
+hosts, and the longer match is picked.
 
 Results for odd input: a null url or one without :// has an empty host and path
 and no rule; an empty host fits no rule; an empty path fits only rules without a
@@ -19,12 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import LOWER, UPPER, map_rows, table
+from quirework.llm.common import LOWER, UPPER, fields, load, map_rows, shared, staged, table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DEFAULT = "allow"
+#: Characters of rules in one broadcast.
 MAX_CHARS = 16_000_000
+MAX_DEPTHS, SALTS = 1000, 8
+#: More than a path's length, so that longer hosts come first.
+RANK = 1 << 32
 
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 
@@ -73,44 +79,68 @@ class Trie:
         return best
 
 
+def size(host: Column, path: Column) -> Column:
+    return F.length(host) + F.length(path) + 8
+
+
 def match(df: DataFrame, rules, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT, max_chars: int = MAX_CHARS) -> DataFrame:
     """id, host, path, rule and verdict for each row. rules: a list, or a table (verdict, host, path)."""
     spark = df.sparkSession
-    parted = df.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    if isinstance(rules, DataFrame):
-        if (rules.agg(F.sum(F.length("host") + F.length("path") + 8)).first()[0] or 0) > max_chars:
-            return match_by_join(parted, rules, id_col, default)
-        rules = [(r["verdict"], r["host"], r["path"]) for r in rules.select("verdict", "host", "path").collect()]
-    elif sum(len(h) + len(p) + 8 for _, h, p in rules) > max_chars:
-        return match_by_join(parted, spark.createDataFrame(list(rules), "verdict string, host string, path string"), id_col, default)
-    shared = spark.sparkContext.broadcast(Trie(rules))
+    parted = df.select(F.col(f"`{id_col}`").alias(id_col), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
+    if not isinstance(rules, DataFrame):
+        if sum(len(h) + len(p) + 8 for _, h, p in rules) <= max_chars:
+            return match_by_trie(parted, list(rules), id_col).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+        rules = spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    rules = rules.select("verdict", "host", "path").where("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL")
+    depth = F.size(F.split("host", r"\.")) + F.size(F.split("path", "/"))
+    by_depth = rules.groupBy(depth.alias("depth")).agg(F.sum(size(F.col("host"), F.col("path"))).alias("n")).orderBy("depth").limit(MAX_DEPTHS).collect()
+    upto = held = 0
+    for r in by_depth:
+        held += r["n"]
+        if held > max_chars:
+            break
+        upto = r["depth"]
+    short = [(r["verdict"], r["host"], r["path"]) for r in rules.where(depth <= upto).collect()] if upto else []
+    found = match_by_trie(parted, short, id_col)
+    if held > max_chars or len(by_depth) == MAX_DEPTHS:
+        found = match_by_join(found, rules.where(depth > upto), id_col)
+    return found.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+
+
+def match_by_trie(parted: DataFrame, rules: list[tuple[str, str, str]], id_col: str) -> DataFrame:
+    """parted with rule and verdict, both null where no rule fits."""
+    trie = shared(parted.sparkSession, Trie(rules))
 
     def start():
-        find = shared.value.find
+        find = load(trie).find
 
         def batch(rows: dict) -> dict:
-            got = [find(h, p) or (default, None) for h, p in zip(rows["host"], rows["path"])]
+            got = [find(h, p) or (None, None) for h, p in zip(rows["host"], rows["path"])]
             return rows | {"rule": [x[1] for x in got], "verdict": [x[0] for x in got]}
 
         return batch
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(parted, [id_col, "host", "path"], start, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return map_rows(parted, [id_col, "host", "path"], start, fields(parted, [id_col], "host string, path string, rule string, verdict string"))
 
 
-def match_by_join(parted: DataFrame, rules: DataFrame, id_col: str, default: str = DEFAULT) -> DataFrame:
-    """The same for rules of any number: each url is joined by its host's suffixes and its path's whole segments."""
-    keyed = rules.select("verdict", F.col("host").alias("__h"), F.regexp_replace("path", "[^/]*$", "").alias("__p"), F.col("path").alias("__path"))
+def match_by_join(found: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
+    """found with longer rules of any number: each url is joined by its host's suffixes and its path's whole segments."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    keyed = rules.select(F.col("verdict").alias("__verdict"), F.col("host").alias("__h"), F.regexp_replace("path", "[^/]*$", "").alias("__p"), F.col("path").alias("__path"), salts)
     labels, segments = F.split("host", r"\."), F.split("path", "/")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(segments, 1, i), "/"), F.lit("/"))).otherwise(""))
-    rows = parted.withColumn("__row", F.monotonically_increasing_id())
-    tried = rows.select("*", F.explode(hosts).alias("__h")).select("*", F.explode(paths).alias("__p")).join(keyed, ["__h", "__p"], "left")
-    fits = F.col("verdict").isNotNull() & F.startswith(F.col("path"), F.col("__path")) & (F.col("host") != "")
-    rank = F.struct(F.length("__h"), F.length("__path"), F.col("verdict"))
-    best = F.max(F.when(fits, F.struct(rank.alias("rank"), F.concat("__h", "__path").alias("rule"), "verdict")))
-    got = tried.groupBy("__row", id_col, "host", "path").agg(best.alias("best"))
-    return got.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+    rows = staged(found.withColumn("__row", F.monotonically_increasing_id()), "urls")
+    tried = rows.where("host <> ''").select("__row", "path", F.explode(hosts).alias("__h"), F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int").alias("__salt"), "host")
+    tried = tried.select("__row", "path", "__h", "__salt", F.explode(paths).alias("__p"))
+    fits = tried.join(keyed, ["__h", "__p", "__salt"]).where(F.startswith(F.col("path"), F.col("__path")))
+    rank = lambda host, path, verdict: F.struct((F.length(host) * RANK + F.length(path)).alias("n"), F.col(verdict).alias("verdict"), F.concat(host, path).alias("rule"))
+    best = fits.groupBy("__row").agg(F.max(rank("__h", "__path", "__verdict")).alias("best"))
+    got = rows.join(best, "__row", "left")
+    # Of a rule from the trie only the text is known: it begins with a suffix of the host, which ends before its first slash.
+    old = F.when(F.col("rule").isNotNull(), rank(F.regexp_extract("rule", "^[^/]*", 0), F.regexp_extract("rule", "(?s)^[^/]*(.*)$", 1), "verdict"))
+    pick = F.greatest(F.col("best"), old)
+    return got.select(id_col, "host", "path", pick["rule"].alias("rule"), pick["verdict"].alias("verdict"))
 
 
 def op2_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
