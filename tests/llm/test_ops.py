@@ -118,8 +118,8 @@ def test_wu_manber_against_every_window(spark):
                         found.add(str(k))
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for chars in (wu_manber.SHARD_CHARS, 300):
-        got = wu_manber.decontaminate(docs(spark, rows), bench, shard_chars=chars).collect()
+    for windows in (wu_manber.SHARD_WINDOWS, 40):
+        got = wu_manber.decontaminate(docs(spark, rows), bench, shard_windows=windows).collect()
         assert {r[0]: tuple(r)[1:] for r in got} == want
 
 
@@ -182,14 +182,14 @@ def test_archives_and_loser_tree(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = fresh_path(spark, "warc")
     warc_index.write(pages, path)
-    lines = warc_index.merge(warc_index.runs(spark, path), range_rows=10).collect()
+    lines = warc_index.merge(warc_index.index(spark, path, run_lines=10), range_lines=10, block_lines=2, window=3).collect()
     assert [warc_index.order(tuple(r)) for r in lines] == sorted(warc_index.order(tuple(r)) for r in lines)
     first = {}
     for i, _, h in sorted(rows):
         first.setdefault(h or "", i)
     assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in lines} == {i: (len((h or "").encode()), warc_index.sha1((h or "").encode()), None if first[h or ""] == i else first[h or ""]) for i, _, h in rows}
     rng = random.Random(5)
-    runs = [sorted((f"k{rng.randrange(9)}", "t", rng.randrange(99), f"a{k}", j) for j in range(rng.randrange(20))) for k in range(7)]
+    runs = [sorted((f"k{rng.randrange(9)}", "t", rng.randrange(99), k, "a", j) for j in range(rng.randrange(20))) for k in range(7)]
     assert list(warc_index.LoserTree([iter(sorted(r, key=warc_index.order)) for r in runs])) == sorted((x for r in runs for x in r), key=warc_index.order)
 
 
@@ -209,8 +209,9 @@ def test_rollup_is_idempotent(spark):
     rollup.commit("two", token_rollup.change(rows.where("n = 5"), -1, "v1", F.col("n")))
     want = {("a", "en", "v1", 1, 7), (None, None, "v1", 1, 0)}
     assert set(map(tuple, rollup.totals().collect())) == want
-    small = rollup.compact()
-    assert not small.commit("two", put) and set(map(tuple, small.totals().collect())) == want
+    assert rollup.compact() and not rollup.commit("two", put) and set(map(tuple, rollup.totals().collect())) == want
+    assert rollup.commit("three", put) and rollup.compact() and rollup.compact()
+    assert set(map(tuple, rollup.totals().collect())) == {("a", "en", "v1", 3, 19), (None, None, "v1", 2, 0)}
 
 
 def test_word_counts_and_bands():
