@@ -9,9 +9,11 @@ elite of its neighbour, and evolves on. An island ends early at a packing that
 the sum of lengths shows to be the best there is.
 
 The bins of a block that are not well filled are opened again, and their pieces
-go to the next level, with fewer blocks, until one block is left, or until more
-than half of a level's pieces would be opened again; so the loss at the edges of
-blocks doesn't grow with their number.
+go to the next level, with fewer blocks, until one block is left; so the loss at
+the edges of blocks doesn't grow with their number. Where that would open more
+than half of a level's pieces, as no bin of such lengths can be well filled,
+only bins less than half full are opened: best fit leaves one in a block at
+most, as two of them would have been one.
 
 Results for odd input: a null or empty text is one piece, the end id alone; a
 null id is kept; repeated rows are packed each for itself; an empty table gives
@@ -29,14 +31,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import map_rows, staged, table
-from quirework.llm.tokens import encoder
+from quirework.llm.common import fields, map_rows, staged, table
+from quirework.llm.tokens import ENCODE_ROWS, encoder
 
 CAPACITY, END_ID = 4096, 1
 BLOCK, ISLANDS, EPOCHS = 2048, 2, 2
 POPULATION, GENERATIONS = 4, 6
-#: Bins filled less than this are opened again for the next level.
-WELL_FILLED = 0.995
+#: Bins filled less than the first are opened again for the next level, or less than the second where those are too many.
+OPENED = (0.995, 0.5)
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, path: str | None = None) -> DataFrame:
@@ -48,7 +50,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
         def batch(rows: dict) -> dict:
             out = []
-            for key, raw in zip(rows["__id"], encode(rows["__text"])):
+            for key, raw in zip(rows[id_col], encode(rows["__text"])):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
@@ -57,9 +59,9 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
         return batch
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_rows(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), ["__id", "__text"], start, schema)
+    picked = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__text"))
+    schema = fields(picked, [id_col], "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return map_rows(picked, [id_col, "__text"], start, schema, ENCODE_ROWS)
 
 
 class Packing:
@@ -204,10 +206,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
         if n_blocks == 1:
             return reduce(DataFrame.unionByName, [*done, packed.drop("__fill", "__row")])
         packed = staged(packed, "packed")
-        good = F.col("__fill") >= WELL_FILLED * capacity
-        if 2 * packed.where(~good).count() > n:  # lengths that fill no bin well: another level would do no better
-            return reduce(DataFrame.unionByName, [*done, packed.drop("__fill", "__row")])
+        sure = [F.col("__fill") >= share * capacity for share in OPENED]
+        opened = packed.agg(*(F.count(F.when(~x, 1)) for x in sure)).first()
+        good, left = next(((x, m) for x, m in zip(sure, opened) if 2 * m <= n), (F.lit(True), 0))
         done.append(packed.where(good).drop("__fill", "__row"))
+        if not left:
+            return reduce(DataFrame.unionByName, done)
         items = packed.where(~good).drop("sequence_id", "offset", "__fill")
         level += 1
 

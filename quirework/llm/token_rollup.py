@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm.common import drop_path, fields, file_system, fresh_path, map_rows, staged, table
-from quirework.llm.tokens import VOCABULARY, encoder
+from quirework.llm.tokens import ENCODE_ROWS, VOCABULARY, encoder
 
 KEYS = ("source", "lang", "tokenizer_version")
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -51,7 +51,7 @@ def token_counts(df: DataFrame, columns: list[str], text_col: str = "text", path
         return lambda rows: {c: rows[c] for c in columns} | {"n_tokens": [len(x) // 4 for x in encode(rows["__text"])]}
 
     picked = df.select(*(F.col(f"`{c}`").alias(c) for c in columns), F.col(f"`{text_col}`").alias("__text"))
-    return map_rows(picked, [*columns, "__text"], start, fields(picked, columns, "n_tokens long"))
+    return map_rows(picked, [*columns, "__text"], start, fields(picked, columns, "n_tokens long"), ENCODE_ROWS)
 
 
 def change(df: DataFrame, sign: int, version: str, count: Column) -> DataFrame:
