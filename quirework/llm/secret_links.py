@@ -10,12 +10,19 @@ endpoint. The join asks for the nearest part of each role before and after, by
 running extremes in order of place, so its work is that of a sort and no pairs
 are made. A candidate inside a base span isn't reported again.
 
+Most texts hold no part of any kind. Plain searches tell so before a pattern is
+tried: a kind's words, or a run of signs as long as its shortest match. And where
+a text holds no secret, its identifiers and endpoints aren't looked for, as they
+would complete nothing.
+
 Results for odd input: a null text is an empty one, without spans; repeated rows
 and null ids are scanned each for itself; places are code points.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,17 +44,35 @@ NAMES = list(KINDS)
 MIN_VALUE, SCOPE, MARK = 12, 256, "[SECRET]"
 
 
-def parts(text: Column) -> Column:
-    """All matches of all kinds: (kind, i, gap, len), gap being the distance from the match before, or null for a match that is dropped."""
+def hints(text: Column) -> dict[str, Column]:
+    """What a text has to hold if it holds a part of a kind; a text may well hold it without."""
+    lower = F.lower(text)
+    return {
+        "assign": reduce(Column.__or__, (F.contains(lower, F.lit(w)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))),
+        "access": F.contains(text, F.lit("AKIA")),
+        "hex": F.rlike(text, F.lit("[0-9a-f]{16}")),
+        "weak_key": F.rlike(text, F.lit("[A-Za-z0-9+/]{40}")),
+        "endpoint": F.contains(text, F.lit("://")),
+    }
+
 
-    def of(number: int, pattern: str) -> Column:
+def parts(df: DataFrame, text_col: str) -> DataFrame:
+    """df with all matches of all kinds in __parts: (kind, i, gap, len, good), gap being the distance from the match before; good is false for a match that is dropped."""
+    text = F.col(text_col)
+    for name, hint in hints(text).items():
+        df = df.withColumn(f"__{name}", hint)
+    secret = F.col("__assign") | F.col("__weak_key")
+    wanted = {k: F.col(f"__{k}") for k in ("assign", "access", "hex", "weak_key")} | {"weak_id": secret, "endpoint": secret & F.col("__endpoint")}
+
+    def of(number: int, name: str, pattern: str) -> Column:
         gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         value = lambda h: F.length(F.regexp_replace(h, "^" + KEYWORD, "")) >= MIN_VALUE
         every = F.transform(hits, lambda h, i: F.struct(F.lit(number).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), F.length(h).alias("len"), (value(h) if number == 0 else F.lit(True)).alias("good")))
         none = F.expr("cast(array() as array<struct<kind:int,i:int,gap:int,len:int,good:boolean>>)")
-        return F.when(F.rlike(text, F.lit(pattern)), every).otherwise(none)
+        return F.when(wanted[name] & F.rlike(text, F.lit(pattern)), every).otherwise(none)
 
-    return F.concat(*(of(i, p) for i, p in enumerate(KINDS.values())))
+    found = df.withColumn("__parts", F.concat(*(of(i, k, p) for i, (k, p) in enumerate(KINDS.items()))))
+    return found.drop(*(f"__{k}" for k in hints(text)))
 
 
 def spans(df: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -56,7 +81,7 @@ def spans(df: DataFrame, columns: list[str], text_col: str = "text") -> DataFram
     One shuffle, by row; it carries what columns ask for once.
     """
     rows = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*(f"`{c}`" for c in columns)).alias("first"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    each = rows.select("__row", "first", F.posexplode_outer(parts(F.col("__text"))).alias("pos", "x"))
+    each = parts(rows, "__text").select("__row", "first", F.posexplode_outer("__parts").alias("pos", "x"))
     each = each.select("__row", "pos", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("first")).alias("first"), "x.*").repartition("__row")
     same = W.partitionBy("__row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     at = F.sum("gap").over(same) + F.sum("len").over(same)
@@ -88,21 +113,34 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = MARK) -> DataFrame:
-    """df with the reported spans of its texts replaced by mark; length_col, if there is one, gets the new length. Null texts stay null."""
+    """df with the reported spans of its texts replaced by mark; length_col, if there is one, gets the new length. Null texts stay null.
+
+    Texts without a hint of a secret go by without a shuffle. Columns may have any names.
+    """
+    numbers = [f"c{i}" for i in range(len(df.columns))]
+    names = dict(zip(df.columns, numbers))
+    rows, text_col = df.toDF(*numbers), names[text_col]
+    kinds = hints(F.coalesce(F.col(text_col), F.lit("")))
+    hint = reduce(Column.__or__, (kinds[k] for k in ("access", "assign", "hex", "weak_key")))  # without a secret an endpoint isn't told
+    got = cut(rows.where(hint), text_col, mark)
+    if length_col in names:
+        length = F.coalesce(F.length(text_col).cast(df.schema[length_col].dataType), F.col(names[length_col]))
+        got = got.withColumn(names[length_col], length)
+        rows = rows.withColumn(names[length_col], length)
+    return rows.where(~hint).unionByName(got).toDF(*df.columns)
+
+
+def cut(df: DataFrame, text_col: str, mark: str) -> DataFrame:
     found = spans(df, df.columns, text_col)
     before = W.partitionBy("__row").orderBy("s", "kind").rowsBetween(W.unboundedPreceding, -1)
     end = F.coalesce(F.max(F.when(F.col("reported"), F.col("e"))).over(before), F.lit(0))
-    cut = found.withColumn("cut", F.when(F.col("reported"), F.struct("s", "e", end.cast("long").alias("end"))))
-    got = cut.groupBy("__row").agg(F.first("first", ignorenulls=True).alias("first"), F.array_sort(F.collect_list("cut")).alias("cuts"))
+    cuts = found.withColumn("cut", F.when(F.col("reported"), F.struct("s", "e", end.cast("long").alias("end"))))
+    got = cuts.groupBy("__row").agg(F.first("first", ignorenulls=True).alias("first"), F.array_sort(F.collect_list("cut")).alias("cuts"))
     text = F.col(f"first.{text_col}")
     pieces = F.transform(F.filter("cuts", lambda c: c["s"] >= c["end"]), lambda c: F.concat(F.substring(text, c["end"].cast("int") + 1, (c["s"] - c["end"]).cast("int")), F.lit(mark)))
     rest = F.expr(f"substring(first.`{text_col}`, cast(array_max(transform(cuts, c -> c.e)) as int) + 1)")
     clean = F.when(F.size("cuts") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
-    out = got.select(*(clean.alias(c) if c == text_col else F.col(f"first.`{c}`").alias(c) for c in df.columns))
-    if length_col in df.columns:
-        kind = df.schema[length_col].dataType
-        out = out.withColumn(length_col, F.coalesce(F.length(text_col).cast(kind), F.col(length_col)))
-    return out
+    return got.select(*(clean.alias(c) if c == text_col else F.col(f"first.`{c}`").alias(c) for c in df.columns))
 
 
 def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
