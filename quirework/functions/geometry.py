@@ -59,24 +59,27 @@ def to_viewport(x: Column, y: Column, box: Column, rotate: Column) -> Column:
 
 
 def view_upright(a: Column, b: Column, c: Column, d: Column, rotate: Column) -> Column:
-    """Whether text with this matrix stands upright in the rotated view, within 2 % of its scale."""
-    norm = F.pmod(rotate, F.lit(360))
-    along = F.when(norm == 90, b).when(norm == 180, -a).when(norm == 270, -b).otherwise(a)
-    across = F.when(norm == 90, -a).when(norm == 180, -b).when(norm == 270, a).otherwise(b)
-    up = F.when(norm == 90, -c).when(norm == 180, -d).when(norm == 270, c).otherwise(d)
-    slack = 0.02 * F.hypot(a, b)
-    return (along > 0) & (F.abs(across) <= slack) & (up > 0)
+    """Whether text with this matrix stands upright in the rotated view: within 2 % of the glyphs' scale, or 0.001 on a page that isn't turned."""
+    scale = F.sqrt(c * c + d * d)
+    near = lambda *v: F.greatest(*(F.abs(x) for x in v)) < 0.02 * scale
+    turned = (
+        F.when(rotate == 90, near(a, d) & (b > 0) & (c < 0))
+        .when(rotate == 180, near(b, c) & (a < 0) & (d < 0))
+        .when(rotate == 270, near(a, d) & (b < 0) & (c > 0))
+        .otherwise((F.abs(b) <= 0.001) & (F.abs(c) <= 0.001))
+    )
+    return (scale > 0) & turned
 
 
 def gray_of(space: Column, comps: Column) -> Column:
     """Luminance from 0 to 1 of a fill colour; null where it can't be told, as for patterns."""
-    c = [F.get(comps, F.lit(i)) for i in range(4)]
+    c = [F.get(comps, F.lit(i)).cast("double") for i in range(4)]
     luma = lambda r, g, b: 0.299 * r + 0.587 * g + 0.114 * b
-    k = F.lit(1.0) - c[3]
+    one = F.lit(1.0)
     return (
         F.when(space == "gray", c[0])
         .when(space == "rgb", luma(c[0], c[1], c[2]))
-        .when(space == "cmyk", luma((1 - c[0]) * k, (1 - c[1]) * k, (1 - c[2]) * k))
+        .when(space == "cmyk", luma(*(one - F.least(one, x + c[3]) for x in c[:3])))
     )
 
 
@@ -98,10 +101,16 @@ def visible_to_user(x: Column, y: Column, box: Column, rotate: Column) -> Column
     return F.struct((box["x"] + u).alias("x"), (box["y"] + v).alias("y"))
 
 
-def block_origin(position: Column, frame_w: Column, frame_h: Column, w: Column, h: Column, margin: Column) -> Column:
-    """Lower left corner of a block at one of nine places: top, middle or bottom, a hyphen, and left, center or right."""
-    x = F.when(F.endswith(position, F.lit("left")), margin).when(F.endswith(position, F.lit("right")), frame_w - margin - w).otherwise((frame_w - w) / 2)
-    y = F.when(F.startswith(position, F.lit("bottom")), margin).when(F.startswith(position, F.lit("top")), frame_h - margin - h).otherwise((frame_h - h) / 2)
+#: The nine places: top, middle or bottom, a hyphen, and left, center or right.
+PLACES = [f"{v}-{h}" for v in ("top", "middle", "bottom") for h in ("left", "center", "right")]
+
+
+def block_origin(position: Column, frame_w: Column, frame_h: Column, w: Column, h: Column, margin_x: Column, margin_y: Column | None = None) -> Column:
+    """Lower left corner of a block at one of nine places; any other is bottom-center. margin_y is margin_x if it is not given."""
+    margin_y = margin_x if margin_y is None else margin_y
+    at = F.when(position.isin(PLACES), position).otherwise("bottom-center")
+    x = F.when(F.endswith(at, F.lit("left")), margin_x).when(F.endswith(at, F.lit("right")), frame_w - margin_x - w).otherwise((frame_w - w) / 2)
+    y = F.when(F.startswith(at, F.lit("top")), frame_h - margin_y - h).when(F.startswith(at, F.lit("middle")), (frame_h - h) / 2).otherwise(margin_y)
     return F.struct(x.alias("x"), y.alias("y"))
 
 

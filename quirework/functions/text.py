@@ -72,13 +72,22 @@ def sanitize_winansi(x: Column) -> Column:
 
 
 def winansi_offenders(x: Column) -> Column:
-    """Characters that can't be shown, as an array of (char, code, index); the index counts code points from 0.
+    """What can't be shown, as an array of (char, code, index), by UTF-16 unit, counted from 0. Every control character offends.
 
-    Control characters offend here, but for tab, line feed and carriage return.
+    Half of a pair is no character that a Spark string can hold: its char is U+FFFD.
     """
-    chars = F.filter(F.split(x, ""), lambda c: c != "")
-    bad = F.transform(chars, lambda c, i: F.struct(c.alias("char"), F.concat(F.lit("U+"), F.lpad(F.hex(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")), 4, "0")).alias("code"), i.alias("index")))
-    return F.filter(bad, lambda b: ~F.rlike(b["char"], F.lit(f"[\\t\\n\\r\\x20-\\x7E\\xA0-\\xFF{CP1252_EXTRA}]")))
+    raw = F.hex(F.encode(F.coalesce(x, F.lit("")), "UTF-16BE"))
+    n = (F.length(raw) / 4).cast("int")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def unit(i: Column) -> Column:
+        code = F.substring(raw, 4 * i + 1, F.lit(4))
+        half = F.rlike(code, F.lit("^D[89A-F]"))
+        char = F.when(half, "\uFFFD").otherwise(F.decode(F.unhex(F.when(half, "FFFD").otherwise(code)), "UTF-16BE"))
+        return F.struct(char.alias("char"), F.concat(F.lit("U+"), code).alias("code"), i.alias("index"))
+
+    each = F.transform(at, unit)
+    return F.filter(each, lambda u: ~F.rlike(u["char"], F.lit(f"^[\\x20-\\x7E\\xA0-\\xFF{CP1252_EXTRA}]$")))
 
 
 def winansi_encodable(x: Column) -> Column:
@@ -94,18 +103,19 @@ def nfkc(x: pd.Series) -> pd.Series:
 def fold_text(x: Column) -> Column:
     """Soft hyphens and zero-width characters go; quotes and dashes take their plain form."""
     s = F.regexp_replace(x, "[\\u00AD\\u200B-\\u200D\\u2060\\uFEFF]", "")
-    s = F.regexp_replace(s, "[\\u2018\\u2019\\u201A\\u201B\\u2032]", "'")
-    s = F.regexp_replace(s, "[\\u201C\\u201D\\u201E\\u201F\\u2033]", '"')
+    s = F.regexp_replace(s, "[\\u2018\\u2019\\u201A\\u2032]", "'")
+    s = F.regexp_replace(s, "[\\u201C\\u201D\\u201E\\u2033]", '"')
     return F.regexp_replace(s, "[\\u2010-\\u2015\\u2212]", "-")
 
 
 def norm_text(x: Column) -> Column:
-    return fold_text(nfkc(x))
+    """Runs of white space as one blank, none at the ends; null is empty."""
+    return js_trim(F.regexp_replace(F.coalesce(x, F.lit("")), f"[{BLANK}]+", " "))
 
 
 def cmp_key(x: Column) -> Column:
-    """What two texts have in common if they read alike: folded, without white space, in lower case."""
-    return F.lower(F.regexp_replace(norm_text(x), f"[{BLANK}]", ""))
+    """What two texts have in common if they read alike: composed, folded, without white space, in lower case."""
+    return F.lower(F.regexp_replace(fold_text(nfkc(x)), f"[{BLANK}]", ""))
 
 
 def same_text(ours: Column, theirs: Column) -> Column:
@@ -205,12 +215,17 @@ def escape_xml(x: Column) -> Column:
     return s
 
 
-CJK = "\\u2E80-\\u303F\\u3040-\\u30FF\\u3100-\\u312F\\u3200-\\u32FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF\\uFF00-\\uFFEF"
-CLOSING = "[,.;:!?)\\]}%\\u00BB\\u2019\\u201D\\u3001\\u3002\\uFF0C\\uFF0E\\uFF1A\\uFF1B\\uFF01\\uFF1F\\uFF09]"
+# The ranges that count as ideographic, and the signs that never have a blank before them.
+CJK = "\\u4E00-\\u9FFF\\u3400-\\u4DBF\\uF900-\\uFAFF\\u3040-\\u30FF\\uAC00-\\uD7A3\\u3000-\\u303F\\uFF00-\\uFFEF"
+CLOSING = "[,.;:!?)\\]}%\u2019\u201D]"
 
 
 def is_cjk(char: Column) -> Column:
-    return F.rlike(char, F.lit(f"[{CJK}]"))
+    return F.rlike(char, F.lit(f"^[{CJK}]"))
+
+
+def is_closing(char: Column) -> Column:
+    return F.rlike(char, F.lit("^" + CLOSING))
 
 
 def sha256_hex(x: Column) -> Column:
@@ -230,8 +245,10 @@ def language_list(codes: Column) -> Column:
     return F.when(F.coalesce(F.size(codes), F.lit(0)) > 0, F.array_join(codes, "+")).otherwise("eng")
 
 
+# What runtimes say when memory runs out, and what is told apart from it.
 ENCRYPTED = "(?i)encrypt|password"
-ALLOCATION = "(?i)allocation failed|out of memory|array buffer allocation|failed to allocate|cannot allocate"
+ALLOCATION = "(?i)out of memory|array buffer allocation failed|invalid (typed )?array (buffer )?length|invalid string length|allocation failed|failed to allocate|cannot allocate|OOM"
+NO_ALLOCATION = "(?i)Maximum call stack"
 #: (kind, pattern), the first that fits.
 ERRORS = (
     ("cancelled", "(?i)cancelled"),
@@ -248,8 +265,10 @@ def is_encrypted_error(message: Column) -> Column:
 
 
 def is_allocation_error(message: Column) -> Column:
-    """Out of memory; a detached buffer is something else."""
-    return F.coalesce(F.rlike(message, F.lit(ALLOCATION)) & ~F.rlike(message, F.lit("(?i)detached")), F.lit(False))
+    """Out of memory, as an exception's name and message tell it; a recursion that is too deep is something else."""
+    has = lambda p: F.rlike(message, F.lit(p))
+    told = has(ALLOCATION) | (has("RangeError") & has("(?i)length|size|allocat")) | (has("(?i)getContext") & has("(?i)null|undefined")) | has("(?i)failed to construct 'Blob'")
+    return F.coalesce(told & ~has(NO_ALLOCATION), F.lit(False))
 
 
 def classify_error(message: Column) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirework.functions.text import CLOSING, is_blank, is_cjk, js_trim
+from quirework.functions.text import is_blank, is_cjk, is_closing, js_trim, utf16_length
 
 LINE = ["page_id", "block", "par", "line"]
-#: Part of the median glyph's width that two signs of an ideographic script must be apart for a blank.
-WIDE_GAP = 0.5
+#: Part of the line's median glyph width from which on words of different scripts are parted.
+TRANSITION_GAP = 0.10
 
 
 def real_words(words: DataFrame) -> DataFrame:
@@ -30,44 +30,59 @@ def index_percentile(values: Column, share: float) -> Column:
     return F.get(s, F.least(F.size(s) - 1, F.floor(F.size(s) * share).cast("int")))
 
 
+def glyph_width() -> Column:
+    """A word's width by UTF-16 unit; null where it has no box or no width."""
+    width = ((F.col("x1") - F.col("x0")) / utf16_length(F.col("text"))).cast("double")
+    return F.when((F.col("text") != "") & (width > 0), width)
+
+
 def median_glyph_width(words: DataFrame, keys: list[str]) -> DataFrame:
-    """The upper median of width by character, over all real words of a key.
+    """The upper median of the glyph widths of a key, where there is one.
 
     By rank, not by a list: a key may hold any number of words.
     """
-    width = ((F.col("x1") - F.col("x0")) / F.length(js_trim(F.col("text")))).cast("double")
     each = W.partitionBy(*keys)
-    ranked = real_words(words).select(*keys, width.alias("glyph")).withColumn("__r", F.row_number().over(each.orderBy("glyph"))).withColumn("__n", F.count("*").over(each))
+    ranked = words.select(*keys, glyph_width().alias("glyph")).where("glyph IS NOT NULL").withColumn("__r", F.row_number().over(each.orderBy("glyph"))).withColumn("__n", F.count("*").over(each))
     return ranked.where(F.col("__r") == F.floor(F.col("__n") / 2) + 1).select(*keys, "glyph")
 
 
 def separator(before: Column, after: Column, gap: Column, glyph: Column) -> Column:
     """What stands between two words of a line.
 
-    Two ideographic signs, or one next to closing punctuation, stand together
-    unless the gap is wide; all other words are parted by a blank.
+    Closing punctuation never has a blank before it. Words of one kind of script
+    have one unless both are ideographic; at a change of script the gap decides,
+    and there is a blank where it is not known.
     """
-    last, first = F.substring(before, -1, 1), F.substring(after, 1, 1)
-    both = is_cjk(last) & is_cjk(first)
-    closes = F.rlike(first, F.lit("^" + CLOSING)) & is_cjk(last)
-    return F.when(closes, "").when(both & (gap <= WIDE_GAP * glyph), "").otherwise(" ")
+    last, first = is_cjk(F.substring(before, -1, 1)), is_cjk(F.substring(after, 1, 1))
+    apart = F.coalesce(gap >= TRANSITION_GAP * glyph, F.lit(True))
+    return F.when(is_closing(after), "").when(last & first, "").when(last == first, " ").otherwise(F.when(apart, " ").otherwise(""))
 
 
 def line_texts(words: DataFrame) -> DataFrame:
-    """The text of each line, words in order."""
-    glyphs = median_glyph_width(words, ["page_id"])
-    order = W.partitionBy(*LINE).orderBy("word")
-    near = real_words(words).join(glyphs, "page_id").withColumn("__before", F.lag("text").over(order)).withColumn("__gap", F.col("x0") - F.lag("x1").over(order))
-    piece = F.concat(F.when(F.col("__before").isNull(), "").otherwise(separator(F.col("__before"), F.col("text"), F.col("__gap"), F.col("glyph"))), F.col("text"))
-    return near.groupBy(*LINE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", piece.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    """The text of each line, words in order; words without text are left out.
+
+    A line is a group that its page bounds: its words are put in order in one
+    array, by one shuffle, which the whole page's text goes on with.
+    """
+    word = F.struct("word", "text", "x0", "x1", glyph_width().alias("glyph"))
+    lines = words.where("text <> ''").groupBy(*LINE).agg(F.array_sort(F.collect_list(word)).alias("w"))
+    glyph = upper_median(F.filter(F.transform("w", lambda x: x["glyph"]), lambda g: g.isNotNull()))
+
+    def piece(x: Column, i: Column) -> Column:
+        p = F.get(F.col("w"), i - 1)
+        return F.concat(F.when(i == 0, "").otherwise(separator(p["text"], x["text"], x["x0"] - p["x1"], F.col("glyph"))), x["text"])
+
+    return lines.withColumn("glyph", glyph).select(*LINE, F.array_join(F.transform("w", piece), "").alias("text"))
 
 
 def page_texts(words: DataFrame) -> DataFrame:
     """The text of each page: a line break after a line, a blank line between paragraphs and blocks."""
     listed = lambda order, text: F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
-    paragraphs = line_texts(words).groupBy("page_id", "block", "par").agg(F.array_join(listed("line", "text"), "\n").alias("text"))
+    dealt = words.repartition("page_id")  # words, paragraphs and blocks of a page then meet without another shuffle
+    paragraphs = line_texts(dealt).groupBy("page_id", "block", "par").agg(F.array_join(listed("line", "text"), "\n").alias("text"))
     blocks = paragraphs.groupBy("page_id", "block").agg(F.array_join(listed("par", "text"), "\n\n").alias("text"))
-    return blocks.groupBy("page_id").agg(js_trim(F.regexp_replace(F.array_join(listed("block", "text"), "\n\n"), "\\n{3,}", "\n\n")).alias("text"))
+    whole = F.regexp_replace(F.array_join(listed("block", "text"), "\n\n"), "\\n{3,}", "\n\n")
+    return blocks.groupBy("page_id").agg(F.regexp_replace(whole, "^\\n+|\\n+$", "").alias("text"))
 
 
 def document_text(pages: DataFrame, key: str, mark: str = "\n\n----- page break -----\n\n") -> DataFrame:

@@ -161,7 +161,7 @@ class View:
 
 def luminance(space: str, c: list[float]) -> float | None:
     if space == "cmyk":
-        c, space = [(1 - x) * (1 - c[3]) for x in c[:3]], "rgb"
+        c, space = [1 - min(1, x + c[3]) for x in c[:3]], "rgb"
     return c[0] if space == "gray" else 0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2] if space == "rgb" else None
 
 

@@ -126,9 +126,10 @@ def content_type(pages: Column, size: Column) -> Column:
 
 
 def detect_type(text_runs: Column, sampled: Column, pages: Column, size: Column) -> Column:
-    """From the text runs on the sampled pages, crossed with the size of a page."""
-    many, kb = text_runs > 8 * sampled, size / 1024 / F.greatest(pages, F.lit(1))
-    return F.when(many & (kb > 150), "mixed").when(many, "text").when(kb > 150, "scanned").otherwise("mixed")
+    """From the text runs on the sampled pages: without text scanned, else by the size of a page. Null where the text could not be read."""
+    many = text_runs > 8 * sampled
+    kb = F.when(pages > 0, size / 1024 / pages).otherwise(0)
+    return F.when(many & (kb > 150), "mixed").when(many, "text").when(~many, "scanned")
 
 
 def device_profile(user_agent: Column, memory: Column) -> Column:

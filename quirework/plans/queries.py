@@ -156,12 +156,26 @@ def spatial_overlap(t):
 
 # Scalars
 
-@query("""SELECT l_orderkey, l_linenumber, round(CASE l_linenumber % 4 WHEN 0 THEN l_discount WHEN 1 THEN 0.299 * l_discount + 0.587 * l_tax + 0.114 * (l_quantity / 50)
-  WHEN 2 THEN (0.299 * (1 - l_discount) + 0.587 * (1 - l_tax) + 0.114 * (1 - l_quantity / 50)) * 0.75 END, 6) AS gray FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, round(CASE l_linenumber % 4 WHEN 0 THEN l_discount WHEN 1 THEN 0.299::DOUBLE * l_discount + 0.587::DOUBLE * l_tax + 0.114::DOUBLE * (l_quantity / 50)
+  WHEN 2 THEN 0.299::DOUBLE * (1 - least(1, l_discount + 0.25::DOUBLE)) + 0.587::DOUBLE * (1 - least(1, l_tax + 0.25::DOUBLE)) + 0.114::DOUBLE * (1 - least(1, l_quantity / 50 + 0.25::DOUBLE)) END, 9) AS gray FROM lineitem""")
 def luminance(t):
     space = F.get(F.array(*map(F.lit, ("gray", "rgb", "cmyk", "pattern"))), F.col("l_linenumber") % 4)
     comps = F.array("l_discount", "l_tax", F.col("l_quantity") / 50, F.lit(0.25))
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(G.gray_of(space, comps), 6).alias("gray"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(G.gray_of(space, comps), 9).alias("gray"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_linenumber, 90 * (l_orderkey % 4) AS rot, 90 * (l_linenumber % 4) AS turn, l_suppkey % 5 * 0.00875 * 8 AS skew FROM lineitem),
+  k AS (SELECT *, CASE turn WHEN 90 THEN 0.0 WHEN 180 THEN -8.0 WHEN 270 THEN 0.0 ELSE 8.0 END AS a, CASE turn WHEN 90 THEN 8.0 WHEN 270 THEN -8.0 ELSE 0.0 END AS b,
+    CASE turn WHEN 90 THEN -8.0 WHEN 270 THEN 8.0 ELSE 0.0 END + CASE WHEN turn % 180 = 0 THEN skew ELSE 0 END AS c, CASE turn WHEN 180 THEN -8.0 WHEN 0 THEN 8.0 ELSE 0.0 END + CASE WHEN turn % 180 = 0 THEN 0 ELSE skew END AS d FROM m)
+SELECT l_orderkey, l_linenumber, CASE WHEN rot = 0 THEN abs(b) <= 0.001 AND abs(c) <= 0.001 ELSE turn = rot AND skew < 0.02 * sqrt(c * c + d * d) END AS upright FROM k""")
+def upright_texts(t):
+    """Text matrices turned and a little skewed, on pages that are turned."""
+    turn, skew = 90 * (F.col("l_linenumber") % 4), F.col("l_suppkey") % 5 * 0.00875 * 8
+    by = lambda values, extra: F.get(F.array(*(F.lit(float(v)) for v in values)), (turn / 90).cast("int")) + extra
+    flat = turn % 180 == 0
+    zero = F.lit(0.0)
+    m = (by((8, 0, -8, 0), zero), by((0, 8, 0, -8), zero), by((0, -8, 0, 8), F.when(flat, skew).otherwise(zero)), by((8, 0, -8, 0), F.when(flat, zero).otherwise(skew)))
+    return t("lineitem").select("l_orderkey", "l_linenumber", G.view_upright(*m, 90 * (F.col("l_orderkey") % 4)).alias("upright"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size * 3.0 AS u, p_partkey % 700 AS v, 90 * (p_partkey % 4) AS rot FROM part)
@@ -178,11 +192,12 @@ def viewport_points(t):
     return t("part").select("p_partkey", to["x"].alias("x"), to["y"].alias("y"), back["x"].alias("user_x"), back["y"].alias("user_y"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_partkey % 3 AS c, (p_partkey // 3) % 3 AS r, CAST(p_size AS DOUBLE) AS w FROM part)
-SELECT p_partkey, CASE c WHEN 0 THEN 18.0 WHEN 1 THEN (612 - w) / 2 ELSE 612 - 18 - w END AS x, CASE r WHEN 0 THEN 792 - 18 - 24.0 WHEN 1 THEN (792 - 24) / 2.0 ELSE 18.0 END AS y FROM p""")
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE p_partkey % 3 END AS c, CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE (p_partkey // 3) % 3 END AS r, CAST(p_size AS DOUBLE) AS w FROM part)
+SELECT p_partkey, CASE c WHEN 0 THEN 18.0 WHEN 1 THEN (612 - w) / 2 ELSE 612 - 18 - w END AS x, CASE r WHEN 0 THEN 792 - 30 - 24.0 WHEN 1 THEN (792 - 24) / 2.0 ELSE 30.0 END AS y FROM p""")
 def nine_places(t):
+    """Blocks at nine places with two margins; every seventh at a place that there is not."""
     place = F.concat_ws("-", F.get(F.array(*map(F.lit, ("top", "middle", "bottom"))), (F.floor(F.col("p_partkey") / 3) % 3).cast("int")), F.get(F.array(*map(F.lit, ("left", "center", "right"))), (F.col("p_partkey") % 3).cast("int")))
-    at = G.block_origin(place, F.lit(612.0), F.lit(792.0), F.col("p_size").cast("double"), F.lit(24.0), F.lit(18.0))
+    at = G.block_origin(F.when(F.col("p_partkey") % 7 == 0, "top-leftmost").otherwise(place), F.lit(612.0), F.lit(792.0), F.col("p_size").cast("double"), F.lit(24.0), F.lit(18.0), F.lit(30.0))
     return t("part").select("p_partkey", at["x"].alias("x"), at["y"].cast("double").alias("y"))
 
 
@@ -262,14 +277,55 @@ def formatted(t):
     return t("orders").select("o_orderkey", T.fmt_bytes(n).alias("size"), P.fmt_duration(n % 1000).alias("duration"))
 
 
-MESSAGES = ("RangeError: Array buffer allocation failed", "Error: Render timed out after 30 s", "Input document is encrypted", "Failed to parse PDF document", "Cannot perform Construct on a detached ArrayBuffer", "Cancelled during page 3", "TypeError: x is undefined")
-KINDS = ("allocation", "render-timeout", "encrypted", "damaged", "detached", "cancelled", "unknown")
+#: (message, kind, out of memory)
+MESSAGES = (
+    ("RangeError: Array buffer allocation failed", "allocation", True),
+    ("Error: Render timed out after 30 s", "render-timeout", False),
+    ("Input document is encrypted", "encrypted", False),
+    ("Failed to parse PDF document", "damaged", False),
+    ("Cannot perform Construct on a detached ArrayBuffer", "detached", False),
+    ("Cancelled during page 3", "cancelled", False),
+    ("TypeError: x is undefined", "unknown", False),
+    ("RangeError: Invalid typed array length: 9", "allocation", True),
+    ("RangeError: Maximum call stack size exceeded", "unknown", False),
+    ("Error: Invalid string length", "allocation", True),
+    ("TypeError: Cannot read properties of null (reading 'getContext')", "allocation", True),
+    ("TypeError: Failed to construct 'Blob'", "allocation", True),
+    ("RangeError: offset is out of bounds", "unknown", False),
+    ("getContext is not a function", "unknown", False),
+    ("Error: tab OOM", "allocation", True),
+)
 
 
-@query("SELECT event_id, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END AS kind FROM events")
+@query(f"SELECT event_id, CASE event_id % {len(MESSAGES)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k, _) in enumerate(MESSAGES)) + f" END AS kind, event_id % {len(MESSAGES)} IN ({', '.join(str(i) for i, m in enumerate(MESSAGES) if m[2])}) AS memory FROM events")
 def classified_errors(t):
-    message = F.get(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % 7).cast("int"))
-    return t("events").select("event_id", T.classify_error(F.concat(message, F.lit(" in "), F.coalesce("event_type", F.lit("")))).alias("kind"))
+    said = F.concat(F.get(F.array(*(F.lit(m) for m, _, _ in MESSAGES)), (F.col("event_id") % len(MESSAGES)).cast("int")), F.lit(" in "), F.coalesce("event_type", F.lit("")))
+    return t("events").select("event_id", T.classify_error(said).alias("kind"), T.is_allocation_error(said).alias("memory"))
+
+
+@query("""WITH d AS (SELECT doc_id, chr(9) || substr(text, 1 + CAST(doc_id % 50 AS INTEGER), 40) || CASE doc_id % 3 WHEN 0 THEN '→' WHEN 1 THEN '𝄞' ELSE '€' END || 'x' || chr(10) AS s FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM d), u AS (SELECT doc_id, i, substr(s, i, 1) AS ch, ascii(substr(s, i, 1)) AS cp FROM c),
+w AS (SELECT *, sum(CASE WHEN cp > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - CASE WHEN cp > 65535 THEN 2 ELSE 1 END AS at FROM u),
+h AS (SELECT doc_id, at, cp, CASE WHEN cp > 65535 THEN 55296 + (cp - 65536) // 1024 ELSE cp END AS unit FROM w UNION ALL SELECT doc_id, at + 1, cp, 56320 + (cp - 65536) % 1024 FROM w WHERE cp > 65535)
+SELECT doc_id, CAST(at AS INTEGER) AS at, 'U+' || lpad(upper(to_hex(CAST(unit AS INTEGER))), 4, '0') AS code FROM h
+WHERE NOT (unit BETWEEN 32 AND 126 OR unit BETWEEN 160 AND 255 OR unit IN (8364, 402, 8218, 8222, 8230, 8224, 8225, 710, 8240, 352, 8249, 338, 381, 8216, 8217, 8220, 8221, 8226, 8211, 8212, 732, 8482, 353, 8250, 339, 382, 376))""")
+def winansi_offenders(t):
+    """What of a text can't be shown, by UTF-16 unit: controls too, and both halves of a pair."""
+    k = F.col("doc_id") % 3
+    s = F.concat(F.lit("\t"), F.substring(F.col("text"), (1 + F.col("doc_id") % 50).cast("int"), F.lit(40)), F.when(k == 0, "→").when(k == 1, "𝄞").otherwise("€"), F.lit("x\n"))
+    each = t("documents").where("text IS NOT NULL").select("doc_id", F.explode(T.winansi_offenders(s)).alias("o"))
+    return each.select("doc_id", F.col("o.index").alias("at"), "o.code")
+
+
+@query("""SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') AS said FROM documents""")
+def plain_spacing(t):
+    return t("documents").select("doc_id", T.norm_text(F.col("text")).alias("said"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 40 > 24 AND o_totalprice * 2 / 1024 / (o_orderkey % 5) > 150 AND o_orderkey % 5 > 0 THEN 'mixed' WHEN o_custkey % 40 > 24 THEN 'text' ELSE 'scanned' END AS type FROM orders""")
+def detected_types(t):
+    runs = F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey") % 40)
+    return t("orders").select("o_orderkey", P.detect_type(runs, F.lit(3), F.col("o_orderkey") % 5, F.col("o_totalprice") * 2).alias("type"))
 
 
 @query("""SELECT p_brand, count(*) AS hits FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(p_type), 'an') GROUP BY p_brand""")
@@ -370,18 +426,24 @@ def picked_scale(t):
 
 # Recognised words
 
-WORDS_SQL = """WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(text, '[\\x00-\\x20\\x{A0}]+', ' ', 'g'), ' ') AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS word FROM s),
-words AS (SELECT conv_id, turn, word // 12 AS line, word, t, length(t) * (8 + word % 5) AS width FROM e WHERE t <> '')"""
+WORDS_SQL = """WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(text, '[\\x00-\\x20\\x{A0}]+', ' ', 'g'), ' ') AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(w) AS r, generate_subscripts(w, 1) - 1 AS word FROM s),
+words AS (SELECT conv_id, turn, word // 12 AS line, word, CASE word % 6 WHEN 1 THEN '中' || r WHEN 2 THEN r || '中' WHEN 3 THEN '文' || r WHEN 4 THEN ',' || r ELSE r END AS t, word % 12 * 60 AS x0, length(t) * (8 + word % 5) AS width FROM e WHERE r <> '')"""
 
 
 def as_words(conversations: DataFrame) -> DataFrame:
+    """Words with boxes, some beside ideographs or after a comma, some closer than others."""
     clean = F.regexp_replace("text", "[\\x00-\\x20\\xA0]+", " ")
-    w = conversations.select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("block"), F.posexplode(F.split(clean, " ")).alias("word", "text"))
-    x = (F.col("word") % 12) * 200
-    return w.select("page_id", "block", F.lit(0).alias("par"), F.floor(F.col("word") / 12).cast("int").alias("line"), "word", "text", x.alias("x0"), (x + F.length("text") * (8 + F.col("word") % 5)).alias("x1"))
+    w = conversations.select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("block"), F.posexplode(F.split(clean, " ")).alias("word", "raw")).where("raw <> ''")
+    k, raw, x = F.col("word") % 6, F.col("raw"), (F.col("word") % 12) * 60
+    text = F.when(k == 1, F.concat(F.lit("中"), raw)).when(k == 2, F.concat(raw, F.lit("中"))).when(k == 3, F.concat(F.lit("文"), raw)).when(k == 4, F.concat(F.lit(","), raw)).otherwise(raw)
+    return w.select("page_id", "block", F.lit(0).alias("par"), F.floor(F.col("word") / 12).cast("int").alias("line"), "word", text.alias("text"), x.alias("x0"), (x + F.length(text) * (8 + F.col("word") % 5)).alias("x1"))
 
 
-@query(WORDS_SQL + """, l AS (SELECT conv_id, turn, line, string_agg(t, ' ' ORDER BY word) AS t FROM words GROUP BY ALL), b AS (SELECT conv_id, turn, string_agg(t, chr(10) ORDER BY line) AS t FROM l GROUP BY ALL)
+@query(WORDS_SQL + """, g AS (SELECT *, list_sort(list(8 + word % 5) OVER (PARTITION BY conv_id, turn, line)) AS all_g,
+    lag(t) OVER (PARTITION BY conv_id, turn, line ORDER BY word) AS b, x0 - lag(x0 + width) OVER (PARTITION BY conv_id, turn, line ORDER BY word) AS gap FROM words),
+j AS (SELECT *, b[-1] IN ('中', '文') AS cb, t[1] IN ('中', '文') AS ca, all_g[len(all_g) // 2 + 1] AS glyph FROM g),
+p AS (SELECT *, CASE WHEN b IS NULL OR regexp_matches(t[1], '[,.;:!?)\\]}%’”]') OR (cb AND ca) THEN '' WHEN cb = ca THEN ' ' WHEN gap >= 0.1 * glyph THEN ' ' ELSE '' END || t AS piece FROM j),
+l AS (SELECT conv_id, turn, line, string_agg(piece, '' ORDER BY word) AS t FROM p GROUP BY ALL), b AS (SELECT conv_id, turn, string_agg(t, chr(10) ORDER BY line) AS t FROM l GROUP BY ALL)
 SELECT conv_id AS page_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS text FROM b GROUP BY conv_id""")
 def reading_order(t):
     return layout.page_texts(as_words(t("conversations")))
