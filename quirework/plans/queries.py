@@ -305,16 +305,16 @@ def classified_errors(t):
 
 @query("""WITH d AS (SELECT doc_id, chr(9) || substr(text, 1 + CAST(doc_id % 50 AS INTEGER), 40) || CASE doc_id % 3 WHEN 0 THEN '→' WHEN 1 THEN '𝄞' ELSE '€' END || 'x' || chr(10) AS s FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM d), u AS (SELECT doc_id, i, substr(s, i, 1) AS ch, ascii(substr(s, i, 1)) AS cp FROM c),
-w AS (SELECT *, sum(CASE WHEN cp > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - CASE WHEN cp > 65535 THEN 2 ELSE 1 END AS at FROM u),
-h AS (SELECT doc_id, at, cp, CASE WHEN cp > 65535 THEN 55296 + (cp - 65536) // 1024 ELSE cp END AS unit FROM w UNION ALL SELECT doc_id, at + 1, cp, 56320 + (cp - 65536) % 1024 FROM w WHERE cp > 65535)
-SELECT doc_id, CAST(at AS INTEGER) AS at, 'U+' || lpad(upper(to_hex(CAST(unit AS INTEGER))), 4, '0') AS code FROM h
+w AS (SELECT *, sum(CASE WHEN cp > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - CASE WHEN cp > 65535 THEN 2 ELSE 1 END AS place FROM u),
+h AS (SELECT doc_id, place, cp, CASE WHEN cp > 65535 THEN 55296 + (cp - 65536) // 1024 ELSE cp END AS unit FROM w UNION ALL SELECT doc_id, place + 1, cp, 56320 + (cp - 65536) % 1024 FROM w WHERE cp > 65535)
+SELECT doc_id, CAST(place AS INTEGER) AS place, 'U+' || lpad(upper(to_hex(CAST(unit AS INTEGER))), 4, '0') AS code FROM h
 WHERE NOT (unit BETWEEN 32 AND 126 OR unit BETWEEN 160 AND 255 OR unit IN (8364, 402, 8218, 8222, 8230, 8224, 8225, 710, 8240, 352, 8249, 338, 381, 8216, 8217, 8220, 8221, 8226, 8211, 8212, 732, 8482, 353, 8250, 339, 382, 376))""")
 def winansi_offenders(t):
     """What of a text can't be shown, by UTF-16 unit: controls too, and both halves of a pair."""
     k = F.col("doc_id") % 3
     s = F.concat(F.lit("\t"), F.substring(F.col("text"), (1 + F.col("doc_id") % 50).cast("int"), F.lit(40)), F.when(k == 0, "→").when(k == 1, "𝄞").otherwise("€"), F.lit("x\n"))
     each = t("documents").where("text IS NOT NULL").select("doc_id", F.explode(T.winansi_offenders(s)).alias("o"))
-    return each.select("doc_id", F.col("o.index").alias("at"), "o.code")
+    return each.select("doc_id", F.col("o.index").alias("place"), "o.code")
 
 
 @query("""SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') AS said FROM documents""")
