@@ -6,6 +6,10 @@ text under an annotation. A page on which something is found is text-found; one
 that could not be checked in full is cannot-check and never clean; a document
 takes the worst of its pages.
 
+A page is folded and judged in one pass, as one row: its records are held against
+its own fills and annotations by a grid in memory, so no pairs and no characters
+leave the pass, nothing is kept between queries, and nothing is shuffled.
+
 The budget counts overlap tests in record order. The test that exceeds it ends
 the page: its record and those after it yield nothing. It is part of what is
 computed, not a guard, so it is the same at every scale.
@@ -13,21 +17,25 @@ computed, not a guard, so it is the same at every scale.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from quirework.functions.geometry import area
-from quirework.functions.text import BLANK, is_blank
-from quirework.operators.pagefold import fold_pages
-from quirework.operators.spatial import candidates
+from quirework.functions.text import BLANK, mask
+from quirework.operators.pagefold import fold_page
+from quirework.operators.spatial import Grid, rect_area
 
 PAGE = ["doc_id", "page"]
-RECT = ["x", "top", "right", "bottom"]
+RECT = ("x", "top", "right", "bottom")
+FINDING = "rec int, kind string, text string, full_record string, char_from int, char_to int, precise boolean, x double, top double, right double, bottom double, cover int, gray double, alpha double, color_space string, subtype string, dark boolean"
+JUDGED = "n_covers long, n_records long, n_real long, n_findings long, comparisons long, incomplete boolean, form_xobjects int, unknown_ops map<string,int>, error string, verdict string"
+NOT_BLANK = re.compile(f"[^{BLANK}]")
 KINDS = ("text-under-cover", "invisible-text", "hidden-layer-text", "annotation-cover")
 LIMITATIONS = (
     "The audit finds text that is hidden. It can't tell whether text that was meant to go has been removed.",
@@ -37,9 +45,88 @@ LIMITATIONS = (
 )
 
 
+def by_characters(record: dict, cover: dict) -> dict | None:
+    """The characters whose middle a cover takes in, unless all are blank."""
+    unis, edges = record["chars"]
+    under = [i for i in range(len(unis)) if cover["x"] <= (edges[i] + edges[i + 1]) / 2 <= cover["right"]]
+    text = "".join(unis[i] for i in under)
+    return {"text": text, "char_from": under[0], "char_to": under[-1], "precise": True, "x": edges[under[0]], "right": edges[under[-1] + 1]} if NOT_BLANK.search(text) else None
+
+
+@dataclass(frozen=True)
+class Judge:
+    """What decides about a page."""
+
+    cover_ratio: float
+    min_alpha: float
+    dark_below: float
+    budget: int
+    use_grid: bool
+
+    def hit(self, record: dict, cover: dict, painted: int | None) -> dict | None:
+        """What of a record a cover hides; painted is where the cover was painted, if that counts. Null unless half the record's height is under it."""
+        if min(record["bottom"], cover["bottom"]) - max(record["top"], cover["top"]) < 0.5 * (record["bottom"] - record["top"]):
+            return None
+        if cover["x"] > record["right"] or record["x"] > cover["right"] or painted is not None and painted <= record["e"]:
+            return None
+        if record["editable"] and record["chars"][0] and record["advance"] != 0 and record["right"] > record["x"]:
+            return by_characters(record, cover)
+        common = {"x": max(record["x"], cover["x"]), "top": max(record["top"], cover["top"]), "right": min(record["right"], cover["right"]), "bottom": min(record["bottom"], cover["bottom"])}
+        if rect_area(common) / rect_area(record) < self.cover_ratio:
+            return None
+        return {"text": record["text"], "char_from": 0, "char_to": len(record["text"]) - 1, "precise": False, "x": record["x"], "right": record["right"]}
+
+    def page(self, folded: dict, annots: list[dict]) -> dict:
+        """The findings of a folded page, and what its verdict rests on."""
+        covers = [c | {"cover": i} for i, c in enumerate(folded["covers"]) if c["alpha"] >= self.min_alpha and rect_area(c) > 1]
+        notes = [a | {"cover": i} for i, a in enumerate(annots or ())]
+        near = (lambda rects: Grid(rects, folded["vw"], folded["vh"]).near) if self.use_grid else (lambda rects: lambda record: rects)
+        near_covers, near_notes = near(covers), near(notes)
+        findings, tests, n_real, incomplete = [], 0, 0, False
+        for rec, record in enumerate(folded["records"]):
+            if not NOT_BLANK.search(record["text"]) or rect_area(record) <= 0:
+                continue
+            n_real += 1
+            if incomplete:
+                continue
+            kind = hit = cover = None
+            for cover in near_covers(record):
+                tests += 1
+                if tests > self.budget or (hit := self.hit(record, cover, cover["op_offset"])):
+                    break
+            if tests <= self.budget:
+                if hit:
+                    kind = KINDS[0]
+                elif record["render_mode"] == 3:
+                    kind = KINDS[1]
+                elif any(record["s"] >= h["s"] and record["e"] <= h["e"] for h in folded["spans"]):
+                    kind = KINDS[2]
+                else:
+                    for cover in near_notes(record):
+                        tests += 1
+                        if tests > self.budget or (hit := self.hit(record, cover, None)):
+                            break
+                    kind = KINDS[3] if hit else None
+            if tests > self.budget:
+                incomplete = True
+            elif kind:
+                findings.append(self.finding(rec, record, kind, hit, cover if hit else None))
+        error, forms = folded["error"], folded["form_xobjects"]
+        verdict = "text-found" if findings else "cannot-check" if error is not None or incomplete or forms else "no-findings"
+        counts = {"n_covers": len(covers), "n_records": len(folded["records"]), "n_real": n_real, "n_findings": len(findings), "comparisons": tests}
+        return {"findings": findings, **counts, "incomplete": incomplete, "form_xobjects": forms, "unknown_ops": list(folded["unknown_ops"].items()), "error": error, "verdict": verdict}
+
+    def finding(self, rec: int, record: dict, kind: str, hit: dict | None, cover: dict | None) -> dict:
+        fill = cover if kind == KINDS[0] else None
+        gray = fill and fill["gray"]
+        told = {"rec": rec, "kind": kind, "full_record": record["text"]} | {k: record[k] for k in ("text", *RECT)} | {"char_from": None, "char_to": None, "precise": None} | (hit or {})
+        told |= {"cover": cover and cover["cover"], "subtype": cover["subtype"] if kind == KINDS[3] else None, "dark": None if fill is None else gray is not None and gray <= self.dark_below}
+        return told | {k: fill and fill[k] for k in ("gray", "alpha", "color_space")}
+
+
 @dataclass
 class Audit:
-    """Relations of one audit. Each is lazy; close() lets go of the fold."""
+    """Relations of one audit, each lazy."""
 
     pages: DataFrame
     cover_ratio: float = 0.6
@@ -48,113 +135,30 @@ class Audit:
     budget: int = 400_000
     use_grid: bool = True
 
-    def __post_init__(self):
-        # Read by several joins of one audit: kept, and recomputed from the pages where an executor is lost.
-        # Dealt by page first, for a document may have any number of them and a file any number of documents.
-        self.folded = fold_pages(self.pages.repartition(*PAGE)).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def close(self) -> None:
-        self.folded.unpersist()
-
-    def records(self) -> DataFrame:
-        """Text records with their number on the page, and whether they lie in a span that is off; blank and empty ones left out."""
-        hidden = F.exists("spans", lambda h: (F.col("r.s") >= h["s"]) & (F.col("r.e") <= h["e"])).alias("is_hidden")
-        each = self.folded.select(*PAGE, "vw", "vh", "spans", F.posexplode("records").alias("rec", "r")).select(*PAGE, "vw", "vh", "rec", "r.*", hidden)
-        return each.where(~is_blank(F.col("text")) & (area(*map(F.col, RECT)) > 0))
-
-    def covers(self) -> DataFrame:
-        """Usable fills: opaque enough and larger than a point."""
-        each = self.folded.select(*PAGE, "vw", "vh", F.posexplode("covers").alias("cover", "c")).select(*PAGE, "vw", "vh", "cover", "c.*")
-        return each.where((F.col("alpha") >= self.min_alpha) & (area(*map(F.col, RECT)) > 1))
-
-    def annotations(self) -> DataFrame:
-        return self.folded.select(*PAGE, "vw", "vh", F.posexplode("annots").alias("cover", "a")).select(*PAGE, "vw", "vh", "cover", "a.*")
-
-    def tries(self, covers: DataFrame) -> DataFrame:
-        """For each record with candidates: tries, these in the order in which they are tested."""
-        carry = ["op_offset", *RECT]
-        if self.use_grid:
-            pairs = candidates(self.records(), covers, PAGE, carry)
-        else:
-            pairs = self.records().select(*PAGE, "rec").join(covers.select(*PAGE, "cover", *carry), PAGE).withColumn("first_cell", F.lit(0).cast("long"))
-        return pairs.groupBy(*PAGE, "rec").agg(F.array_sort(F.collect_list(F.struct("first_cell", "cover", *carry))).alias("tries"))
-
-    def first_hit(self, tries: str, in_paint_order: bool) -> Column:
-        """(try_no, cover, hit) of the first test that hits, or null; to be read beside a record. Characters are looked at only where the boxes allow for a hit."""
-        r = {c: F.col(c) for c in RECT}
-
-        def test(c: Column, i: Column) -> Column:
-            tall = F.least(r["bottom"], c["bottom"]) - F.greatest(r["top"], c["top"]) >= 0.5 * (r["bottom"] - r["top"])
-            near = tall & (c["x"] <= r["right"]) & (r["x"] <= c["right"])
-            if in_paint_order:
-                near = near & (c["op_offset"] > F.col("e"))
-            return F.struct((i + 1).cast("long").alias("try_no"), c["cover"].alias("cover"), F.when(near, self.covered(c)).alias("hit"))
-
-        return F.get(F.filter(F.transform(tries, test), lambda x: x["hit"].isNotNull()), F.lit(0))
-
-    def covered(self, cover: Column) -> Column:
-        """(text, char_from, char_to, precise, x, right), or null: characters whose middle a cover takes in, where text stands upright."""
-        middle = lambda c: (c["x0"] + c["x1"]) / 2
-        inside = lambda c: (middle(c) >= cover["x"]) & (middle(c) <= cover["right"])
-        under = F.filter("chars", inside)
-        at = F.filter(F.transform("chars", lambda c, i: F.when(inside(c), i)), lambda i: i.isNotNull())
-        text = F.array_join(F.transform(under, lambda c: c["uni"]), "")
-        by_char = F.when(
-            F.regexp_replace(text, f"[{BLANK}]", "") != "",
-            F.struct(text.alias("text"), F.array_min(at).alias("char_from"), F.array_max(at).alias("char_to"), F.lit(True).alias("precise"), F.get(under, F.lit(0))["x0"].alias("x"), F.element_at(under, -1)["x1"].alias("right")),
-        )
-        common = area(F.greatest(F.col("x"), cover["x"]), F.greatest(F.col("top"), cover["top"]), F.least(F.col("right"), cover["right"]), F.least(F.col("bottom"), cover["bottom"]))
-        whole = F.when(
-            common / area(*map(F.col, RECT)) >= self.cover_ratio,
-            F.struct(F.col("text"), F.lit(0).alias("char_from"), (F.length("text") - 1).alias("char_to"), F.lit(False).alias("precise"), F.col("x"), F.col("right")),
-        )
-        fine = F.col("editable") & (F.size("chars") > 0) & (F.col("advance") != 0) & (F.col("right") > F.col("x"))
-        return F.when(fine, by_char).otherwise(whole)
-
-    def judged(self) -> DataFrame:
-        """Every record with its kind, hit, running count of tests, and whether the budget reaches it."""
-        never = self.annotations().withColumn("op_offset", F.lit(None).cast("int"))
-        met = (
-            self.records()
-            .join(self.tries(self.covers()).withColumnRenamed("tries", "cover_tries"), [*PAGE, "rec"], "left")
-            .join(self.tries(never).withColumnRenamed("tries", "annot_tries"), [*PAGE, "rec"], "left")
-        )
-        tested = met.select(*PAGE, "rec", "text", "render_mode", *RECT, "is_hidden", "cover_tries", "annot_tries", self.first_hit("cover_tries", True).alias("cover_first"), self.first_hit("annot_tries", False).alias("annot_first"))
-        count = lambda p: F.coalesce(F.col(f"{p}_first.try_no"), F.size(f"{p}_tries").cast("long")).alias(f"{p}_tests")
-        joined = tested.select(*PAGE, "rec", "text", "render_mode", *RECT, "is_hidden", "cover_first", "annot_first", *(F.when(F.col(f"{p}_tries").isNotNull(), count(p)).alias(f"{p}_tests") for p in ("cover", "annot")))
-        under, over = F.col("cover_first.hit").isNotNull(), F.col("annot_first.hit").isNotNull()
-        kind = F.when(under, KINDS[0]).when(F.col("render_mode") == 3, KINDS[1]).when(F.col("is_hidden"), KINDS[2]).when(over, KINDS[3])
-        zero = F.lit(0).cast("long")
-        asks = under | (F.col("render_mode") == 3) | F.coalesce(F.col("is_hidden"), F.lit(False))
-        tests = F.coalesce("cover_tests", zero) + F.when(asks, zero).otherwise(F.coalesce("annot_tests", zero))
-        running = F.sum(tests).over(W.partitionBy(*PAGE).orderBy("rec").rowsBetween(W.unboundedPreceding, 0))
-        return joined.select("*", kind.alias("kind"), running.alias("running"), (running <= self.budget).alias("within"))
+    def page_rows(self) -> DataFrame:
+        """One row for each page, with its findings in order."""
+        judge = Judge(self.cover_ratio, self.min_alpha, self.dark_below, self.budget, self.use_grid)
+        kind = StructType([StructField("doc_id", self.pages.schema["doc_id"].dataType), *_parse_datatype_string(f"page int, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>, {JUDGED}")])
+        arrow = to_arrow_schema(kind)
 
-    def findings(self) -> DataFrame:
-        """One row for each finding."""
-        found = self.judged().where(F.col("within") & F.col("kind").isNotNull())
-        hit = F.when(F.col("kind") == KINDS[0], F.col("cover_first.hit")).when(F.col("kind") == KINDS[3], F.col("annot_first.hit"))
-        cover = F.when(F.col("kind") == KINDS[0], F.col("cover_first.cover")).when(F.col("kind") == KINDS[3], F.col("annot_first.cover"))
-        return found.select(
-            *PAGE, "rec", "kind", F.coalesce(hit["text"], F.col("text")).alias("text"), F.col("text").alias("full_record"), hit["char_from"].alias("char_from"), hit["char_to"].alias("char_to"), hit["precise"].alias("precise"),
-            F.coalesce(hit["x"], F.col("x")).alias("x"), "top", F.coalesce(hit["right"], F.col("right")).alias("right"), "bottom", cover.alias("cover"),
-        )
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    rows = [{k: r[k] for k in PAGE} | judge.page(fold_page(r), r["annots"]) for r in batch.slice(i, 256).to_pylist()]
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+        return self.pages.select(*PAGE, "box", "rotate", "content", "fonts", "gs_alpha", "hidden_names", "images", "annots").mapInArrow(run, kind)
 
     def described(self) -> DataFrame:
         """Findings with what hides them: a fill's colour, and whether it is dark; an annotation's subtype."""
-        fills = self.covers().select(*PAGE, "cover", "gray", "alpha", "color_space").withColumn("kind", F.lit(KINDS[0]))
-        notes = self.annotations().select(*PAGE, "cover", "subtype").withColumn("kind", F.lit(KINDS[3]))
-        dark = F.when(F.col("cover").isNotNull() & (F.col("kind") == KINDS[0]), F.coalesce(F.col("gray") <= self.dark_below, F.lit(False)))
-        return self.findings().join(fills, [*PAGE, "cover", "kind"], "left").join(notes, [*PAGE, "cover", "kind"], "left").withColumn("dark", dark)
+        return self.page_rows().select(*PAGE, F.explode("findings").alias("f")).select(*PAGE, "f.*")
+
+    def findings(self) -> DataFrame:
+        """One row for each finding."""
+        return self.described().drop("gray", "alpha", "color_space", "subtype", "dark")
 
     def page_verdicts(self) -> DataFrame:
-        judged = self.judged()
-        per = judged.groupBy(*PAGE).agg(F.count(F.when(F.col("within") & F.col("kind").isNotNull(), 1)).alias("n_findings"), F.least(F.max("running"), F.lit(self.budget + 1)).alias("comparisons"), F.max(~F.col("within")).alias("incomplete"))
-        usable = F.size(F.filter("covers", lambda c: (c["alpha"] >= self.min_alpha) & (area(c["x"], c["top"], c["right"], c["bottom"]) > 1))).cast("long")
-        base = self.folded.select(*PAGE, usable.alias("n_covers"), F.size("records").cast("long").alias("n_records"), "form_xobjects", "unknown_ops", "error")
-        got = base.join(per, PAGE, "left").fillna({"n_findings": 0, "comparisons": 0, "incomplete": False})
-        verdict = F.when(F.col("n_findings") > 0, "text-found").when(F.col("error").isNotNull() | F.col("incomplete") | (F.col("form_xobjects") > 0), "cannot-check").otherwise("no-findings")
-        return got.withColumn("verdict", verdict)
+        return self.page_rows().drop("findings")
 
     def document_verdicts(self) -> DataFrame:
         checked = (F.col("verdict") != "cannot-check") | (F.col("n_records") > 0)
@@ -169,27 +173,34 @@ class Audit:
 
     def unknown_operators(self) -> DataFrame:
         """How often each operator that the fold doesn't know occurs."""
-        return self.folded.select(F.explode("unknown_ops").alias("op", "n")).groupBy("op").agg(F.sum("n").alias("n"))
+        return self.page_rows().select(F.explode("unknown_ops").alias("op", "n")).groupBy("op").agg(F.sum("n").alias("n"))
 
-    def notes(self) -> DataFrame:
+    def said(self) -> Column:
         """What a reader has to be told about a page, in order."""
         unknown = F.slice(F.map_keys("unknown_ops"), 1, 6)
-        said = F.array(
-            F.col("error"),
-            F.when(F.col("form_xobjects") > 0, F.concat(F.lit("Draws through "), F.col("form_xobjects").cast("string"), F.lit(" form object(s), whose text is not read."))),
-            F.when(F.size(unknown) > 0, F.concat(F.lit("Unknown operators: "), F.array_join(unknown, ", "), F.lit("."))),
-            F.when(F.col("incomplete"), F.concat(F.lit("Not checked in full: the limit of "), F.lit(str(self.budget)), F.lit(" overlap tests was reached."))),
+        return F.array_compact(
+            F.array(
+                F.col("error"),
+                F.when(F.col("form_xobjects") > 0, F.concat(F.lit("Draws through "), F.col("form_xobjects").cast("string"), F.lit(" form object(s), whose text is not read."))),
+                F.when(F.size(unknown) > 0, F.concat(F.lit("Unknown operators: "), F.array_join(unknown, ", "), F.lit("."))),
+                F.when(F.col("incomplete"), F.concat(F.lit("Not checked in full: the limit of "), F.lit(str(self.budget)), F.lit(" overlap tests was reached."))),
+            )
         )
-        return self.page_verdicts().select(*PAGE, F.posexplode(F.array_compact(said)).alias("seq", "note"))
+
+    def notes(self) -> DataFrame:
+        return self.page_verdicts().select(*PAGE, F.posexplode(self.said()).alias("seq", "note"))
 
     def report_rows(self, reveal: bool = False) -> DataFrame:
-        """Rows of the report in order: for each page its findings, or that there are none, then its notes; the limitations last."""
-        from quirework.functions.text import mask
-
-        shown = F.col("text") if reveal else mask(F.col("text"))
-        found = self.findings().select("doc_id", "page", F.lit(1).alias("section"), F.col("rec").alias("seq"), "kind", shown.alias("text"))
-        none = self.page_verdicts().where("n_findings = 0").select("doc_id", "page", F.lit(0).alias("section"), F.lit(0).alias("seq"), F.col("verdict").alias("kind"), F.lit("nothing found").alias("text"))
-        notes = self.notes().select("doc_id", "page", F.lit(2).alias("section"), "seq", F.lit("note").alias("kind"), F.col("note").alias("text"))
-        docs = self.folded.select("doc_id").distinct()
-        limits = docs.select("doc_id", F.lit(None).cast("int").alias("page"), F.lit(3).alias("section"), F.posexplode(F.array(*map(F.lit, LIMITATIONS))).alias("seq", "text")).select("doc_id", "page", "section", "seq", F.lit("limitation").alias("kind"), "text")
-        return reduce(DataFrame.unionByName, [none, found, notes, limits])
+        """Rows of the report: for each page its findings and then its notes, or that nothing was found where it has neither; the limitations last.
+
+        section and seq put the rows of a page in order; x and top are points with one decimal.
+        """
+        row = lambda section, seq, kind, x, top, text, note: F.struct(F.lit(section).alias("section"), seq.cast("int").alias("seq"), kind.alias("kind"), x.alias("x"), top.alias("top"), text.alias("text"), note.alias("note"))
+        empty, point = F.lit(""), lambda v: F.format_string("%.1f", v)
+        found = F.transform("findings", lambda f: row(1, f["rec"], f["kind"], point(f["x"]), point(f["top"]), f["text"] if reveal else mask(f["text"]), empty))
+        notes = F.transform("notes", lambda n, i: row(2, i, F.lit("note"), empty, empty, empty, n))
+        both = F.concat(found, notes)
+        none = F.array(row(0, F.lit(0), F.lit("nothing found"), empty, empty, empty, empty))
+        pages = self.page_rows().withColumn("notes", self.said()).select(*PAGE, F.inline(F.when(F.size(both) > 0, both).otherwise(none)))
+        last = F.transform(F.array(*map(F.lit, LIMITATIONS)), lambda t, i: row(3, i, F.lit("limitation"), empty, empty, empty, t))
+        return pages.unionByName(self.pages.select("doc_id").distinct().select("doc_id", F.lit(None).cast("int").alias("page"), F.inline(last)))

@@ -490,16 +490,21 @@ def folded_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def fold_pages(pages: DataFrame) -> DataFrame:
-    """doc_id, page, annots, and what the fold of each page found. A page that can't be read has error set. No shuffle."""
+def fold_pages(pages: DataFrame, characters: bool = True, rows_at_once: int = 256) -> DataFrame:
+    """doc_id, page, annots, and what the fold of each page found. A page that can't be read has error set. No shuffle.
+
+    Without characters, records have none: they are most of what a fold puts out.
+    """
     kind = _parse_datatype_string(f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page int, annots array<struct<subtype:string,{RECT}>>, {FOLDED}")
     arrow = to_arrow_schema(kind)
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{k: r[k] for k in ("doc_id", "page", "annots")} | fold_page(r) for r in batch.to_pylist()]
-            if rows:
+            for i in range(0, batch.num_rows, rows_at_once):
+                rows = [{k: r[k] for k in ("doc_id", "page", "annots")} | fold_page(r) for r in batch.slice(i, rows_at_once).to_pylist()]
+                if not characters:
+                    for r in rows:
+                        r["records"] = [x | {"chars": ([], [0.0])} for x in r["records"]]
                 yield folded_batch(rows, arrow)
 
     return pages.select("doc_id", "page", "box", "rotate", "content", "fonts", "gs_alpha", "hidden_names", "images", "annots").mapInArrow(run, kind)

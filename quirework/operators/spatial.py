@@ -1,9 +1,11 @@
-"""Overlap joins by a grid of cells.
+"""Overlap by a grid of cells.
 
-Without a key, an overlap predicate makes Spark try each pair. Both sides are
-dealt into cells of one size instead, joined on the page and the cell, and
-pairs that share several cells are kept at their first. Rectangles that take
-more than a quarter of their page stand in one extra cell that every record
+Without a key, an overlap predicate makes Spark try each pair. overlap_join()
+deals both sides into cells of one size instead, joins on the page and the cell,
+and keeps pairs that share several cells at their first.
+
+Within a page, which is one row, Grid does the same in memory. Rectangles that
+take more than a quarter of their page stand in one extra cell that every record
 visits, for else they would be dealt into hundreds. An overlap is found whichever
 way; the order of candidates is part of the meaning, as the first hit wins: large
 ones first, then by first shared cell in rows, then by number.
@@ -11,53 +13,49 @@ ones first, then by first shared cell in rows, then by number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from math import ceil, floor
 
-from quirework.functions.geometry import area
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CELL, BIG_SHARE = 48.0, 0.25
-#: The cell of large rectangles; it comes before all others.
-BIG_CELL = -1
-
-
-def clamped(v: Column, extent: Column, cell: float) -> Column:
-    """The number, along one side, of the cell that v is in; what lies outside counts to the cells at the edge."""
-    last = F.greatest(F.lit(1), F.ceil(F.coalesce(extent, F.lit(1.0)) / cell)) - 1
-    return F.greatest(F.lit(0), F.least(last, F.floor(v / cell))).cast("long")
-
 
-def cell_range(low: Column, high: Column, extent: Column, cell: float) -> Column:
-    return F.sequence(clamped(low, extent, cell), clamped(high, extent, cell))
 
-
-def cells(x: Column, top: Column, right: Column, bottom: Column, vw: Column, vh: Column, cell: float = CELL) -> Column:
-    """Numbers of the cells that a rectangle touches, counted in rows."""
-    columns = F.greatest(F.lit(1), F.ceil(F.coalesce(vw, F.lit(1.0)) / cell)).cast("long")
-    across, down = cell_range(x, right, vw, cell), cell_range(top, bottom, vh, cell)
-    return F.flatten(F.transform(down, lambda r: F.transform(across, lambda c: r * columns + c)))
-
-
-def candidates(records: DataFrame, covers: DataFrame, keys: list[str], carry: list[str], cell: float = CELL, big_share: float = BIG_SHARE) -> DataFrame:
-    """Pairs (keys, rec, cover, first_cell, carry), one for each record and each cover in a cell that both touch.
-
-    records: keys, rec, x, top, right, bottom, vw, vh. covers: the same with
-    cover in place of rec, and the columns of carry. A pair meets in each cell
-    that both touch; it counts in the first of them, which the lesser corners
-    tell, so that no pair has to be taken out afterwards.
-    """
-    x, top, right, bottom, vw, vh = map(F.col, ("x", "top", "right", "bottom", "vw", "vh"))
-    page_area = F.greatest(F.lit(1.0), F.coalesce(vw, F.lit(1.0)) * F.coalesce(vh, F.lit(1.0)))
-    columns = F.greatest(F.lit(1), F.ceil(F.coalesce(vw, F.lit(1.0)) / cell)).cast("long")
-    big, touched = F.array(F.lit(BIG_CELL).cast("long")), cells(x, top, right, bottom, vw, vh, cell)
-    across = F.least(clamped(x, vw, cell), clamped(right, vw, cell))
-    down = F.least(clamped(top, vh, cell), clamped(bottom, vh, cell))
-    left = records.select(*keys, "rec", across.alias("__lx"), down.alias("__ly"), F.explode(F.concat(big, touched)).alias("first_cell"))
-    own = F.when(area(x, top, right, bottom) > big_share * page_area, big).otherwise(touched)
-    other = covers.select(*keys, "cover", *carry, across.alias("__rx"), down.alias("__ry"), columns.alias("__n"), F.explode(own).alias("first_cell"))
-    corner = F.greatest("__ly", "__ry") * F.col("__n") + F.greatest("__lx", "__rx")
-    met = left.join(other, [*keys, "first_cell"]).where((F.col("first_cell") == BIG_CELL) | (F.col("first_cell") == corner))
-    return met.select(*keys, "rec", "cover", "first_cell", *carry)
+def rect_area(r: dict) -> float:
+    return max(0.0, r["right"] - r["x"]) * max(0.0, r["bottom"] - r["top"])
+
+
+class Grid:
+    """Rectangles of a page by the cells that they touch; what lies outside counts to the cells at the edge."""
+
+    def __init__(self, rects: list[dict], vw: float | None, vh: float | None, cell: float = CELL, big_share: float = BIG_SHARE):
+        self.cell, self.across, self.down = cell, max(1, ceil((vw or 1.0) / cell)), max(1, ceil((vh or 1.0) / cell))
+        self.big: list[dict] = []
+        self.held: dict[tuple[int, int], list[tuple[int, dict]]] = {}
+        for i, r in enumerate(rects):
+            if rect_area(r) > big_share * max(1.0, (vw or 1.0) * (vh or 1.0)):
+                self.big.append(r)
+            else:
+                for at in self.cells(r):
+                    self.held.setdefault(at, []).append((i, r))
+
+    def cells(self, r: dict) -> Iterator[tuple[int, int]]:
+        """Row by row."""
+        place = lambda v, n: max(0, min(n - 1, floor(v / self.cell)))
+        (c0, c1), (r0, r1) = sorted((place(r["x"], self.across), place(r["right"], self.across))), sorted((place(r["top"], self.down), place(r["bottom"], self.down)))
+        return ((row, col) for row in range(r0, r1 + 1) for col in range(c0, c1 + 1))
+
+    def near(self, r: dict) -> Iterator[dict]:
+        """Rectangles in a cell that r touches, each once, in the order in which they are tried."""
+        yield from self.big
+        seen: set[int] = set()
+        if self.held:
+            for at in self.cells(r):
+                for i, other in self.held.get(at, ()):
+                    if i not in seen:
+                        seen.add(i)
+                        yield other
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float) -> DataFrame:

@@ -13,7 +13,7 @@ from quirework.functions import geometry as G
 from quirework.functions import ranges as R
 from quirework.functions import text as T
 from quirework.operators import edits, layout, merge, raster, stamps
-from quirework.operators.audit import Audit
+from quirework.operators.audit import LIMITATIONS, Audit
 from quirework.operators.pagefold import fold_pages
 from quirework.operators.spatial import overlap_join
 from quirework.plans import preflight as P
@@ -107,12 +107,18 @@ SELECT r.doc_id, CAST(r.page AS INTEGER) AS page, CAST(least(max(total), 41) AS
 FROM running r LEFT JOIN found f ON f.doc_id = r.doc_id AND f.page = r.page AND f.rec = r.rec GROUP BY r.doc_id, r.page""")
 def audit_budget(t):
     """Pages under a budget of 40 tests: where it ends, and what was found before."""
-    audit = Audit(pages(t("documents")), budget=40)
-    real = audit.records().select("doc_id", "page").distinct()
-    return audit.page_verdicts().join(real, ["doc_id", "page"], "left_semi").select("doc_id", "page", "comparisons", "incomplete", "n_findings")
+    return Audit(pages(t("documents")), budget=40).page_verdicts().where("n_real > 0").select("doc_id", "page", "comparisons", "incomplete", "n_findings")
 
 
-@query()
+LIMITS_SQL = ", ".join(f"({i}, '{text.replace(chr(39), chr(39) * 2)}')" for i, text in enumerate(LIMITATIONS))
+
+
+@query(f"""{FINDINGS_SQL}, rows AS (
+  SELECT doc_id, CAST(page AS INTEGER) AS page, 1 AS section, CAST(rec AS INTEGER) AS seq, kind, printf('%.1f', 72.0 + 5 * coalesce(char_from, 0)) AS x, printf('%.1f', 43.2 + 14 * rec) AS top,
+    repeat('•', least(length(text), 24)) || CASE WHEN length(text) > 24 THEN '…' ELSE '' END || ' (' || length(text) || CASE WHEN length(text) = 1 THEN ' character)' ELSE ' characters)' END AS text, '' AS note FROM found
+  UNION ALL SELECT DISTINCT doc_id, CAST(page AS INTEGER), 0, 0, 'nothing found', '', '', '', '' FROM numbered_records WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM found)
+  UNION ALL SELECT doc_id, NULL, 3, i, 'limitation', '', '', '', said FROM (SELECT DISTINCT doc_id FROM documents), (VALUES {LIMITS_SQL}) l(i, said)
+) SELECT * FROM rows""")
 def audit_report(t):
     """Rows of the report, texts masked."""
     return Audit(pages(t("documents"))).report_rows()
@@ -122,7 +128,7 @@ def audit_report(t):
   round(43.2 + 14 * rec, 3) AS top, round(54.2 + 14 * rec, 3) AS bottom, CASE WHEN role = 1 THEN 3 ELSE 0 END AS render_mode FROM numbered_records""")
 def text_records(t):
     """Text records with their places, from page bytes."""
-    r = fold_pages(pages(t("documents"))).select("doc_id", "page", F.posexplode("records").alias("rec", "r"))
+    r = fold_pages(pages(t("documents")), characters=False).select("doc_id", "page", F.posexplode("records").alias("rec", "r"))
     return r.select("doc_id", "page", "rec", "r.text", F.round("r.x", 3).alias("x"), F.round("r.right", 3).alias("right"), F.round("r.top", 3).alias("top"), F.round("r.bottom", 3).alias("bottom"), "r.render_mode")
 
 

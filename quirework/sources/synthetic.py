@@ -36,34 +36,42 @@ def line_code(text: str, role: int, a: int, b: int, y: int) -> str:
     return {0: f"{shown}q {fill}", 2: f"/OC /Off BDC\n{shown}EMC\n", 4: f"{shown}q /Faint gs {fill}", 5: f"q {fill}{shown}"}.get(role, shown)
 
 
-def page_rows(doc_id: int | None, text: str | None) -> Iterator[dict]:
-    """The pages of one text. Roles: 0 a fill over characters a to b, painted after them; 1 invisible; 2 in a layer that is off; 3 an annotation over characters a to b; 4 a fill that is too faint; 5 a fill painted before; 6 nothing."""
-    text, key = BEYOND.sub("?", CONTROL.sub(" ", text or "")), doc_id or 0
-    lines = [text[i : i + LINE] for i in range(0, len(text), LINE)] or [""]
-    for page, first in enumerate(range(0, len(lines), LINES)):
-        code, notes = [], []
-        for j, line in enumerate(lines[first : first + LINES]):
-            role, a = (key * 31 + page * 17 + j * 7) % 7, (key + j) % 20
-            b, y = a + 5 + (page + j) % 30, FIRST - STEP * j
-            code.append(line_code(line, role, a, b, y))
-            if role == 3:
-                top = HEIGHT - y - 0.88 * SIZE
-                notes.append({"subtype": "Square", "x": float(LEFT + ADVANCE * a), "top": top, "right": float(LEFT + ADVANCE * b), "bottom": top + 1.1 * SIZE})
-        yield {"doc_id": doc_id, "page": page, "box": {"x": 0.0, "y": 0.0, "w": float(WIDTH), "h": float(HEIGHT)}, "rotate": 0, "content": "".join(code).encode("latin-1"), "fonts": [("F1", {"subtype": "Type1", "base_font": "Helvetica"})],
-               "gs_alpha": [("Faint", 0.49)], "hidden_names": ["Off"], "images": [], "annots": notes}
+def page_row(doc_id: int | None, page: int, text: str) -> dict:
+    """A page of a text. Roles: 0 a fill over characters a to b, painted after them; 1 invisible; 2 in a layer that is off; 3 an annotation over characters a to b; 4 a fill that is too faint; 5 a fill painted before; 6 nothing."""
+    text, key = BEYOND.sub("?", CONTROL.sub(" ", text)), doc_id or 0
+    code, notes = [], []
+    for j, line in enumerate([text[i : i + LINE] for i in range(0, len(text), LINE)] or [""]):
+        role, a = (key * 31 + page * 17 + j * 7) % 7, (key + j) % 20
+        b, y = a + 5 + (page + j) % 30, FIRST - STEP * j
+        code.append(line_code(line, role, a, b, y))
+        if role == 3:
+            top = HEIGHT - y - 0.88 * SIZE
+            notes.append({"subtype": "Square", "x": float(LEFT + ADVANCE * a), "top": top, "right": float(LEFT + ADVANCE * b), "bottom": top + 1.1 * SIZE})
+    return {"doc_id": doc_id, "page": page, "box": {"x": 0.0, "y": 0.0, "w": float(WIDTH), "h": float(HEIGHT)}, "rotate": 0, "content": "".join(code).encode("latin-1"), "fonts": [("F1", {"subtype": "Type1", "base_font": "Helvetica"})],
+            "gs_alpha": [("Faint", 0.49)], "hidden_names": ["Off"], "images": [], "annots": notes}
 
 
 def pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A page relation, ready for the fold. Row by row, without a shuffle."""
+    """A page relation, ready for the fold.
+
+    Texts are cut into pages first, and the cuts dealt by page, for one text may
+    have any number of them and one file any number of texts; drawing and what
+    follows then run where a page is, without another shuffle.
+    """
     kind = _parse_datatype_string(f"doc_id long, page int, {PAGE}")
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_pylist(list(page_rows(doc_id, text)), schema=arrow)
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, kind)
+            for i in range(0, batch.num_rows, 256):
+                yield pa.RecordBatch.from_pylist([page_row(*r) for r in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns))], schema=arrow)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cut = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{LINE * LINES}}}"), F.lit(0)))
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(cut).alias("page", "text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that they aren't made fewer by their bytes: drawing and folding take time, not room
+    dealt = dealt.repartition(parts, "doc_id", "page")
+    return dealt.mapInArrow(run, kind)
 
 
 #: The same layout for SQL: one row for each line.
