@@ -21,38 +21,64 @@ def merge_totals(files: DataFrame, keys: list[str]) -> DataFrame:
     return usable_files(files).groupBy(*keys).agg(F.count("*").alias("inputs"), F.sum("size").alias("bytes"), F.sum("pages").alias("pages"))
 
 
+def before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, ties: tuple[str, ...] = (), parts: int = 256) -> DataFrame:
+    """df with the sum of value over the rows that come before in order, within each key.
+
+    A key may hold any share of all rows: its order, a number, is cut into parts
+    of equal width first. Parts are summed, with partial sums before the shuffle,
+    and their few sums run on; the rows run on within a part alone.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = max((high - low) / parts, 1e-9) if low is not None else 1
+    cut = df.withColumn("__value", value.cast("long")).withColumn("__part", F.floor((F.col(order) - F.lit(low)) / F.lit(width)))
+    sums = cut.groupBy(*keys, "__part").agg(F.sum("__value").alias("__sum"))
+    earlier = F.sum("__sum").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    met = cut.join(sums, [*same, F.col("__part").eqNullSafe(F.col("__p"))])
+    inside = F.sum("__value").over(W.partitionBy(*keys, "__part").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1))
+    return met.withColumn(name, (F.col("__earlier") + F.coalesce(inside, F.lit(0))).cast("long")).drop("__value", "__part", "__p", "__earlier", *(f"__{k}" for k in keys))
+
+
 def manifest(files: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each page of the merged file: where it comes from and its number from 1.
 
-    Numbers come from running sums over files, not over pages, so a merge of
-    many pages sorts only its files.
+    Numbers come from running sums over files, not over pages.
     """
-    order = W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    placed = usable_files(files).where("pages > 0").withColumn("__before", F.coalesce(F.sum("pages").over(order), F.lit(0)))
+    placed = before(usable_files(files).where("pages > 0"), keys, "ord", F.col("pages"), "__before")
     pages = placed.select(*keys, "ord", "name", "__before", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("source_page"))
     return pages.select(*keys, "ord", "name", "source_page", (F.col("__before") + F.col("source_page")).cast("long").alias("page"))
 
 
-def receipts(manifests: DataFrame, keys: list[str], line: Column) -> DataFrame:
-    """For each merged file: inputs, pages, bytes and SHA-256 of its lines in order of page."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", line.alias("line")))), lambda x: x["line"]), "\n")
-    got = manifests.groupBy(*keys).agg(F.countDistinct("ord").alias("inputs"), F.count("*").alias("pages"), text.alias("__text"))
-    return got.select(*keys, "inputs", "pages", F.octet_length("__text").cast("long").alias("bytes"), F.sha2("__text", 256).alias("sha256"))
+#: Lines of a manifest that are hashed together.
+RECEIPT_LINES = 1000
+
+
+def receipts(manifests: DataFrame, keys: list[str], line: Column, lines: int = RECEIPT_LINES) -> DataFrame:
+    """For each merged file: inputs, pages, bytes of its lines, and the SHA-256 of the digests of so many lines each, in order of page.
+
+    So no more than a thousand lines, or the digests of a file's thousands, meet in one row.
+    """
+    joined = lambda order, text, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), by)
+    part = F.floor((F.col("page") - 1) / lines).alias("__part")
+    parts = manifests.groupBy(*keys, part).agg(joined("page", line, "\n").alias("__text"), F.count("*").alias("__n"), F.count(F.when(F.col("source_page") == 1, 1)).alias("__inputs"))
+    hashed = parts.select(*keys, "__part", "__n", "__inputs", (F.octet_length("__text") + 1).cast("long").alias("__bytes"), F.sha2("__text", 256).alias("__digest"))
+    got = hashed.groupBy(*keys).agg(F.sum("__inputs").alias("inputs"), F.sum("__n").alias("pages"), (F.sum("__bytes") - 1).alias("bytes"), joined("__part", F.col("__digest"), "\n").alias("__digests"))
+    return got.select(*keys, "inputs", "pages", "bytes", F.sha2("__digests", 256).alias("sha256"))
 
 
 def moved(files: DataFrame, keys: list[str], move: Column, by: Column) -> DataFrame:
     """New order after moving each file for which move holds by so many places; ties keep their order."""
-    at = F.row_number().over(W.partitionBy(*keys).orderBy("ord")).cast("double")
+    at = (F.col("__n") + 1).cast("double")
     target = F.when(move, at + by + F.when(by > 0, 0.5).otherwise(-0.5)).otherwise(at)
-    ranked = files.withColumn("__at", at).withColumn("__to", target)
-    return ranked.withColumn("ord", F.row_number().over(W.partitionBy(*keys).orderBy("__to", "__at"))).drop("__at", "__to")
+    ranked = before(files, keys, "ord", F.lit(1), "__n").withColumn("__at", at).withColumn("__to", target).drop("__n")
+    return before(ranked, keys, "__to", F.lit(1), "__n", ("__at",)).withColumn("ord", (F.col("__n") + 1).cast("int")).drop("__at", "__to", "__n")
 
 
 def page_grid(pages: DataFrame, keys: list[str], deleted: Column, turn: Column) -> DataFrame:
     """State of a grid of pages: rotation from 0 to 270, deleted ones out of the numbering, labels from 1."""
-    kept = F.when(deleted, 0).otherwise(1)
-    number = F.sum(kept).over(W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
-    return pages.withColumn("deleted", deleted).withColumn("rotate", F.pmod(turn, F.lit(360)).cast("int")).withColumn("label", F.when(~deleted, number))
+    counted = before(pages.withColumn("deleted", deleted), keys, "ord", F.when(F.col("deleted"), 0).otherwise(1), "__kept")
+    return counted.withColumn("rotate", F.pmod(turn, F.lit(360)).cast("int")).withColumn("label", F.when(~F.col("deleted"), F.col("__kept") + 1)).drop("__kept")
 
 
 def preview(rows: DataFrame, keys: list[str], order: str, show: int) -> DataFrame:

@@ -370,8 +370,8 @@ def merge_totals(t):
 
 
 @query(FILES_SQL + """, p AS (SELECT source, lang, ord, unnest(range(1, pages + 1)) AS sp FROM f WHERE NOT bad AND pages > 0), n AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY ord, sp) AS page FROM p),
-g AS (SELECT source, lang, count(DISTINCT ord) AS inputs, count(*) AS pages, string_agg(page || ' ' || ord || ' ' || sp, chr(10) ORDER BY page) AS s FROM n GROUP BY ALL)
-SELECT source, lang, inputs, pages, CAST(strlen(s) AS BIGINT) AS bytes, sha256(s) AS sha256 FROM g""")
+g AS (SELECT source, lang, (page - 1) // 1000 AS part, count(*) FILTER (sp = 1) AS inputs, count(*) AS pages, string_agg(page || ' ' || ord || ' ' || sp, chr(10) ORDER BY page) AS s FROM n GROUP BY ALL)
+SELECT source, lang, CAST(sum(inputs) AS BIGINT) AS inputs, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(strlen(s) + 1) - 1 AS BIGINT) AS bytes, sha256(string_agg(sha256(s), chr(10) ORDER BY part)) AS sha256 FROM g GROUP BY ALL""")
 def merge_receipts(t):
     made = merge.manifest(as_files(t("documents")), ["source", "lang"])
     return merge.receipts(made, ["source", "lang"], F.concat_ws(" ", "page", "ord", "source_page"))
