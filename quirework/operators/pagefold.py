@@ -180,6 +180,8 @@ class Page:
     alphas: dict[str, float] = field(default_factory=dict)
     hidden: frozenset[str] = frozenset()
     images: frozenset[str] = frozenset()
+    #: Widths of characters by standard font, for glyphs without one.
+    metrics: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.records: list[dict] = []
@@ -380,6 +382,7 @@ class Page:
         stretch, advance, pending = self.stretch / 100, 0.0, False
         unis: list[str] = []
         steps: list[float] = []
+        shown: list[tuple] = []
         for part in parts:
             if not isinstance(part, bytes):
                 advance -= part / 1000 * self.size * stretch
@@ -389,6 +392,7 @@ class Page:
                 continue
             codes, texts, widths = zip(*decoded)
             pending |= None in widths
+            shown += decoded
             known = {w: ((500 if w is None else w) / 1000 * self.size + self.spacing) * stretch for w in set(widths)}
             if self.word and 32 in codes:
                 blank = self.word * stretch
@@ -411,10 +415,25 @@ class Page:
                 "reason": self.font.reason if not self.font.editable else None if whole else "rotated or skewed text", "color": self.color, "pending_widths": pending, "chars": (unis, edges),
             }
         )
+        if pending and (known := self.metrics.get(self.font.standard)):
+            self.settle(self.records[-1], shown, known, m)
         self.type0 += self.font.two_byte
         self.tm = times((1.0, 0.0, 0.0, 1.0, advance, 0.0), self.tm)
 
 
+    def settle(self, record: dict, shown: list[tuple], known: dict[str, float], m: Matrix) -> None:
+        """Gives glyphs without a width the one of the standard font. What follows stays where it was put; kerning doesn't count, and turned text keeps its place."""
+        per = [known.get(text, 500.0) if width is None else width for _, text, width in shown]
+        steps = [(w / 1000 * self.size + self.spacing + (self.word if code == 32 else 0.0)) * self.stretch / 100 for w, (code, *_) in zip(per, shown)]
+        record |= {"advance": sum(steps), "pending_widths": False}
+        if self.view.rotate or max(abs(self.tm[1]), abs(self.tm[2])) >= 0.001:
+            return
+        ends = [moved(m, x, 0.0)[0] - self.view.x for x in (0.0, record["advance"])]
+        record |= {"x": min(ends), "right": max(ends)}
+        scale = (record["right"] - record["x"]) / record["advance"] if record["advance"] else 0.0
+        record["chars"] = record["chars"][0], list(accumulate((step * scale for step in steps), initial=record["x"]))
+
+
 HANDLERS = {
     **dict.fromkeys(("g", "rg", "k", "sc", "scn"), Page.paint_in),
     **dict.fromkeys(PATHS, Page.draw),
@@ -436,28 +455,28 @@ COVER = f"op_offset:int,{RECT},gray:double,alpha:double,color_space:string,comps
 GRAPHIC = f"type:string,{RECT},clip_top:double,clip_bottom:double"
 FOLDED = (
     f"vw double, vh double, records array<struct<{RECORD}>>, covers array<struct<{COVER}>>, spans array<struct<s:int,e:int,name:string>>, graphics array<struct<{GRAPHIC}>>, "
-    "unknown_ops map<string,int>, form_xobjects int, type0_runs int, error string"
+    "unknown_ops map<string,int>, used_codes map<string,map<int,string>>, form_xobjects int, type0_runs int, error string"
 )
 #: What a page relation holds besides doc_id and page.
 PAGE = (
-    "box struct<x:double,y:double,w:double,h:double>, rotate int, content binary, fonts map<string,struct<subtype:string,base_font:string,widths:map<int,double>,to_unicode:map<int,string>,default_width:double>>, "
+    "box struct<x:double,y:double,w:double,h:double>, rotate int, content binary, fonts map<string,struct<subtype:string,base_font:string,widths:map<int,double>,to_unicode:map<int,string>,default_width:double,encoding:string,differences:map<int,string>>>, "
     "gs_alpha map<string,double>, hidden_names array<string>, images array<string>, annots array<struct<subtype:string,x:double,top:double,right:double,bottom:double>>"
 )
 
 
-def fold_page(row: dict) -> dict:
+def fold_page(row: dict, metrics: dict[str, dict[str, float]] | None = None) -> dict:
     box, rotate = row["box"], (row["rotate"] or 0) % 360
     view = View(box["x"], box["y"], box["w"], box["h"], rotate)
     vw, vh = view.size
-    out = {"vw": vw, "vh": vh, "records": [], "covers": [], "spans": [], "graphics": [], "unknown_ops": {}, "form_xobjects": 0, "type0_runs": 0, "error": None}
+    out = {"vw": vw, "vh": vh, "records": [], "covers": [], "spans": [], "graphics": [], "unknown_ops": {}, "used_codes": {}, "form_xobjects": 0, "type0_runs": 0, "error": None}
     if row["content"] is None:
         return out | {"error": "the page has no readable content"}
     fonts = {name: Font.of(name, f) for name, f in dict(row["fonts"] or ()).items()}
     try:
-        page = Page(view, fonts, dict(row["gs_alpha"] or ()), frozenset(row["hidden_names"] or ()), frozenset(row["images"] or ())).run(row["content"])
+        page = Page(view, fonts, dict(row["gs_alpha"] or ()), frozenset(row["hidden_names"] or ()), frozenset(row["images"] or ()), metrics or {}).run(row["content"])
     except (ValueError, ArithmeticError, IndexError) as e:
         return out | {"error": f"the page's content could not be read: {e}"}
-    return out | {"records": page.records, "covers": page.covers, "spans": page.spans, "graphics": page.graphics, "unknown_ops": page.unknown, "form_xobjects": page.forms, "type0_runs": page.type0}
+    return out | {"records": page.records, "covers": page.covers, "spans": page.spans, "graphics": page.graphics, "unknown_ops": page.unknown, "used_codes": {name: list(used.items()) for name, f in fonts.items() if (used := f.used())}, "form_xobjects": page.forms, "type0_runs": page.type0}
 
 
 def offsets(lists: list) -> pa.Array:
@@ -486,14 +505,15 @@ def folded_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
             made = [chars_array([r["chars"] for r in flat], p.type) if p.name == "chars" else pa.array([r[p.name] for r in flat], p.type) for p in parts]
             columns.append(pa.ListArray.from_arrays(offsets(values), pa.StructArray.from_arrays(made, fields=parts)))
         else:
-            columns.append(pa.array([list(v.items()) for v in values] if f.name == "unknown_ops" else values, f.type))
+            columns.append(pa.array([list(v.items()) for v in values] if f.name in ("unknown_ops", "used_codes") else values, f.type))
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def fold_pages(pages: DataFrame, characters: bool = True, rows_at_once: int = 256) -> DataFrame:
+def fold_pages(pages: DataFrame, characters: bool = True, rows_at_once: int = 256, metrics: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """doc_id, page, annots, and what the fold of each page found. A page that can't be read has error set. No shuffle.
 
     Without characters, records have none: they are most of what a fold puts out.
+    With metrics, glyphs of standard fonts that have no width get theirs.
     """
     kind = _parse_datatype_string(f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page int, annots array<struct<subtype:string,{RECT}>>, {FOLDED}")
     arrow = to_arrow_schema(kind)
@@ -501,7 +521,7 @@ def fold_pages(pages: DataFrame, characters: bool = True, rows_at_once: int = 25
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, rows_at_once):
-                rows = [{k: r[k] for k in ("doc_id", "page", "annots")} | fold_page(r) for r in batch.slice(i, rows_at_once).to_pylist()]
+                rows = [{k: r[k] for k in ("doc_id", "page", "annots")} | fold_page(r, metrics) for r in batch.slice(i, rows_at_once).to_pylist()]
                 if not characters:
                     for r in rows:
                         r["records"] = [x | {"chars": ([], [0.0])} for x in r["records"]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 UNKNOWN = "�"
@@ -19,6 +20,10 @@ def glyph_char(name: str) -> str:
         code = int(m[1] or m[2], 16)
         return chr(code) if code < 0x110000 else UNKNOWN
     base = name.split(".")[0]
+    if m := re.fullmatch(r"([A-Za-z])([a-z]+)", base):
+        made = unicodedata.normalize("NFC", m[1] + MARKS.get(m[2], ""))
+        if m[2] in MARKS and len(made) == 1:
+            return made
     return base if len(base) == 1 else GLYPHS.get(base, UNKNOWN)
 
 
@@ -29,8 +34,34 @@ GLYPHS = {
     "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`",
     "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "bullet": "•",
     "ellipsis": "…", "Euro": "€", "fi": "ﬁ", "fl": "ﬂ", "germandbls": "ß", "nbspace": " ",
+    "dagger": "†", "daggerdbl": "‡", "trademark": "™", "copyright": "©", "registered": "®", "degree": "°", "plusminus": "±", "section": "§", "paragraph": "¶", "middot": "·", "periodcentered": "·", "sterling": "£",
+    "yen": "¥", "cent": "¢", "AE": "Æ", "ae": "æ", "OE": "Œ", "oe": "œ", "Oslash": "Ø", "oslash": "ø", "guillemotleft": "«", "guillemotright": "»", "quotesinglbase": "‚", "quotedblbase": "„", "exclamdown": "¡", "questiondown": "¿",
 }
 
+# Glyph names of marks on letters, as combining characters.
+MARKS = {"grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde": "\u0303", "macron": "\u0304", "breve": "\u0306", "dotaccent": "\u0307", "dieresis": "\u0308", "ring": "\u030A", "hungarumlaut": "\u030B", "caron": "\u030C", "cedilla": "\u0327", "ogonek": "\u0328"}
+
+# Base fonts that are one of the fourteen that every reader has, and its name.
+STANDARD = {
+    "Helvetica": "Helvetica", "Helvetica-Bold": "HelveticaBold", "Helvetica-Oblique": "HelveticaOblique", "Helvetica-BoldOblique": "HelveticaBoldOblique",
+    "Courier": "Courier", "Courier-Bold": "CourierBold", "Courier-Oblique": "CourierOblique", "Courier-BoldOblique": "CourierBoldOblique",
+    "Times-Roman": "TimesRoman", "Times-Bold": "TimesRomanBold", "Times-Italic": "TimesRomanItalic", "Times-BoldItalic": "TimesRomanBoldItalic", "Symbol": "Symbol", "ZapfDingbats": "ZapfDingbats",
+    "Arial": "Helvetica", "Arial-Bold": "HelveticaBold", "Arial,Bold": "HelveticaBold", "ArialMT": "Helvetica", "Arial-BoldMT": "HelveticaBold",
+    "TimesNewRoman": "TimesRoman", "TimesNewRomanPSMT": "TimesRoman", "CourierNew": "Courier",
+}
+
+# Published widths of Helvetica, and the characters that have them, in thousandths.
+HELVETICA = {
+    278: " !,./:;I[\\]ft", 355: '"', 556: "#$0123456789?L_abdeghnopqu", 889: "%", 667: "&ABEKPSVXY", 191: "'", 333: "()-`r", 389: "*", 584: "+<=>~", 1015: "@",
+    722: "CDHNRUw", 611: "FTZ", 778: "GOQ", 500: "Jcksvxyz", 833: "Mm", 944: "W", 469: "^", 222: "ijl", 334: "{}", 260: "|",
+}
+
+#: Widths by standard font. What is not in here keeps waiting for its width.
+METRICS: dict[str, dict[str, float]] = {
+    **dict.fromkeys(("Courier", "CourierBold", "CourierOblique", "CourierBoldOblique"), dict.fromkeys(map(chr, (*range(0x20, 0x7F), *range(0xA0, 0x100))), 600.0)),
+    **dict.fromkeys(("Helvetica", "HelveticaOblique"), {c: float(w) for w, chars in HELVETICA.items() for c in chars}),
+}
+
 #: Ranges of a character map name so many codes at most.
 RANGE_CAP = 65_536
 
@@ -60,6 +91,11 @@ def parse_to_unicode(cmap: str) -> dict[int, str]:
     return out
 
 
+def base_name(name: str | None) -> str:
+    """A base font's name without the tag of a subset."""
+    return re.sub(r"^[A-Z]{6}\+", "", (name or "").removeprefix("/"))
+
+
 @dataclass
 class Font:
     name: str
@@ -71,35 +107,73 @@ class Font:
     differences: dict[int, str] = field(default_factory=dict)
     editable: bool = True
     reason: str | None = None
+    plain: bool = False
+    #: Codes that the page has shown, with their text and width.
     decoded: dict[int, tuple[int, str, float | None]] = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, name: str, row: dict | None) -> Font:
+        """The font of a row of the page relation.
+
+        A two-byte font can be written again if it has a character map and its
+        codes are glyphs as they stand (Identity-H). Of one-byte fonts, those
+        with the encoding of Macintosh or the standard one show their codes
+        plainly, all others code page 1252, both but for named differences.
+        """
         row = row or {}
         two = row.get("subtype") == "Type0"
-        known = dict(row.get("to_unicode") or ())
-        readable = not two or bool(known)
-        return cls(name, row.get("base_font") or "", two, dict(row.get("widths") or ()), row.get("default_width"), known, {}, readable, None if readable else "no character map")
+        known, encoding = dict(row.get("to_unicode") or ()), row.get("encoding") or ""
+        writable = not two or bool(known) and "Identity-H" in encoding
+        default = (1000.0 if row.get("default_width") is None else row["default_width"]) if two else None
+        differences = {} if two else dict(row.get("differences") or ())
+        return cls(name, base_name(row.get("base_font")), two, dict(row.get("widths") or ()), default, known, differences, writable, None if writable else "a two-byte font without Identity-H and a character map", any(e in encoding for e in ("MacRoman", "Standard")))
+
+    @property
+    def standard(self) -> str | None:
+        return None if self.two_byte else STANDARD.get(self.base)
 
     def char(self, code: int) -> str:
         if (text := self.to_unicode.get(code)) is not None:
             return text
-        if (glyph := self.differences.get(code)) is not None:
+        if self.two_byte:
+            return UNKNOWN
+        if glyph := self.differences.get(code):
             return glyph_char(glyph)
-        return UNKNOWN if self.two_byte else winansi(code)
+        return chr(code) if self.plain else winansi(code)
 
     def width(self, code: int) -> float | None:
-        """In thousandths; a zero counts as missing."""
-        return self.widths.get(code, self.default) or None
+        """In thousandths. A one-byte font's zero counts as missing; a two-byte font has a default."""
+        return self.widths.get(code, self.default) if self.two_byte else self.widths.get(code) or None
 
     def decode(self, data: bytes):
-        """(code, text, width or None) of each glyph; a last odd byte of a two-byte font stands alone."""
-        codes = [int.from_bytes(data[i : i + 2], "big") for i in range(0, len(data), 2)] if self.two_byte else data
+        """(code, text, width or None) of each glyph; a last odd byte of a two-byte font shows nothing."""
+        codes = [int.from_bytes(data[i : i + 2], "big") for i in range(0, len(data) - 1, 2)] if self.two_byte else data
         for c in set(codes).difference(self.decoded):
             self.decoded[c] = c, self.char(c), self.width(c)
         return [self.decoded[c] for c in codes]
 
+    def used(self) -> dict[int, str]:
+        """The codes that have been shown, with their text."""
+        return {c: text for c, text, _ in self.decoded.values()}
+
     def inverse(self) -> dict[str, int]:
-        """Characters to codes, of those with a width or that the document itself maps."""
-        codes = {*self.widths, *self.to_unicode} if self.two_byte else range(256)
-        return {self.char(c): c for c in sorted(codes, reverse=True) if self.char(c) != UNKNOWN and (self.width(c) or c in self.to_unicode or not self.widths)}
+        """Texts to codes that the font is sure to show.
+
+        A two-byte font shows what its character map names. A one-byte code
+        needs a width, or a standard font if there are no widths at all, or to
+        have been shown; shown codes go first, then the least, and of shown
+        ones the last.
+        """
+        if self.two_byte:
+            return {text: c for c, text in sorted(self.to_unicode.items(), reverse=True) if text} if self.editable else {}
+        out: dict[str, int] = {}
+        for c in range(256):
+            named = c in self.to_unicode or self.differences.get(c)
+            text = self.char(c)
+            if text == UNKNOWN or self.plain and not named and not 32 <= c <= 126:
+                continue
+            if c not in self.decoded and not (self.width(c) if self.widths else self.standard):
+                continue
+            if text not in out or c in self.decoded:
+                out[text] = c
+        return out

@@ -179,8 +179,28 @@ class Pdf:
         else:
             start = int(self.get(f.get("FirstChar", 0.0)))
             widths = {start + i: float(self.get(x)) for i, x in enumerate(self.get(f.get("Widths")) or [])}
-        cmap = self.stream(f["ToUnicode"]).decode("latin-1") if isinstance(f.get("ToUnicode"), Ref) else ""
-        return {"subtype": f.get("Subtype"), "base_font": f.get("BaseFont"), "widths": list(widths.items()), "to_unicode": list(parse_to_unicode(cmap).items()), "default_width": default}
+        try:
+            cmap = self.stream(f["ToUnicode"]).decode("latin-1") if isinstance(f.get("ToUnicode"), Ref) else ""
+        except (ValueError, zlib.error):
+            cmap = ""
+        encoding = self.get(f.get("Encoding"))
+        listed = encoding if isinstance(encoding, dict) else {}
+        named = self.get(listed.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
+        return {
+            "subtype": f.get("Subtype"), "base_font": f.get("BaseFont"), "widths": list(widths.items()), "to_unicode": list(parse_to_unicode(cmap).items()), "default_width": default,
+            "encoding": str(named) if isinstance(named, Name) else None, "differences": list(self.differences(self.get(listed.get("Differences")) or []).items()),
+        }
+
+    def differences(self, listed: list) -> dict[int, str]:
+        """Codes to glyph names: a number sets the code, each name takes it and goes on to the next."""
+        out, code = {}, 0
+        for item in map(self.get, listed):
+            if isinstance(item, float):
+                code = int(item)
+            elif isinstance(item, Name):
+                out[code] = str(item)
+                code += 1
+        return out
 
     def page(self, page: dict, hidden: set[int]) -> dict:
         """A row of the page relation."""

@@ -17,13 +17,17 @@ def page(content, **more):
     return {"doc_id": 1, "page": 0, "box": {"x": 0.0, "y": 0.0, "w": 612.0, "h": 792.0}, "rotate": 0, "content": content.encode("latin-1"), "fonts": FONT, "gs_alpha": [("Faint", 0.49), ("Half", 0.5)], "hidden_names": ["Off"], "images": [], "annots": []} | more
 
 
-def audit(spark, *rows, **options):
+def relation(spark, *rows):
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(f"doc_id long, page int, {PAGE}"))
-    return Audit(spark.createDataFrame(pa.Table.from_pylist([dict(r, page=i) for i, r in enumerate(rows)], schema=schema)), **options)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(r, page=i) for i, r in enumerate(rows)], schema=schema))
+
+
+def audit(spark, *rows, **options):
+    return Audit(relation(spark, *rows), **options)
 
 
 CASES = [
