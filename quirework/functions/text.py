@@ -71,6 +71,11 @@ def sanitize_winansi(x: Column) -> Column:
     return F.regexp_replace(two, f"[^\\x{{0}}-\\x{{FF}}{CP1252_EXTRA}]", "?")
 
 
+def dropped_characters(x: Column) -> Column:
+    """The characters that sanitize_winansi takes out, each once, in order of their first place; null has none."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(f"[^\\x{{0}}-\\x{{FF}}{CP1252_EXTRA}]"), F.lit(0)))
+
+
 def winansi_offenders(x: Column) -> Column:
     """What can't be shown, as an array of (char, code, index), by UTF-16 unit, counted from 0. Every control character offends.
 

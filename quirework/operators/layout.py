@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirework.functions.text import is_blank, is_cjk, is_closing, js_trim, utf16_length
+from quirework.functions.geometry import norm_angle, visible_frame, visible_to_user
+from quirework.functions.text import is_blank, is_cjk, is_closing, js_trim, sanitize_winansi, utf16_length
+from quirework.operators.raster import unmap
 
 LINE = ["page_id", "block", "par", "line"]
 #: Part of the line's median glyph width from which on words of different scripts are parted.
@@ -113,7 +115,30 @@ def mean_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys).agg(F.avg(number).alias("confidence"))
 
 
-def text_layer(words: DataFrame, page_h: Column, scale: Column) -> DataFrame:
-    """Where each word of the invisible layer goes, in points from below left; sizes are 4 at least."""
-    h = (F.col("y1") - F.col("y0")) / scale
-    return real_words(words).select("*", F.greatest(F.lit(4.0), 0.85 * h).alias("size"), (F.col("x0") / scale).alias("x"), (page_h - F.col("y1") / scale).alias("baseline"))
+def layer_size(top: Column, bottom: Column, scale: Column) -> Column:
+    """The size of a word's letters from its box; 4 at least."""
+    return F.greatest(F.lit(4.0), F.abs(bottom - top) / scale * 0.85)
+
+
+def placeable(words: DataFrame) -> DataFrame:
+    return words.where(~is_blank(F.col("text")) & F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull())
+
+
+def text_layer(words: DataFrame, box: Column, rotate: Column, scale: Column, skew: Column, w: Column, h: Column) -> DataFrame:
+    """Where each word of the invisible layer goes on its own page: shown, x, y, size and turn.
+
+    Boxes are in a prepared raster of w by h that may have been set straight by
+    skew, drawn with the page as it is seen, at scale. The lower left corner
+    goes back through both to page space; the text lies turned as the page is.
+    """
+    top, low = unmap(F.col("x0"), F.col("y0"), skew, w, h), unmap(F.col("x0"), F.col("y1"), skew, w, h)
+    at = visible_to_user(low["x"] / scale, visible_frame(box["w"], box["h"], rotate)["h"] - low["y"] / scale, box, rotate)
+    placed = placeable(words).withColumn("__at", at)
+    return placed.select("*", sanitize_winansi(F.col("text")).alias("shown"), F.col("__at")["x"].alias("x"), F.col("__at")["y"].alias("y"), layer_size(top["y"], low["y"], scale).alias("size"), norm_angle(rotate).alias("turn")).drop("__at")
+
+
+def fallback_layer(words: DataFrame, page_h: Column, scale: Column, skew: Column, w: Column, h: Column) -> DataFrame:
+    """Where each word goes on a page that was drawn anew from its raster, page_h high: shown, x, y and size; never turned."""
+    top, low = unmap(F.col("x0"), F.col("y0"), skew, w, h), unmap(F.col("x0"), F.col("y1"), skew, w, h)
+    y = page_h - F.least(top["y"], low["y"]) / scale - F.abs(low["y"] - top["y"]) / scale
+    return placeable(words).select("*", sanitize_winansi(F.col("text")).alias("shown"), (top["x"] / scale).alias("x"), y.alias("y"), layer_size(top["y"], low["y"], scale).alias("size"))

@@ -151,6 +151,33 @@ def prepare(a: np.ndarray, binarise: bool = True, deskew: bool = True, force: bo
     return (rotate(out, angle) if angle else out), {"spread": spread, "binarised": bool(done), "skew": float(np.rad2deg(angle)), "columns": multi_column(a)}
 
 
+def unmap(x: Column, y: Column, skew: Column, w: Column, h: Column) -> Column:
+    """A place in a prepared raster back in the one it came from: turned about the middle by skew, in radians; as it is without skew or where that is null."""
+    dx, dy, angle = x - w / 2, y - h / 2, F.coalesce(skew, F.lit(0.0))
+    at = F.struct((w / 2 + dx * F.cos(angle) - dy * F.sin(angle)).alias("x"), (h / 2 + dx * F.sin(angle) + dy * F.cos(angle)).alias("y"))
+    return F.when(angle != 0, at).otherwise(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+
+
+#: Steps of preparation, and that each is done unless told otherwise.
+SWITCHES = ("upscale", "binarize", "deskew")
+
+
+def switches(*given: Column) -> Column:
+    """The setting of each step from maps of text to text, later ones first: true or false, or force, of binarize alone. What is neither counts as not given."""
+
+    def setting(name: str) -> Column:
+        valid = ("true", "false", "force") if name == "binarize" else ("true", "false")
+        said = [F.when(v.isin(*valid), v) for g in reversed(given) for v in [F.get(F.map_values(F.map_filter(g, lambda k, _: k == name)), F.lit(0))]]
+        return F.coalesce(*said, F.lit("true")).alias(name)
+
+    return F.struct(*map(setting, SWITCHES))
+
+
+def memory_capped(mode: Column, low_memory: Column, mobile: Column) -> Column:
+    """Whether a plan's rasters must not grow: by its mode, by a sign of little memory, or on a phone. Nulls are no sign."""
+    return F.coalesce(mode.isin("low-memory", "selected-pages"), F.lit(False)) | F.coalesce(low_memory, F.lit(False)) | F.coalesce(mobile, F.lit(False))
+
+
 def pick_scale(base: Column, low_memory: Column, w: Column, h: Column, max_area: Column) -> Column:
     """(scale, applied, capped): towards 300 dpi, 200 where memory is low, within the area; five percent more at least."""
     want = F.when(low_memory, F.lit(LOW_DPI / BASE_DPI)).otherwise(F.lit(TARGET_DPI / BASE_DPI))

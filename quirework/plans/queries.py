@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from quirework.functions import geometry as G
 from quirework.functions import ranges as R
 from quirework.functions import text as T
-from quirework.operators import edits, layout, merge, raster, stamps
+from quirework.operators import edits, layout, merge, publication, raster, stamps
 from quirework.operators.audit import LIMITATIONS, Audit
 from quirework.operators.pagefold import fold_pages
 from quirework.operators.spatial import overlap_join
 from quirework.plans import preflight as P
+from quirework.sources.fonts import METRICS
 from quirework.sources.synthetic import HEIGHT, LINES_SQL, pages
 from quirework.streaming import handoff
 
@@ -341,12 +342,75 @@ def search_tools(t):
     return t("part").where(hit).groupBy("p_brand").agg(F.count("*").alias("hits"))
 
 
-@query("""SELECT page_id, regexp_matches(html, '(?i)utm_source|<script[^>]+src=') AS tracked, regexp_matches(html, '(?i)(password|secret|token|api_?key)\\s*[:=]') AS leaks FROM pages
-WHERE regexp_matches(html, '(?i)utm_source|<script[^>]+src=') OR regexp_matches(html, '(?i)(password|secret|token|api_?key)\\s*[:=]')""")
+FILES_OF_PAGES_SQL = """paths AS (SELECT page_id, coalesce(html, '') || CASE page_id % 9 WHEN 0 THEN 'ghp_' || repeat('aB3', 7) WHEN 1 THEN '-----BEGIN EC PRIVATE KEY-----' WHEN 2 THEN 'sk-short' ELSE '' END AS body,
+  ['docs', 'data', 'my/data', '.git', 'a/id_rsa.d', 'www', 'a/.env', 'a/.environment'][page_id % 8 + 1] || '/' || page_id || ['.html', '.PNG', '.json', '.pem', '.keys'][page_id % 5 + 1] AS path FROM pages)"""
+
+
+def files_of_pages(pages: DataFrame) -> DataFrame:
+    """Pages as files, in folders and with endings of which some must not go out."""
+    k = F.col("page_id")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    planted = F.when(k % 9 == 0, "ghp_" + "aB3" * 7).when(k % 9 == 1, "-----BEGIN EC PRIVATE KEY-----").when(k % 9 == 2, "sk-short").otherwise("")
+    path = F.concat(pick(["docs", "data", "my/data", ".git", "a/id_rsa.d", "www", "a/.env", "a/.environment"]), F.lit("/"), k.cast("string"), pick([".html", ".PNG", ".json", ".pem", ".keys"]))
+    return pages.select(path.alias("path"), F.concat(F.coalesce("html", F.lit("")), planted).alias("body"))
+
+
+@query(f"""WITH {FILES_OF_PAGES_SQL}, walked AS (SELECT *, (page_id % 5 IN (0, 2)) AND strlen(body) < 5000000 AS readable FROM paths WHERE page_id % 8 <> 3)
+SELECT path, 'forbidden top-level path' AS rule FROM walked WHERE page_id % 8 = 1 UNION ALL
+SELECT path, 'forbidden sensitive filename' FROM walked WHERE page_id % 8 IN (4, 6) OR page_id % 5 >= 3 UNION ALL
+SELECT path, 'credential-shaped token' FROM walked WHERE readable AND regexp_matches(body, 'ghp_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}|sk-[A-Za-z0-9]{{20,}}|AIza[A-Za-z0-9_-]{{20,}}') UNION ALL
+SELECT path, 'private key' FROM walked WHERE readable AND regexp_matches(body, '-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----')""")
 def publication_audit(t):
-    """Pages that hold what must not be published."""
-    tracked, leaks = (F.rlike("html", F.lit(p)) for p in ("(?i)utm_source|<script[^>]+src=", "(?i)(password|secret|token|api_?key)\\s*[:=]"))
-    return t("pages").select("page_id", tracked.alias("tracked"), leaks.alias("leaks")).where("tracked OR leaks")
+    """Files that must not be published as they are, and why."""
+    return publication.violations(files_of_pages(t("pages")))
+
+
+@query("""SELECT n_nationkey AS nation, 'missing' AS state FROM nation WHERE n_regionkey < 3 AND NOT EXISTS (FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)
+UNION ALL SELECT n_nationkey, 'denied' FROM nation WHERE n_regionkey >= 3 AND EXISTS (FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)""")
+def required_and_denied(t):
+    """Nations that need a rich supplier and have none, and those that must have none and do."""
+    nation, there = t("nation").withColumnRenamed("n_nationkey", "nation"), t("supplier").where("s_acctbal > 9000").withColumnRenamed("s_nationkey", "nation")
+    lacking = publication.missing(nation.where("n_regionkey < 3"), there, ["nation"]).withColumn("state", F.lit("missing"))
+    return lacking.unionByName(publication.denied(nation.where("n_regionkey >= 3"), there, ["nation"]).withColumn("state", F.lit("denied")))
+
+
+@query("""SELECT page_id, ['/srv/site/a/' || page_id, '/srv/' || page_id, '/srv/' || page_id, '/srv/site/a/b/' || page_id, '/srv/site/' || page_id, '/srv/site2/' || page_id, '/srv/site', '/' || page_id][page_id % 8 + 1] AS path,
+  page_id % 8 IN (0, 3, 4, 6) AS safe FROM pages""")
+def safe_paths(t):
+    """Where asked paths lead, and whether they stay under the root."""
+    forms = ["a/%", "../%", "a/../../%", "/a/./b//%", "../site/%", "../site2/%", "x/..", "../../../../%"]
+    k = F.col("page_id")
+    asked = F.replace(F.get(F.array(*map(F.lit, forms)), (k % 8).cast("int")), F.lit("%"), k.cast("string"))
+    root = F.lit("/srv/site/")
+    return t("pages").select("page_id", publication.normal_path(F.concat(root, asked)).alias("path"), publication.under_root(root, asked).alias("safe"))
+
+
+@query("""SELECT doc_id, list_aggregate(list_filter(l, lambda c, i: list_position(l, c) = i), 'string_agg', '') AS dropped
+FROM (SELECT doc_id, regexp_extract_all(coalesce(text, '') || ['', 'Ωx→😀Ω€', '中Š中'][doc_id % 3 + 1], '[^\\x00-\\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]') AS l FROM documents) WHERE len(l) > 0""")
+def dropped_characters(t):
+    """What the standard fonts can't show of each text, in order of first places."""
+    k = F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(k % 3 == 1, "Ωx→😀Ω€").when(k % 3 == 2, "中Š中").otherwise(""))
+    return t("documents").select("doc_id", F.array_join(T.dropped_characters(text), "").alias("dropped")).where("dropped <> ''")
+
+
+@query(f"""WITH {LINES_SQL}, c AS (SELECT DISTINCT doc_id, page, unnest(string_split(line, '')) AS c FROM numbered_records)
+SELECT doc_id, CAST(page AS INTEGER) AS page, string_agg(c, '' ORDER BY unicode(c)) AS used FROM c WHERE c <> '' GROUP BY doc_id, page""")
+def used_codes(t):
+    """The characters that each page's font is shown with, in order of their codes."""
+    folded = fold_pages(pages(t("documents")), characters=False).select("doc_id", "page", F.explode("used_codes").alias("font", "codes"))
+    return folded.select("doc_id", "page", F.array_join(F.transform(F.array_sort(F.map_entries("codes")), lambda e: e["value"]), "").alias("used"))
+
+
+HELVETICA_SQL = "MAP {" + ", ".join("'" + c.replace("'", "''") + f"': {int(w)}" for c, w in METRICS["Helvetica"].items()) + "}"
+
+
+@query(f"""WITH {LINES_SQL}, chars AS (SELECT doc_id, page, rec, unnest(string_split(line, '')) AS c FROM numbered_records), m AS (SELECT {HELVETICA_SQL} AS w)
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(rec AS INTEGER) AS rec, round(72 + sum(CASE WHEN c = '' THEN 0 ELSE coalesce(element_at(w, c)[1], 500) END) / 100.0, 3) AS "right" FROM chars, m GROUP BY ALL""")
+def standard_widths(t):
+    """Where text records end once a standard font's widths are known."""
+    r = fold_pages(pages(t("documents")), characters=False, metrics=METRICS).select("doc_id", "page", F.posexplode("records").alias("rec", "r"))
+    return r.select("doc_id", "page", "rec", F.round("r.right", 3).alias("right"))
 
 
 # Merging
@@ -461,6 +525,47 @@ def median_glyphs(t):
     return layout.median_glyph_width(as_words(t("conversations")), ["page_id"])
 
 
+LAYER_SQL = WORDS_SQL + """, b AS (SELECT conv_id, turn, word, t, CAST(x0 AS DOUBLE) AS bx, line * 30.0 + 10 + word % 7 AS y0, line * 30.0 + 10 + word % 7 + 3 + word % 20 AS y1, conv_id % 4 * 90 AS r, CASE WHEN word % 2 = 0 THEN 0.0 ELSE 0.05 END AS a FROM words),
+u AS (SELECT *, CASE WHEN a = 0 THEN bx ELSE 600 + (bx - 600) * cos(a) - (y0 - 800) * sin(a) END AS tx, CASE WHEN a = 0 THEN y0 ELSE 800 + (bx - 600) * sin(a) + (y0 - 800) * cos(a) END AS ty,
+  CASE WHEN a = 0 THEN bx ELSE 600 + (bx - 600) * cos(a) - (y1 - 800) * sin(a) END AS lx, CASE WHEN a = 0 THEN y1 ELSE 800 + (bx - 600) * sin(a) + (y1 - 800) * cos(a) END AS ly FROM b),
+sized AS (SELECT *, round(greatest(4.0, abs(ly - ty) / 2 * 0.85), 6) AS size, regexp_replace(t, '[中文]', '?', 'g') AS shown, lx / 2 AS px, ly / 2 AS py FROM u) """
+
+
+def boxed(t) -> DataFrame:
+    w = as_words(t("conversations"))
+    y0 = F.col("line") * 30.0 + 10 + F.col("word") % 7
+    return w.withColumn("y0", y0).withColumn("y1", F.col("y0") + 3 + F.col("word") % 20).withColumn("skew", F.when(F.col("word") % 2 == 0, 0.0).otherwise(0.05))
+
+
+@query(LAYER_SQL + """SELECT conv_id AS page_id, turn AS block, word, shown, size, CAST(r AS INTEGER) AS turn, round(CASE r WHEN 0 THEN 5 + px WHEN 90 THEN 5 + py WHEN 180 THEN 5 + 600 - px ELSE 5 + 600 - py END, 6) AS x,
+  round(CASE r WHEN 0 THEN 7 + 800 - py WHEN 90 THEN 7 + px WHEN 180 THEN 7 + py ELSE 7 + 800 - px END, 6) AS y FROM sized""")
+def text_layer(t):
+    """Recognised words placed on turned pages whose box doesn't begin at zero."""
+    box = F.struct(F.lit(5.0).alias("x"), F.lit(7.0).alias("y"), F.lit(600.0).alias("w"), F.lit(800.0).alias("h"))
+    got = layout.text_layer(boxed(t), box, F.col("page_id") % 4 * 90, F.lit(2.0), F.col("skew"), F.lit(1200), F.lit(1600))
+    return got.select("page_id", "block", "word", "shown", F.round("size", 6).alias("size"), "turn", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(LAYER_SQL + """SELECT conv_id AS page_id, turn AS block, word, shown, size, round(tx / 2, 6) AS x, round(800 - least(ty, ly) / 2 - abs(ly - ty) / 2, 6) AS y FROM sized""")
+def fallback_layer(t):
+    """The same words on pages drawn anew from their rasters."""
+    got = layout.fallback_layer(boxed(t), F.lit(800.0), F.lit(2.0), F.col("skew"), F.lit(1200), F.lit(1600))
+    return got.select("page_id", "block", "word", "shown", F.round("size", 6).alias("size"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("""WITH p AS (SELECT p_partkey, ['true', 'false', 'force', 'x', NULL][p_partkey % 5 + 1] AS g, ['false', 'yes', 'force', NULL][p_size % 4 + 1] AS o FROM part)
+SELECT p_partkey, CASE WHEN o = 'false' THEN o WHEN g IN ('true', 'false') THEN g ELSE 'true' END AS upscale, CASE WHEN o IN ('false', 'force') THEN o WHEN g IN ('true', 'false', 'force') THEN g ELSE 'true' END AS binarize, 'true' AS deskew,
+  p_partkey % 4 < 2 OR p_partkey % 7 = 0 OR coalesce(o = 'false', false) AS capped FROM p JOIN part USING (p_partkey)""")
+def preparation_switches(t):
+    """Which steps of preparation are on, from general and own settings, and whether rasters may grow."""
+    k = F.col("p_partkey")
+    general = F.get(F.array(*map(F.lit, ("true", "false", "force", "x", None))), (k % 5).cast("int"))
+    own = F.get(F.array(*map(F.lit, ("false", "yes", "force", None))), (F.col("p_size") % 4).cast("int"))
+    as_map = lambda v: F.create_map(F.lit("upscale"), v, F.lit("binarize"), v)
+    mode = F.get(F.array(*map(F.lit, ("low-memory", "selected-pages", "full", None))), (k % 4).cast("int"))
+    return t("part").select("p_partkey", raster.switches(as_map(general), as_map(own)).alias("s"), raster.memory_capped(mode, k % 7 == 0, own == "false").alias("capped")).select("p_partkey", "s.*", "capped")
+
+
 @query("""SELECT doc_id, string_agg('<div id="page_' || p || '" title="ppageno ' || (p - 1) || '"><span id="word_' || p || '_7">x</span></div>', chr(10) ORDER BY p) AS body
 FROM (SELECT doc_id, unnest(range(1, 2 + n_chars // 3000)) AS p FROM documents) GROUP BY doc_id""")
 def hocr_pages(t):
