@@ -2,8 +2,9 @@
 
 Files come through Spark's binaryFile source. The reader takes objects from
 where they stand in the file, so a broken cross-reference does no harm, and
-unpacks object streams. Encrypted files are told, not read. A file that can't
-be read is a row with err, never a failed job.
+unpacks object streams. An encrypted file that opens without a password is read
+if its cipher is RC4; others are told to be locked. A file that can't be read is
+a row with err, never a failed job.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from quirework.operators.pagefold import PAGE, Token, View, tokens
+from quirework.sources.ciphers import empty_password_key, object_key, rc4
 from quirework.sources.fonts import parse_to_unicode
 
 COVER_NOTES = ("Square", "Redact", "Highlight", "FreeText", "Ink", "Stamp", "Polygon")
@@ -65,9 +67,9 @@ class Pdf:
     def __init__(self, data: bytes):
         if b"%PDF-" not in data[:1024]:
             raise ValueError("not a PDF")
-        self.data, self.at, self.cache = data, {}, {}
+        self.data, self.at, self.generation, self.cache, self.key = data, {}, {}, {}, None
         for m in self.OBJECT.finditer(data):
-            self.at[int(m[1])] = m.end()
+            self.at[int(m[1])], self.generation[int(m[1])] = m.end(), int(m[2])
         self.trailer: dict = {}
         for m in re.finditer(rb"\btrailer\b", data):
             got = build(tokens(data[m.end() : m.end() + 65_536]))
@@ -76,8 +78,10 @@ class Pdf:
         for number in list(self.at):
             head = self.get(Ref(number))
             if isinstance(head, dict) and head.get("Type") == "XRef":
-                self.trailer = {k: v for k, v in head.items() if k in ("Root", "Encrypt", "Info")} | self.trailer
+                self.trailer = {k: v for k, v in head.items() if k in ("Root", "Encrypt", "Info", "ID")} | self.trailer
         self.locked = "Encrypt" in self.trailer
+        if self.locked and (key := self.unlocking(self.get(self.trailer["Encrypt"]))):
+            self.locked, self.key, self.cache = False, key, {}
         if not self.locked:
             for number in list(self.at):
                 head = self.get(Ref(number))
@@ -94,10 +98,36 @@ class Pdf:
                 return x
             if x not in self.cache:
                 got = build(tokens(self.data[self.at[x] : self.ends(self.at[x])])) if x in self.at else []
-                self.cache[x] = got[0] if got else None
+                self.cache[x] = self.plain(got[0], x) if got else None
             x = self.cache[x]
         return None
 
+    def unlocking(self, rules) -> bytes | None:
+        """The key of a file that opens with an empty password, if its cipher is RC4."""
+        if not isinstance(rules, dict) or rules.get("Filter") != "Standard":
+            return None
+        value = lambda k, default=None: self.get(rules.get(k, default))
+        version, bits = int(value("V", 0.0)), int(value("Length", 40.0))
+        if version == 4:
+            used = self.get((value("CF") or {}).get(value("StmF"))) or {}
+            if self.get(used.get("CFM")) != "V2" or value("StrF") != value("StmF"):
+                return None
+            bits = 128
+        elif version not in (1, 2):
+            return None
+        given = self.get((self.get(self.trailer.get("ID")) or [b""])[0])
+        return empty_password_key(version, int(value("R", 0.0)), bits, value("O", b""), value("U", b""), int(value("P", 0.0)), given, value("EncryptMetadata", True) is not False)
+
+    def plain(self, x, number: int):
+        """x, which stands in an object of that number, with its strings deciphered."""
+        if self.key is None or Ref(number) == self.trailer.get("Encrypt"):
+            return x
+        if isinstance(x, bytes):
+            return rc4(object_key(self.key, number, self.generation[number]), x)
+        if isinstance(x, list):
+            return [self.plain(v, number) for v in x]
+        return {k: self.plain(v, number) for k, v in x.items()} if isinstance(x, dict) else x
+
     def ends(self, start: int) -> int:
         found = self.data.find(b"endobj", start)
         stream = self.STREAM.search(self.data, start, found if found >= 0 else len(self.data))
@@ -116,6 +146,8 @@ class Pdf:
         if end < 0 or not self.data[end : end + 16].lstrip().startswith(b"endstream"):
             end = self.data.find(b"endstream", m.end())
         raw = self.data[m.end() : end]
+        if self.key is not None and head.get("Type") != "XRef":
+            raw = rc4(object_key(self.key, int(ref), self.generation[int(ref)]), raw)
         filters = self.get(head.get("Filter")) or []
         for f in filters if isinstance(filters, list) else [filters]:
             if f in ("FlateDecode", "Fl"):
