@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from quirework.functions.text import cmp_key, same_text
-from quirework.operators.pagefold import IDENTITY, Matrix, Page, View, times
-from quirework.sources.fonts import Font
+from quirework.functions.text import cmp_key, cmp_key_of, same_text
+from quirework.operators.pagefold import IDENTITY, PAGE, Matrix, Page, View, times
+from quirework.sources.fonts import UNKNOWN, Font
 
 #: How far beyond its rectangle an edit reaches, and the step between lines of new text as a share of the size.
 PAD, LEADING = 2.0, 1.2
+ROWS_AT_ONCE = 256
 EDIT = "edit int, x double, top double, right double, bottom double, expected string, replacement string, push double"
 KEYS = ["doc_id", "page"]
 
@@ -69,6 +70,26 @@ def matched_runs(found: DataFrame, same: Callable[[Column, Column], Column] = sa
     return first.select(*KEYS, "edit", F.when((F.col("size") > 0) & F.col("first").isNotNull(), recs).alias("recs"))
 
 
+def run_of(records: list[dict], edit: dict, pad: float = PAD) -> list[int] | None:
+    """in_rect and matched_runs for one edit of a page whose records are at hand."""
+    want, sides = cmp_key_of(edit["expected"]), [edit[k] for k in ("x", "top", "right", "bottom")]
+    if not want or None in sides:
+        return None
+    x, top, right, bottom = sides
+    each, line = [], ""
+    for i, r in enumerate(records):
+        if x - pad <= (r["x"] + r["right"]) / 2 <= right + pad and top - pad <= (r["top"] + r["bottom"]) / 2 <= bottom + pad:
+            begin, line = len(line), line + cmp_key_of(r["text"])
+            each.append((i, begin, len(line)))
+    ends = {end for *_, end in each}
+    for first, begin, _ in each:
+        end = begin + len(want)
+        if end in ends and all(p in (UNKNOWN, q) for p, q in zip(line[begin:end], want)):
+            last = next(i for i, _, e in each if e == end and i >= first)
+            return [i for i, *_ in each if first <= i <= last]
+    return None
+
+
 @dataclass(frozen=True)
 class Anchor:
     """The operator that placed a line, and where the line then began."""
@@ -190,14 +211,22 @@ def new_text(page: Anchored, recs: list[int], text: str, most: float) -> bytes:
     return ("\n".join([*out, "ET\n"])).encode("latin-1")
 
 
-def edit_page(row: dict) -> bytes:
-    box, content = row["box"], row["content"]
-    if content is None:
+def anchored(row: dict) -> Anchored:
+    box = row["box"]
+    if row["content"] is None:
         raise Refused("the page has no readable content")
     fonts = {name: Font.of(name, f) for name, f in dict(row["fonts"] or ()).items()}
-    page = Anchored(View(box["x"], box["y"], box["w"], box["h"], (row["rotate"] or 0) % 360), fonts).run(content)
+    return Anchored(View(box["x"], box["y"], box["w"], box["h"], (row["rotate"] or 0) % 360), fonts, characters=False).run(row["content"])
+
+
+def edit_page(row: dict) -> bytes:
+    return edited(anchored(row), row["content"], row["edits"])
+
+
+def edited(page: Anchored, content: bytes, edits: list[dict]) -> bytes:
+    """content with all edits, whose recs are known."""
     removed: set[int] = set()
-    for edit in row["edits"]:
+    for edit in edits:
         if not edit["recs"]:
             raise Refused("what is there doesn't spell the expected text")
         if why := [page.records[i]["reason"] or "this text can't be written again" for i in edit["recs"] if not page.records[i]["editable"]]:
@@ -205,9 +234,9 @@ def edit_page(row: dict) -> bytes:
         if removed & set(edit["recs"]):
             raise Refused("two edits take the same text")
         removed |= set(edit["recs"])
-    shifts = {i: d for i, r in enumerate(page.records) if i not in removed and (d := sum(e["push"] or 0.0 for e in row["edits"] if r["top"] >= e["bottom"] - PAD and r["right"] > e["x"] and r["x"] < e["right"]))}
+    shifts = {i: d for i, r in enumerate(page.records) if i not in removed and (d := sum(e["push"] or 0.0 for e in edits if r["top"] >= e["bottom"] - PAD and r["right"] > e["x"] and r["x"] < e["right"]))}
     out = rewrite(page, content, removed, shifts)
-    shown = b"".join(new_text(page, e["recs"], e["replacement"], e["right"] - page.records[e["recs"][0]]["x"] + PAD) for e in row["edits"] if e["replacement"])
+    shown = b"".join(new_text(page, e["recs"], e["replacement"], e["right"] - page.records[e["recs"][0]]["x"] + PAD) for e in edits if e["replacement"])
     return b"q\n" + out + b"\nQ\n" + shown if shown else out
 
 
@@ -237,3 +266,37 @@ def edit_pages(pages: DataFrame, folded: DataFrame, edits: DataFrame) -> DataFra
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return pages.join(told, KEYS).select(*KEYS, "box", "rotate", "content", "fonts", "edits").mapInArrow(run, kind)
+
+
+#: What is asked of a page, from its doc_id, page and records: edits without recs.
+Ask = Callable[[int, int, list[dict]], list[dict]]
+
+
+def edit_each(pages: DataFrame, ask: Ask) -> DataFrame:
+    """pages with content as edits make it, and ok and reason. What is asked of a page follows from the page itself.
+
+    A page is folded once: what it is asked, the runs that match and its new
+    bytes all come of that fold, in a narrow map without a shuffle. A page that
+    is asked nothing gives no row; one that can't be read is refused.
+    """
+    kind = _parse_datatype_string(f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page int, {PAGE}, ok boolean, reason string")
+    arrow = to_arrow_schema(kind)
+
+    def one(row: dict) -> tuple[bytes | None, bool, str | None] | None:
+        try:
+            page = anchored(row)
+            asked = ask(row["doc_id"], row["page"], page.records)
+            return (edited(page, row["content"], [e | {"recs": run_of(page.records, e)} for e in asked]), True, None) if asked else None
+        except (ValueError, ArithmeticError, IndexError) as e:
+            return row["content"], False, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                made = [one(row) for row in part.select([*KEYS, "box", "rotate", "content", "fonts"]).to_pylist()]
+                part = part.filter(pa.array([m is not None for m in made]))
+                new = dict(zip(("content", "ok", "reason"), zip(*filter(None, made)))) or dict.fromkeys(("content", "ok", "reason"), ())
+                yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else part[f.name] for f in arrow], schema=arrow)
+
+    return pages.select(*(f.name for f in arrow if f.name not in ("ok", "reason"))).mapInArrow(run, kind)

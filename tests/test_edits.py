@@ -111,3 +111,44 @@ def test_stamps_without_lines_and_by_default_alignment(spark):
     df = spark.createDataFrame([(1, ["ab", None, "", "abcd"]), (2, []), (3, None)], "id int, lines array<string>")
     got = stamp_lines(df, F.col("lines"), lambda s: F.length(s) * 5.0, F.lit(10.0), F.lit("bottom-right"), F.lit(8.0), F.lit(0), box, F.lit(0)).collect()
     assert [(r["id"], r["line"], r["x"], r["y"], r["turn"]) for r in got] == [(1, "ab", 182.0, 20.5, 0), (1, "abcd", 172.0, 8.0, 0)]
+
+
+def test_a_page_finds_the_runs_that_the_relations_find(spark):
+    from quirework.operators.edits import in_rect, run_of
+
+    texts = ["The", " ", "cat ", "s­at", "cat", "sat", "d�g", "ﬁsh "]
+    rows = [{"x": 10.0 * i, "right": 10.0 * i + 8, "top": 5.0, "bottom": 15.0, "text": t} for i, t in enumerate(texts)]
+    asked = [{"edit": e, "x": x, "top": 5.0, "right": 90.0, "bottom": 15.0, "expected": want} for e, (x, want) in enumerate((x, want) for x in (0.0, 25.0, 200.0, None) for want in ("catsat", "CAT sat", "ats", "", None, "dog", "the cat", "FISH"))]
+    records = spark.createDataFrame([(1, 0, i, r["text"], True, None, r["x"], r["top"], r["right"], r["bottom"]) for i, r in enumerate(rows)], "doc_id long, page int, rec int, text string, editable boolean, reason string, x double, top double, right double, bottom double")
+    edits = spark.createDataFrame([(1, 0, e["edit"], e["x"], e["top"], e["right"], e["bottom"], e["expected"], None, None) for e in asked], f"doc_id long, page int, {EDIT}")
+    want = {r["edit"]: r["recs"] for r in matched_runs(in_rect(records, edits)).collect()}
+    got = {e["edit"]: run_of(rows, e) for e in asked}
+    assert got == {e: want.get(e) for e in got} and sum(v is not None for v in got.values()) > 6
+
+
+def test_pages_that_tell_their_own_edits(spark):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    from quirework.operators.edits import edit_each
+
+    schema = to_arrow_schema(_parse_datatype_string(f"doc_id long, page int, {PAGE}"))
+    made = spark.createDataFrame(pa.Table.from_pylist([page(LINES.decode()) | {"page": i} | ({"content": None} if i == 3 else {}) for i in range(4)], schema=schema))
+
+    def ask(doc_id, page, records):
+        side = {k: records[0][k] for k in ("x", "top", "right", "bottom")}
+        return [side | {"edit": 0, "expected": ("one", "other")[page], "replacement": "1", "push": None}] if page < 2 else []
+
+    got = {r["page"]: r for r in edit_each(made, ask).collect()}
+    assert sorted(got) == [0, 1, 3] and [got[i]["ok"] for i in (0, 1, 3)] == [True, False, False]
+    assert places(records(bytes(got[0]["content"])))["1"] == places(records(LINES))["one"]
+    assert bytes(got[1]["content"]) == LINES and "spell" in got[1]["reason"] and got[3]["content"] is None and "readable" in got[3]["reason"]
+    assert edit_each(made.where("page = 2"), ask).count() == 0
+
+
+def test_the_query_of_edits_moves_texts_once_and_folds_a_page_twice(spark):
+    from quirework.plans.queries import QUERIES
+
+    plan = QUERIES["edited_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Repartition") == 1 and plan.count("MapInArrow") == 3
