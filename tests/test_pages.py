@@ -125,3 +125,44 @@ def test_rasters():
     y, x = np.mgrid[0:300, 0:300]
     slant = np.where(((y - np.tan(np.deg2rad(2)) * x) % 12 < 3) & (x > 20) & (x < 280), 0, 255).astype(np.uint8)
     assert abs(np.rad2deg(raster.estimate_skew(slant)) - 2) <= 0.5
+
+
+def test_raster_query_draws_every_page_in_many_tasks(spark):
+    import numpy as np
+
+    from quirework.operators import raster
+    from quirework.plans.queries import QUERIES
+
+    got = QUERIES["raster_statistics"](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    y, x = np.mgrid[0:60, 0:80]
+
+    def stats(k):
+        paper = 255 - x if k % 2 == 0 else np.full((60, 80), 250)
+        return raster.prepare(np.where((y % 8 < 3) & ~((k % 3 == 1) & (x >= 36) & (x <= 43)), 40, paper).astype(np.uint8))[1]
+
+    keys = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey").collect()]
+    assert {r["p_partkey"]: (r["spread"], r["binarised"], r["skew"], r["columns"]) for r in got.collect()} == {k: tuple(stats(k).values()) for k in keys}
+
+
+def test_statistics_over_all_angles_and_cells_at_once():
+    import numpy as np
+
+    from quirework.operators import raster
+
+    rng = np.random.default_rng(3)
+    for h, w in ((60, 80), (7, 200), (300, 90), (3, 5)):
+        a = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        a[::6] = 0
+        small = raster.shrink(a, raster.SKEW_SIDE)
+        (sh, sw), (y, x) = small.shape, np.nonzero(small < raster.SKEW_INK)
+        angles = [np.deg2rad(-5 + k * 0.25) for k in range(41)]
+        rows = [np.rint((y - sh / 2) * np.cos(t) - (x - sw / 2) * np.sin(t)).astype(int) for t in angles]
+        plain = float(angles[int(np.argmax([np.bincount(r - r.min()).var() for r in rows]))])
+        assert raster.estimate_skew(a) == (plain if len(y) >= raster.SKEW_PIXELS and abs(plain) > raster.SKEW_LEAST else 0.0)
+        small = raster.shrink(a, raster.SPREAD_SIDE)
+        sh, sw = small.shape
+        cells = [np.sort(c, axis=None) for i in range(8) for j in range(8) if (c := small[i * sh // 8 : (i + 1) * sh // 8, j * sw // 8 : (j + 1) * sw // 8]).size]
+        levels = [int(c[min(len(c) - 1, int(len(c) * 0.9))]) for c in cells]
+        assert raster.illumination_spread(a) == max(levels) - min(levels)
+        assert raster.prepare(a, with_raster=False) == (None, raster.prepare(a)[1])
