@@ -27,3 +27,11 @@ def test_query(spark, name):
     spark.catalog.clearCache()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_days_are_those_of_the_nearest_second(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql("CREATE TABLE events AS SELECT i AS user_id, TIMESTAMP '2024-01-01 23:59:59' + to_microseconds(i * 100000 + d * 86400000000) AS ts FROM range(12) a(i), (VALUES (0), (1), (5)) b(d)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    got, want = QUERIES["compact_ranges"](spark, str(tmp_path)).toPandas(), con.sql(ORACLES["compact_ranges"]).df()
+    assert len(set(want["ranges"])) == 2 and rows(got) == rows(want)
