@@ -7,6 +7,12 @@ array operations, each distinct piece of a block is merged once, and all pieces
 of one length are merged together, the pair of least rank in each at a time.
 All other texts, and pieces of more than LONG bytes, go through the tokenizer
 itself. Either way gives the same ids; nothing is kept from block to block.
+
+Results for odd input: null and empty texts, and those of white space alone,
+have no ids. A text with any character that plain_letters doesn't have (other
+scripts, marks, controls, capitals whose lower case is elsewhere) is left to the
+tokenizer whole, as is one that may hold a special token. A very long text makes
+a block of its own. The order of texts, and repeats, make no difference.
 """
 
 from __future__ import annotations
@@ -53,6 +59,11 @@ def kinds() -> np.ndarray:
     return out
 
 
+def plain_letters() -> str:
+    """The characters of U+00A1 to U+024F that lower-casing leaves as one character there."""
+    return "".join(c for c in map(chr, range(0xA1, 0x250)) if len(c.lower()) == 1 and ord(c.lower()) < 0x250)
+
+
 class Merger:
     """Byte-pair merges over many pieces at once, by the tables of a tokenizer with word ends."""
 
@@ -178,8 +189,7 @@ def encoder(path: str | None = None) -> Callable[[list[str | None]], list[bytes]
 
     tokenizer = Tokenizer.from_file(path or vocabulary())
     merger, kind_of = Merger(tokenizer), kinds()
-    #: Letters whose lower case has two characters, marks and controls are left to the tokenizer.
-    other = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ]")
+    other = re.compile(rf"[^\t\n\r\x20-\x7e{plain_letters()}]")
 
     def encode(texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)

@@ -24,8 +24,10 @@ key and no target line; a capture without id is a revisit if a capture with an
 id has the payload, else a response, and so is every other without id; of
 captures with one id and one payload the first written is the response, and the
 others revisit the id they share; ids that aren't whole numbers are texts; a
-null time is EPOCH; control characters in urls are escaped in the record; an
-empty table gives an empty index.
+null time is EPOCH; an id may be any long, and its time has a year of four
+digits, as ids TIMES apart have the same and id follows in the order; very long
+payloads make archives of their own; control characters in urls are escaped in
+the record; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ from pyspark.sql.types import ArrayType, IntegerType, IntegralType, StructField,
 from quirework.llm.common import BATCH_ROWS, drop_path, fields, file_system, fresh_path, join_unique, load, map_rows, shared, slices, staged, table
 
 MIN_BYTES = 0
-#: Seconds of the first capture where a table has no times; each id is one second later.
-EPOCH = 1704067200
+#: Seconds of the first capture where a table has no times; each id is one second later, and after so many seconds the first time comes again.
+EPOCH, TIMES = 1704067200, 1 << 32
 #: Compressed bytes in one archive.
 ARCHIVE_BYTES = 64 << 20
 #: Lines in a block, in a run and in a range; the last two are more where that would give more than RUNS or RANGES of them.
@@ -113,7 +115,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     number = isinstance(pages.schema[id_col].dataType, IntegralType)
     key = F.col(f"`{id_col}`").cast("long" if number else "string")
-    later = F.coalesce(key, F.lit(0)) if number else F.coalesce(F.crc32(key), F.lit(0))
+    later = F.coalesce(F.pmod(key, F.lit(TIMES)), F.lit(0)) if number else F.coalesce(F.crc32(key), F.lit(0))
     time = F.coalesce(F.col(f"`{time_col}`"), F.timestamp_seconds(F.lit(EPOCH))) if time_col else F.timestamp_seconds(F.lit(EPOCH) + later)
     stamp = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(key.alias("id"), F.col(f"`{url_col}`").alias("url"), stamp.alias("time"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("payload"))

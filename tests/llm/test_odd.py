@@ -264,3 +264,13 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_ENV_LOADED") and not k.startswith("PYSPARK_GATEWAY")}
     got = subprocess.run([sys.executable, "-c", textwrap.dedent(code).replace("ROOT", repr(root))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert got.stdout.split() == ["2", "org/"], got.stderr[-2000:]
+
+
+def test_captures_take_ids_of_the_whole_range(spark):
+    ids = [-(2**63), -(2**63) + 1, -1, 0, 1, 2**32, 25 * 10**10, 10**13, 2**63 - 2, 2**63 - 1]
+    pages = spark.createDataFrame([(i, f"http://a.org/{i % 2}", "same" if i % 3 else f"own {i}") for i in ids], "page_id long, url string, html string")
+    got = warc_index.history(pages).collect()
+    assert sorted(r["page_id"] for r in got) == ids and all(len(r["time"]) == 20 and r["time"][:2] in ("20", "21") for r in got)
+    assert [(r["url_key"], r["time"], r["page_id"]) for r in got] == sorted((r["url_key"], r["time"], r["page_id"]) for r in got)
+    same = [i for i in ids if i % 3]
+    assert {r["page_id"]: r["refers_to"] for r in got if r["refers_to"] is not None} == {i: same[0] for i in same[1:]}
