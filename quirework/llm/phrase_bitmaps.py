@@ -12,11 +12,14 @@ Popcounts are a shard's counts; Spark sums them over all shards, within tasks
 first.
 
 A phrase is extended only while its parts may be frequent over all shards. So
-the words are counted first, then pairs of frequent words, and then, depth-first
-from one class of first words to the next, the phrases of three and four words
-whose pairs are all frequent. What is frequent reaches the shards as a filter of
-FILTER_BITS bits, whatever the size of the corpus: it may let through more,
-which is counted and then falls to the exact limit, and never less.
+popcounts are first summed by 64-bit hash, of words and then of pairs of words
+that may be frequent: a task sums up its shards and deals sorted blocks of
+(hash, count) by hash, so that most pairs, which are rare, cost twelve bytes and
+never become text. Then, depth-first from one class of first words to the next,
+the phrases all of whose pairs may be frequent are counted as texts, and the
+exact limit is held against these counts. What may be frequent reaches the shards
+as a filter of FILTER_BITS bits, whatever the size of the corpus. Equal hashes
+and equal bits let through more, which is counted in vain, and never less.
 
 Results for odd input: null and empty texts, and texts without words, have no
 phrases; a null language is `und`, as is that value; very long texts are cut at
@@ -28,12 +31,11 @@ empty table gives an empty result; other columns of any name are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,13 +43,16 @@ from quirework.llm.common import LOWER, UPPER, load, shared, slices, staged, tab
 
 LEAST, WORDS, INSIDE, TOP = 30, 4, 80, 2000
 UNKNOWN = "und"
-SHARD_BYTES, FILTER_BITS = 8 << 20, 1 << 26
+SHARD_BYTES, FILTER_BITS = 4 << 20, 1 << 26
 #: Entries that one class of first words may have when it is extended, about.
 CLASS = 1 << 18
 END, SPACE = b".,;:!?\n\v\f\r", b"\t"
 FOLD = bytes.maketrans(UPPER.encode() + END + SPACE, LOWER.encode() + b"\n" * len(END) + b" ")
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-SHARD = "lang string, words array<string>, places binary"
+SHARD = "lang string, words array<string>, hashes binary, places binary, n_words long"
+BLOCK = "bucket int, hashes binary, counts binary"
+#: Hashes that a task holds before it gives blocks out, and that a bucket gets from all tasks, about.
+HELD, BUCKET = 1 << 21, 1 << 19
 COUNTED = "lang string, phrase string, n long"
 #: How far the second word's hash is turned, so that a pair's order matters.
 TURN = 17
@@ -74,13 +79,17 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
     """Words and places of shards, each of one language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
         def put(lang: str) -> pa.RecordBatch:
             words, places = encode(b"\n".join(held.pop(lang)))
             del sizes[lang]
-            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([words.to_pylist()], pa.list_(pa.string())), pa.array([places.tobytes()], pa.binary())], names=["lang", "words", "places"])
+            hashes = np.array([xxh64_intdigest(w, 42) for w in words.to_pylist()], np.uint64) ^ np.uint64(xxh64_intdigest(lang, 42))
+            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            return pa.RecordBatch.from_arrays([pa.array([lang]), listed, pa.array([hashes.tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()), pa.array([int((places >= 0).sum())])], names=["lang", "words", "hashes", "places", "n_words"])
 
         for batch in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -101,27 +110,84 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
     return docs.where(F.col(f"`{text_col}`").isNotNull()).select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, SHARD)
 
 
-def turned(h: Column) -> Column:
-    return F.shiftleft(h, TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN))
+class Sums:
+    """Counts by hash, summed up in memory and given out in blocks by bucket, each sorted."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.hashes, self.counts, self.held = buckets, [], [], 0
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.hashes.append(hashes)
+        self.counts.append(counts)
+        self.held += len(hashes)
+        if self.held > 2 * HELD:
+            hashes, counts = self.merge()
+            if len(hashes) > HELD:
+                yield from self.blocks(hashes, counts)
+            else:
+                self.hashes, self.counts, self.held = [hashes], [counts], len(hashes)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        hashes, counts = np.concatenate(self.hashes), np.concatenate(self.counts)
+        self.hashes, self.counts, self.held = [], [], 0
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        first = np.flatnonzero(np.diff(hashes) != 0) + 1
+        first = np.concatenate([np.zeros(min(1, len(hashes)), np.int64), first])
+        return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    def blocks(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A bucket is a range of hashes."""
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([hashes[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].astype(np.int64).tobytes()], pa.binary())], names=["bucket", "hashes", "counts"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.hashes:
+            yield from self.blocks(*self.merge())
+
+
+def frequent_slots(blocks: DataFrame, least: int, bits: int) -> DataFrame:
+    """The places in a filter of hashes whose counts, over all blocks, are at least so many."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, now = Sums(1), None
 
-def slot(bits: int) -> Column:
-    """Where the filter holds a counted word or pair."""
-    words = F.split("phrase", " ")
-    mixed = F.xxhash64("lang").bitwiseXOR(F.xxhash64(words[0]))
-    pair = F.when(F.size(words) > 1, turned(F.xxhash64(F.element_at(words, -1)))).otherwise(0)
-    return mixed.bitwiseXOR(pair).bitwiseAND(bits - 1)
+        def done() -> Iterator[pa.RecordBatch]:
+            if sums.hashes:
+                hashes, counts = sums.merge()
+                at = np.unique(hashes[counts >= least] & np.uint64(bits - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
+        for batch in batches:
+            for bucket, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if bucket != now:
+                    yield from done()
+                    now = bucket
+                sums.hashes.append(np.frombuffer(hashes.as_buffer(), np.uint64))
+                sums.counts.append(np.frombuffer(counts.as_buffer(), np.int64))
+        yield from done()
+
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "at long")
 
-def filter_of(frequent: DataFrame, bits: int = FILTER_BITS):
-    """A broadcast bitmap of bits, in which each frequent word or pair has set one."""
-    at = slot(bits) + 1  # bits are numbered from 1, buckets too
-    built = frequent.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+def filter_of(slots: DataFrame, bits: int):
+    """A broadcast bitmap of bits, in which the given places are set."""
+    at = F.col("at") + 1  # bits are numbered from 1, buckets too
+    built = slots.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(bits // 8 + 4096, np.uint8)
     for r in built.collect():  # each of 32,768 places, so no more than the filter has
         base = (r["bucket"] - 1) * 4096
         out[base : base + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)[:4096]
-    return shared(frequent.sparkSession, (out, bits))
+    return shared(slots.sparkSession, (out, bits))
+
+
+def holds(of: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    table, bits = of
+    at = hashes & np.uint64(bits - 1)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 class Bitmaps:
@@ -176,91 +242,89 @@ def popcounts(which: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(which, weights=POPCOUNT[bits], minlength=n).astype(np.int64)
 
 
-def rotate(h: np.ndarray) -> np.ndarray:
-    return h << np.uint64(TURN) | h >> np.uint64(64 - TURN)
+def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of the hashes of two words of one language; which is first matters."""
+    mixed = (left ^ (right << np.uint64(TURN) | right >> np.uint64(64 - TURN))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ mixed >> np.uint64(32)
+
 
+def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, words, hashes, places = (c[i] for c in batch.columns)
+            yield lang.as_py(), words.values, np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(places.as_buffer(), np.int32)
 
-def phrases(sharded: DataFrame, wanted, pairs=None, longest: int = WORDS) -> DataFrame:
-    """Counts of a shard's pairs of wanted words; with a filter of pairs, of the longer phrases all of whose pairs are in it."""
+
+def word_blocks(sharded: DataFrame, buckets: int) -> DataFrame:
+    """Popcounts of words, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        sums = Sums(buckets)
+        for _, words, hashes, places in shard_rows(batches):
+            yield from sums.add(hashes, np.bincount(places[places >= 0], minlength=len(words)))
+        yield from sums.rest()
+
+    return sharded.mapInArrow(run, BLOCK)
+
+
+def pair_blocks(sharded: DataFrame, wanted, buckets: int) -> DataFrame:
+    """Popcounts of the pairs of wanted words, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, word_filter = Sums(buckets), load(wanted)
+        for _, _, hashes, places in shard_rows(batches):
+            maps = Bitmaps(places, holds(word_filter, hashes))
+            for entries in maps.classes():
+                phrase, word, _, bits = maps.extend(*entries)
+                head, tail, which = grouped(phrase, word, maps.n)
+                yield from sums.add(pair_hash(hashes[head], hashes[tail]), popcounts(which, bits, len(head)))
+        yield from sums.rest()
+
+    return sharded.mapInArrow(run, BLOCK)
 
-        word_filter, pair_filter = load(wanted), load(pairs) if pairs else None
 
-        def holds(of, at: np.ndarray) -> np.ndarray:
-            table, bits = of
-            at = at & np.uint64(bits - 1)
-            return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+def phrases(sharded: DataFrame, wanted, pairs, longest: int = WORDS) -> DataFrame:
+    """Counts, shard by shard, of the wanted words and of all phrases of them whose pairs are in the filter of pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_filter, pair_filter = load(wanted), load(pairs)
 
         def put(lang: str, texts: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(texts), 65536):
                 part = texts.slice(i, 65536)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(counts[i : i + 65536])], names=["lang", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(counts[i : i + 65536], pa.int64())], names=["lang", "phrase", "n"])
 
-        def shard(lang: str, words: pa.Array, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-            hashes = np.array([xxh64_intdigest(w, 42) for w in words.to_pylist()], np.uint64)
-            base = np.uint64(xxh64_intdigest(lang, 42))
-            maps = Bitmaps(places, holds(word_filter, base ^ hashes))
+        for lang, words, hashes, places in shard_rows(batches):
+            sure = holds(word_filter, hashes)
+            maps = Bitmaps(places, sure)
+            known = np.flatnonzero(sure)
+            yield from put(lang, words.take(pa.array(known)), np.bincount(places[places >= 0], minlength=len(words))[known])
             for phrase, byte, bits in maps.classes():
                 texts, last = words, np.arange(maps.n)  # of each phrase by its number
-                for length in range(2, longest + 1):
+                for _ in range(2, longest + 1):
                     phrase, word, byte, bits = maps.extend(phrase, byte, bits)
-                    if not len(phrase):
-                        break
                     head, tail, which = grouped(phrase, word, maps.n)
-                    if pair_filter:
-                        ok = holds(pair_filter, base ^ hashes[last[head]] ^ rotate(hashes[tail]))
-                        numbers = np.cumsum(ok) - 1
-                        left = ok[which]
-                        head, tail, which, byte, bits = head[ok], tail[ok], numbers[which[left]], byte[left], bits[left]
-                    texts = pc.binary_join_element_wise(texts.take(pa.array(head)), words.take(pa.array(tail)), " ")
-                    if length > 2 or not pair_filter:
-                        yield from put(lang, texts, popcounts(which, bits, len(head)))
-                    if not pair_filter:
+                    ok = holds(pair_filter, pair_hash(hashes[last[head]], hashes[tail]))
+                    if not ok.any():
                         break
-                    phrase, last = which, tail
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lang, words, places = (c[i] for c in batch.columns)
-                yield from shard(lang.as_py(), words.values, np.frombuffer(places.as_buffer(), np.int32))
-
-    return sharded.mapInArrow(run, COUNTED)
-
-
-def words_of(sharded: DataFrame) -> DataFrame:
-    """The popcount of each word of each shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lang, words, places = (c[i] for c in batch.columns)
-                words, at = words.values, np.frombuffer(places.as_buffer(), np.int32)
-                counts = np.bincount(at[at >= 0], minlength=len(words))
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(words), pa.string()), words, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+                    left = ok[which]
+                    head, tail, phrase, byte, bits = head[ok], tail[ok], (np.cumsum(ok) - 1)[which[left]], byte[left], bits[left]
+                    texts, last = pc.binary_join_element_wise(texts.take(pa.array(head)), words.take(pa.array(tail)), " "), tail
+                    yield from put(lang, texts, popcounts(phrase, bits, len(head)))
 
     return sharded.mapInArrow(run, COUNTED)
 
 
-def summed(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-
-
 def count(docs: DataFrame, least: int = LEAST, longest: int = WORDS, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of every phrase of up to longest words that occurs at least so often, and (lang, n), the number of all words."""
     sharded = staged(shards(docs, text_col, lang_col, shard_bytes), "shards")
-    enough = F.col("n") >= least
-    every = words_of(sharded)
-    # one sum gives both: a row without phrase is the language's whole
-    words = staged(summed(every).withColumn("sure", enough).groupBy("lang", F.when(F.col("sure"), F.col("phrase")).alias("phrase")).agg(F.sum("n").alias("n")), "words")
-    frequent = words.where(F.col("phrase").isNotNull())
-    wanted = filter_of(frequent, filter_bits)
-    pairs = staged(summed(phrases(sharded, wanted)).where(enough), "pairs")
-    found = [frequent, pairs]
-    if longest > 2:
-        found.append(staged(summed(phrases(sharded, wanted, filter_of(pairs, filter_bits), longest)).where(enough), "phrases"))
-    return reduce(DataFrame.unionByName, found), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = staged(sharded.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
+    sharded = sharded.drop("n_words")
+    buckets = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    wanted = filter_of(frequent_slots(word_blocks(sharded, buckets), least, filter_bits), filter_bits)
+    pairs = filter_of(frequent_slots(pair_blocks(sharded, wanted, buckets), least, filter_bits), filter_bits)
+    counted = phrases(sharded, wanted, pairs, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return staged(counted, "phrases"), totals
 
 
 def scored(counted: DataFrame) -> DataFrame:
