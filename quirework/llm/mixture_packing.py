@@ -31,13 +31,17 @@ not looked at.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirework.llm.common import fields, map_rows, staged, table
+from quirework.llm.common import fields, map_rows, slices, staged, table
 from quirework.llm.packing_gga import END_ID
 from quirework.llm.tokens import ENCODE_ROWS, encoder
 
@@ -189,22 +193,26 @@ def sequences(
     placed = pieces.withColumn("place", F.coalesce(F.sum("length").over(turn), F.lit(0))).join(begins, "round").withColumn("begin", F.col("begin") + F.col("place"))
     cuts = cut(placed, capacity).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("cuts"))
 
-    def start():
-        def batch(columns: dict) -> dict:
-            out = []
-            for key, queue, n, raw, cuts in zip(*(columns[c] for c in whole_columns)):
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                for c in cuts:
-                    part = ids[c["start"] : c["start"] + c["length"]]
-                    out.append((key, c["start"], c["length"], zlib.crc32(part.tobytes()), n, c["sequence_id"], c["offset"], queue, part if with_ids else None))
-            return dict(zip((id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"), zip(*out)))
-
-        return batch
-
     whole = rows.join(cuts, "row").select(id_col, "queue", "n", "ids", "cuts")
-    whole_columns = whole.columns
     more = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
-    return map_rows(whole, whole_columns, start, fields(whole, [id_col], more + ", ids array<int>" * with_ids))
+    kind = fields(whole, [id_col], more + ", ids array<int>" * with_ids)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, queues, n, raws, cuts = batch.columns
+            parents, flat = pc.list_parent_indices(cuts), pc.list_flatten(cuts)
+            start, length, sequence, offset = flat.flatten()
+            texts = [np.frombuffer(raw.as_buffer(), "<u2" if len(raw.as_buffer()) == 2 * m else "<u4").astype("<u4") for raw, m in zip(raws, n.to_pylist())]
+            views = [memoryview(t).cast("B") for t in texts]
+            places = list(zip(parents.to_pylist(), start.to_pylist(), length.to_pylist()))
+            crcs = pa.array([zlib.crc32(views[i][4 * a : 4 * (a + m)]) for i, a, m in places], pa.int64())
+            out = [keys.take(parents), start, length, crcs, n.take(parents), sequence, offset, queues.take(parents)]
+            if with_ids:
+                out.append(pa.array([texts[i][a : a + m] for i, a, m in places], arrow.field("ids").type))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+    return whole.mapInArrow(run, kind)
 
 
 def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
