@@ -43,16 +43,16 @@ from quirework.llm.common import LOWER, UPPER, load, shared, slices, staged, tab
 
 LEAST, WORDS, INSIDE, TOP = 30, 4, 80, 2000
 UNKNOWN = "und"
-SHARD_BYTES, FILTER_BITS = 4 << 20, 1 << 26
+SHARD_BYTES, FILTER_BITS = 2 << 20, 1 << 26
 #: Entries that one class of first words may have when it is extended, about.
-CLASS = 1 << 18
+CLASS = 1 << 16
 END, SPACE = b".,;:!?\n\v\f\r", b"\t"
 FOLD = bytes.maketrans(UPPER.encode() + END + SPACE, LOWER.encode() + b"\n" * len(END) + b" ")
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 SHARD = "lang string, words array<string>, hashes binary, places binary, n_words long"
 BLOCK = "bucket int, hashes binary, counts binary"
 #: Hashes that a task holds before it gives blocks out, and that a bucket gets from all tasks, about.
-HELD, BUCKET = 1 << 21, 1 << 19
+HELD, BUCKET = 1 << 19, 1 << 18
 COUNTED = "lang string, phrase string, n long"
 #: How far the second word's hash is turned, so that a pair's order matters.
 TURN = 17
