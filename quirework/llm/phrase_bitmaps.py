@@ -12,13 +12,13 @@ Popcounts are a shard's counts; Spark sums them over all shards, within tasks
 first.
 
 A phrase is extended only while its parts may be frequent over all shards. So
-popcounts are first summed by 64-bit hash, of words and then of pairs of words
-that may be frequent: a task sums up its shards and deals sorted blocks of
-(hash, count) by hash, so that most pairs, which are rare, cost twelve bytes and
-never become text. Then, depth-first from one class of first words to the next,
-the phrases all of whose pairs may be frequent are counted as texts, and the
+popcounts are first summed by 64-bit hash, of words, of pairs of words that may
+be frequent, and depth-first of longer phrases all of whose pairs may be: a task
+sums up its shards and deals sorted blocks of (hash, count) by hash, so that
+most phrases, which are rare, cost sixteen bytes and never become text. At last
+the phrases all of whose parts may be frequent are counted as texts, and the
 exact limit is held against these counts. What may be frequent reaches the shards
-as a filter of FILTER_BITS bits, whatever the size of the corpus. Equal hashes
+as filters of FILTER_BITS bits, whatever the size of the corpus. Equal hashes
 and equal bits let through more, which is counted in vain, and never less.
 
 Results for odd input: null and empty texts, and texts without words, have no
@@ -267,27 +267,50 @@ def word_blocks(sharded: DataFrame, buckets: int) -> DataFrame:
     return sharded.mapInArrow(run, BLOCK)
 
 
-def pair_blocks(sharded: DataFrame, wanted, buckets: int) -> DataFrame:
-    """Popcounts of the pairs of wanted words, by hash."""
+def walk(maps: Bitmaps, hashes: np.ndarray, pairs, longer, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, prefix, last word, hash, popcount) of the phrases of two words and more, depth-first by classes of first words.
+
+    A prefix is the number of a phrase among those one word shorter that came
+    before, and for pairs a word. A phrase is gone on from if its last pair is in
+    pairs and, beyond two words, its hash in longer; a filter that is None holds all.
+    """
+    for phrase, byte, bits in maps.classes():
+        last, own = np.arange(maps.n), hashes  # last word and hash of each phrase by its number
+        for length in range(2, longest + 1):
+            phrase, word, byte, bits = maps.extend(phrase, byte, bits)
+            head, tail, which = grouped(phrase, word, maps.n)
+            ok = np.ones(len(head), bool)
+            if pairs:
+                ok &= holds(pairs, pair_hash(hashes[last[head]], hashes[tail]))
+            if longer and length > 2:
+                ok &= holds(longer, pair_hash(own[head], hashes[tail]))
+            if not ok.any():
+                break
+            left = ok[which]
+            head, tail, phrase, byte, bits = head[ok], tail[ok], (np.cumsum(ok) - 1)[which[left]], byte[left], bits[left]
+            own, last = pair_hash(own[head], hashes[tail]), tail
+            yield length, head, tail, own, popcounts(phrase, bits, len(head))
+
+
+def phrase_blocks(sharded: DataFrame, wanted, pairs, buckets: int, longest: int) -> DataFrame:
+    """Popcounts by hash of the pairs of wanted words; with a filter of pairs, of longer phrases made of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, word_filter = Sums(buckets), load(wanted)
+        sums, word_filter, pair_filter = Sums(buckets), load(wanted), load(pairs) if pairs else None
         for _, _, hashes, places in shard_rows(batches):
-            maps = Bitmaps(places, holds(word_filter, hashes))
-            for entries in maps.classes():
-                phrase, word, _, bits = maps.extend(*entries)
-                head, tail, which = grouped(phrase, word, maps.n)
-                yield from sums.add(pair_hash(hashes[head], hashes[tail]), popcounts(which, bits, len(head)))
+            for length, _, _, own, counts in walk(Bitmaps(places, holds(word_filter, hashes)), hashes, pair_filter, None, longest if pairs else 2):
+                if length > 2 or not pairs:
+                    yield from sums.add(own, counts)
         yield from sums.rest()
 
     return sharded.mapInArrow(run, BLOCK)
 
 
-def phrases(sharded: DataFrame, wanted, pairs, longest: int = WORDS) -> DataFrame:
-    """Counts, shard by shard, of the wanted words and of all phrases of them whose pairs are in the filter of pairs."""
+def phrases(sharded: DataFrame, wanted, pairs, longer, longest: int = WORDS) -> DataFrame:
+    """Counts, shard by shard, of the words and phrases that are in the filters with all their parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_filter, pair_filter = load(wanted), load(pairs)
+        word_filter, pair_filter, longer_filter = load(wanted), load(pairs), load(longer)
 
         def put(lang: str, texts: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(texts), 65536):
@@ -296,21 +319,12 @@ def phrases(sharded: DataFrame, wanted, pairs, longest: int = WORDS) -> DataFram
 
         for lang, words, hashes, places in shard_rows(batches):
             sure = holds(word_filter, hashes)
-            maps = Bitmaps(places, sure)
             known = np.flatnonzero(sure)
             yield from put(lang, words.take(pa.array(known)), np.bincount(places[places >= 0], minlength=len(words))[known])
-            for phrase, byte, bits in maps.classes():
-                texts, last = words, np.arange(maps.n)  # of each phrase by its number
-                for _ in range(2, longest + 1):
-                    phrase, word, byte, bits = maps.extend(phrase, byte, bits)
-                    head, tail, which = grouped(phrase, word, maps.n)
-                    ok = holds(pair_filter, pair_hash(hashes[last[head]], hashes[tail]))
-                    if not ok.any():
-                        break
-                    left = ok[which]
-                    head, tail, phrase, byte, bits = head[ok], tail[ok], (np.cumsum(ok) - 1)[which[left]], byte[left], bits[left]
-                    texts, last = pc.binary_join_element_wise(texts.take(pa.array(head)), words.take(pa.array(tail)), " "), tail
-                    yield from put(lang, texts, popcounts(phrase, bits, len(head)))
+            texts = words
+            for length, head, tail, _, counts in walk(Bitmaps(places, sure), hashes, pair_filter, longer_filter, longest):
+                texts = pc.binary_join_element_wise((texts if length > 2 else words).take(pa.array(head)), words.take(pa.array(tail)), " ")
+                yield from put(lang, texts, counts)
 
     return sharded.mapInArrow(run, COUNTED)
 
@@ -321,9 +335,14 @@ def count(docs: DataFrame, least: int = LEAST, longest: int = WORDS, text_col: s
     totals = staged(sharded.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     sharded = sharded.drop("n_words")
     buckets = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET)
-    wanted = filter_of(frequent_slots(word_blocks(sharded, buckets), least, filter_bits), filter_bits)
-    pairs = filter_of(frequent_slots(pair_blocks(sharded, wanted, buckets), least, filter_bits), filter_bits)
-    counted = phrases(sharded, wanted, pairs, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+    def may_be(blocks: DataFrame):
+        return filter_of(frequent_slots(blocks, least, filter_bits), filter_bits)
+
+    wanted = may_be(word_blocks(sharded, buckets))
+    pairs = may_be(phrase_blocks(sharded, wanted, None, buckets, longest))
+    longer = may_be(phrase_blocks(sharded, wanted, pairs, buckets, longest))
+    counted = phrases(sharded, wanted, pairs, longer, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return staged(counted, "phrases"), totals
 
 
