@@ -12,10 +12,10 @@ Popcounts are a shard's counts; Spark sums them over all shards, within tasks
 first.
 
 A phrase is extended only while its parts may be frequent over all shards. So
-popcounts are first summed by 64-bit hash, of words, of pairs of words that may
+popcounts are first summed by 40-bit hash, of words, of pairs of words that may
 be frequent, and depth-first of longer phrases all of whose pairs may be: a task
 sums up its shards and deals sorted blocks of (hash, count) by hash, so that
-most phrases, which are rare, cost sixteen bytes and never become text. At last
+most phrases, which are rare, cost a few bytes and never become text. At last
 the phrases all of whose parts may be frequent are counted as texts, and the
 exact limit is held against these counts. What may be frequent reaches the shards
 as filters of FILTER_BITS bits, whatever the size of the corpus. Equal hashes
@@ -54,8 +54,8 @@ BLOCK = "bucket int, hashes binary, counts binary"
 #: Hashes that a task holds before it gives blocks out, and that a bucket gets from all tasks, about.
 HELD, BUCKET = 1 << 19, 1 << 18
 COUNTED = "lang string, phrase string, n long"
-#: How far the second word's hash is turned, so that a pair's order matters.
-TURN = 17
+#: How far the second word's hash is turned, so that a pair's order matters, and bits of a hash by which is summed.
+TURN, KEY_BITS = 17, 40
 
 
 def encode(raw: bytes) -> tuple[pa.StringArray, np.ndarray]:
@@ -89,7 +89,7 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
             del sizes[lang]
             hashes = np.array([xxh64_intdigest(w, 42) for w in words.to_pylist()], np.uint64) ^ np.uint64(xxh64_intdigest(lang, 42))
             listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            return pa.RecordBatch.from_arrays([pa.array([lang]), listed, pa.array([hashes.tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()), pa.array([int((places >= 0).sum())])], names=["lang", "words", "hashes", "places", "n_words"])
+            return pa.RecordBatch.from_arrays([pa.array([lang]), listed, pa.array([hashes.tobytes()], pa.binary()), pa.array([packed(places, len(words))], pa.binary()), pa.array([int((places >= 0).sum())])], names=["lang", "words", "hashes", "places", "n_words"])
 
         for batch in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -110,6 +110,28 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
     return docs.where(F.col(f"`{text_col}`").isNotNull()).select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, SHARD)
 
 
+def packed(places: np.ndarray, n_words: int) -> bytes:
+    """Numbers of words in two bytes each, if they fit."""
+    return places.astype("<u2" if n_words < 0xFFFF else "<i4").tobytes()
+
+
+def unpacked(raw: pa.Buffer, n_words: int) -> np.ndarray:
+    if n_words >= 0xFFFF:
+        return np.frombuffer(raw, "<i4")
+    places = np.frombuffer(raw, "<u2").astype(np.int32)
+    places[places == 0xFFFF] = -1
+    return places
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: those that hardly vary compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def values_of(raw: pa.Buffer, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 class Sums:
     """Counts by hash, summed up in memory and given out in blocks by bucket, each sorted."""
 
@@ -117,7 +139,7 @@ class Sums:
         self.buckets, self.hashes, self.counts, self.held = buckets, [], [], 0
 
     def add(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.hashes.append(hashes)
+        self.hashes.append(hashes & np.uint64((1 << KEY_BITS) - 1))
         self.counts.append(counts)
         self.held += len(hashes)
         if self.held > 2 * HELD:
@@ -138,11 +160,11 @@ class Sums:
 
     def blocks(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A bucket is a range of hashes."""
-        bucket = ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
+        bucket = (hashes * np.uint64(self.buckets) >> np.uint64(KEY_BITS)).astype(np.int32)
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for a, b in zip(edges, edges[1:]):
             if b > a:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([hashes[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].astype(np.int64).tobytes()], pa.binary())], names=["bucket", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([planes(hashes[a:b])], pa.binary()), pa.array([planes(counts[a:b].astype(np.int64))], pa.binary())], names=["bucket", "hashes", "counts"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.hashes:
@@ -166,8 +188,8 @@ def frequent_slots(blocks: DataFrame, least: int, bits: int) -> DataFrame:
                 if bucket != now:
                     yield from done()
                     now = bucket
-                sums.hashes.append(np.frombuffer(hashes.as_buffer(), np.uint64))
-                sums.counts.append(np.frombuffer(counts.as_buffer(), np.int64))
+                sums.hashes.append(values_of(hashes.as_buffer(), np.uint64))
+                sums.counts.append(values_of(counts.as_buffer(), np.int64))
         yield from done()
 
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "at long")
@@ -252,7 +274,7 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Arra
     for batch in batches:
         for i in range(batch.num_rows):
             lang, words, hashes, places = (c[i] for c in batch.columns)
-            yield lang.as_py(), words.values, np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(places.as_buffer(), np.int32)
+            yield lang.as_py(), words.values, np.frombuffer(hashes.as_buffer(), np.uint64), unpacked(places.as_buffer(), len(words.values))
 
 
 def word_blocks(sharded: DataFrame, buckets: int) -> DataFrame:
@@ -334,7 +356,7 @@ def count(docs: DataFrame, least: int = LEAST, longest: int = WORDS, text_col: s
     sharded = staged(shards(docs, text_col, lang_col, shard_bytes), "shards")
     totals = staged(sharded.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     sharded = sharded.drop("n_words")
-    buckets = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    buckets = min(1 << 23, max(1, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET))
 
     def may_be(blocks: DataFrame):
         return filter_of(frequent_slots(blocks, least, filter_bits), filter_bits)
