@@ -49,11 +49,12 @@ CLASS = 1 << 16
 END, SPACE = b".,;:!?\n\v\f\r", b"\t"
 FOLD = bytes.maketrans(UPPER.encode() + END + SPACE, LOWER.encode() + b"\n" * len(END) + b" ")
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-SHARD = "lang string, words array<string>, hashes binary, places binary, n_words long"
+SHARD = "lang string, words array<string>, places binary, n_words long"
 BLOCK = "bucket int, hashes binary, counts binary"
 #: Hashes that a task holds before it gives blocks out, and that a bucket gets from all tasks, about.
 HELD, BUCKET = 1 << 19, 1 << 18
 COUNTED = "lang string, phrase string, n long"
+TEXTS = "bucket int, lang string, phrases binary, counts binary"
 #: How far the second word's hash is turned, so that a pair's order matters, and bits of a hash by which is summed.
 TURN, KEY_BITS = 17, 40
 
@@ -79,17 +80,14 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shar
     """Words and places of shards, each of one language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
         def put(lang: str) -> pa.RecordBatch:
             words, places = encode(b"\n".join(held.pop(lang)))
             del sizes[lang]
-            hashes = np.array([xxh64_intdigest(w, 42) for w in words.to_pylist()], np.uint64) ^ np.uint64(xxh64_intdigest(lang, 42))
             listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            return pa.RecordBatch.from_arrays([pa.array([lang]), listed, pa.array([hashes.tobytes()], pa.binary()), pa.array([packed(places, len(words))], pa.binary()), pa.array([int((places >= 0).sum())])], names=["lang", "words", "hashes", "places", "n_words"])
+            return pa.RecordBatch.from_arrays([pa.array([lang]), listed, pa.array([packed(places, len(words))], pa.binary()), pa.array([int((places >= 0).sum())])], names=["lang", "words", "places", "n_words"])
 
         for batch in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -271,10 +269,14 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    """The language, the words, their hashes and the places of each shard."""
+    from xxhash import xxh64_intdigest
+
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, words, hashes, places = (c[i] for c in batch.columns)
-            yield lang.as_py(), words.values, np.frombuffer(hashes.as_buffer(), np.uint64), unpacked(places.as_buffer(), len(words.values))
+            lang, words, places = (c[i] for c in batch.columns)
+            hashes = np.array([xxh64_intdigest(w, 42) for w in words.values.to_pylist()], np.uint64) ^ np.uint64(xxh64_intdigest(lang.as_py(), 42))
+            yield lang.as_py(), words.values, hashes, unpacked(places.as_buffer(), len(words.values))
 
 
 def word_blocks(sharded: DataFrame, buckets: int) -> DataFrame:
@@ -328,27 +330,86 @@ def phrase_blocks(sharded: DataFrame, wanted, pairs, buckets: int, longest: int)
     return sharded.mapInArrow(run, BLOCK)
 
 
-def phrases(sharded: DataFrame, wanted, pairs, longer, longest: int = WORDS) -> DataFrame:
-    """Counts, shard by shard, of the words and phrases that are in the filters with all their parts."""
+class Texts:
+    """Counts of phrases of one language, summed up in memory."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_filter, pair_filter, longer_filter = load(wanted), load(pairs), load(longer)
+    def __init__(self):
+        self.parts: list[pa.Table] = []
+        self.held = 0
 
-        def put(lang: str, texts: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(texts), 65536):
-                part = texts.slice(i, 65536)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(counts[i : i + 65536], pa.int64())], names=["lang", "phrase", "n"])
+    def add(self, phrases: pa.Array, counts: np.ndarray, keys: np.ndarray | None = None) -> None:
+        self.parts.append(pa.table({"phrase": phrases, "n": pa.array(counts, pa.int64())} | ({} if keys is None else {"key": keys & np.uint64((1 << KEY_BITS) - 1)})))
+        self.held += len(phrases)
+
+    def merge(self) -> pa.Table:
+        every = pa.concat_tables(self.parts)
+        self.parts, self.held = [], 0
+        return every.group_by("phrase").aggregate([("n", "sum")] + ([("key", "min")] if "key" in every.column_names else []))
+
+    def blocks(self, lang: str, buckets: int, press) -> Iterator[pa.RecordBatch]:
+        """Sorted texts and their counts by bucket."""
+        merged = self.merge().sort_by([("key_min", "ascending")])
+        bucket = (merged["key_min"].to_numpy() * np.uint64(buckets) >> np.uint64(KEY_BITS)).astype(np.int32)
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                part = merged.slice(a, b - a).sort_by([("phrase", "ascending")])
+                text = press("\n".join(part["phrase"].to_pylist()).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([lang]), pa.array([text]), pa.array([planes(part["n_sum"].to_numpy())], pa.binary())], names=["bucket", "lang", "phrases", "counts"])
+
+
+def phrase_texts(sharded: DataFrame, wanted, pairs, longer, buckets: int, longest: int) -> DataFrame:
+    """Counts of the words and phrases that are in the filters with all their parts, in blocks by bucket and language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        word_filter, pair_filter, longer_filter = load(wanted), load(pairs), load(longer)
+        press = zstandard.ZstdCompressor(level=3).compress
+        sums: dict[str, Texts] = {}
         for lang, words, hashes, places in shard_rows(batches):
+            mine = sums.setdefault(lang, Texts())
             sure = holds(word_filter, hashes)
             known = np.flatnonzero(sure)
-            yield from put(lang, words.take(pa.array(known)), np.bincount(places[places >= 0], minlength=len(words))[known])
+            mine.add(words.take(pa.array(known)), np.bincount(places[places >= 0], minlength=len(words))[known], hashes[known])
             texts = words
-            for length, head, tail, _, counts in walk(Bitmaps(places, sure), hashes, pair_filter, longer_filter, longest):
+            for length, head, tail, own, counts in walk(Bitmaps(places, sure), hashes, pair_filter, longer_filter, longest):
                 texts = pc.binary_join_element_wise((texts if length > 2 else words).take(pa.array(head)), words.take(pa.array(tail)), " ")
-                yield from put(lang, texts, counts)
+                mine.add(texts, counts, own)
+            if sum(t.held for t in sums.values()) > HELD:
+                most = max(sums, key=lambda x: sums[x].held)
+                yield from sums.pop(most).blocks(most, buckets, press)
+        for lang, mine in sums.items():
+            yield from mine.blocks(lang, buckets, press)
+
+    return sharded.mapInArrow(run, TEXTS)
+
+
+def summed(blocks: DataFrame, least: int) -> DataFrame:
+    """The phrases that occur at least so often over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor().decompress
+        now, sums = None, Texts()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sums.parts:
+                merged = sums.merge()
+                for part in merged.filter(pc.greater_equal(merged["n_sum"], least)).to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array([now[1]] * part.num_rows, pa.string()), part["phrase"], part["n_sum"]], names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for bucket, lang, phrases, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if (bucket, lang) != now:
+                    yield from done()
+                    now = bucket, lang
+                text = unpress(phrases.as_buffer()).decode()
+                sums.add(pa.array(text.split("\n"), pa.string()), values_of(counts.as_buffer(), np.int64))
+        yield from done()
 
-    return sharded.mapInArrow(run, COUNTED)
+    return blocks.repartition("bucket", "lang").sortWithinPartitions("bucket", "lang").mapInArrow(run, COUNTED)
 
 
 def count(docs: DataFrame, least: int = LEAST, longest: int = WORDS, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
@@ -364,8 +425,7 @@ def count(docs: DataFrame, least: int = LEAST, longest: int = WORDS, text_col: s
     wanted = may_be(word_blocks(sharded, buckets))
     pairs = may_be(phrase_blocks(sharded, wanted, None, buckets, longest))
     longer = may_be(phrase_blocks(sharded, wanted, pairs, buckets, longest))
-    counted = phrases(sharded, wanted, pairs, longer, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return staged(counted, "phrases"), totals
+    return staged(summed(phrase_texts(sharded, wanted, pairs, longer, buckets, longest), least), "phrases"), totals
 
 
 def scored(counted: DataFrame) -> DataFrame:
