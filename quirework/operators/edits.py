@@ -5,8 +5,9 @@ its place. Matching is relational: records whose centre lies in the rectangle,
 in stream order, have to hold a run of neighbours that spells the expected text.
 Rewriting is a second fold of the pages that have edits, a page at a time.
 
-A page is rewritten whole or not at all; the reason tells why not. What stays
-keeps its place: a show that is taken out leaves its advance behind where others
+A page is rewritten whole or not at all; the reason tells why not. Text alone is
+moved: a page is refused where a graphic lies below what is pushed down, or text
+would leave the page. What stays keeps its place: a show that is taken out leaves its advance behind where others
 follow on its line, and a line that moves gets a matrix of its own.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from quirework.functions.text import cmp_key, cmp_key_of, same_text
+from quirework.operators.bands import REFUSALS, SLACK
 from quirework.operators.pagefold import IDENTITY, PAGE, Matrix, Page, View, times
 from quirework.sources.fonts import UNKNOWN, Font
 
@@ -234,7 +236,11 @@ def edited(page: Anchored, content: bytes, edits: list[dict]) -> bytes:
         if removed & set(edit["recs"]):
             raise Refused("two edits take the same text")
         removed |= set(edit["recs"])
+        if edit["push"] and any(g["type"] != "clip" and g["bottom"] > edit["bottom"] + SLACK and g["right"] > edit["x"] and g["x"] < edit["right"] for g in page.graphics):
+            raise Refused(REFUSALS[8])
     shifts = {i: d for i, r in enumerate(page.records) if i not in removed and (d := sum(e["push"] or 0.0 for e in edits if r["top"] >= e["bottom"] - PAD and r["right"] > e["x"] and r["x"] < e["right"]))}
+    if any(page.records[i]["bottom"] + d > page.view.size[1] for i, d in shifts.items()):
+        raise Refused("text would leave the page")
     out = rewrite(page, content, removed, shifts)
     shown = b"".join(new_text(page, e["recs"], e["replacement"], e["right"] - page.records[e["recs"][0]]["x"] + PAD) for e in edits if e["replacement"])
     return b"q\n" + out + b"\nQ\n" + shown if shown else out

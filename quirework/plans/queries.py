@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirework.functions import geometry as G
 from quirework.functions import ranges as R
 from quirework.functions import text as T
-from quirework.operators import edits, layout, merge, publication, raster, stamps
+from quirework.operators import bands, edits, layout, merge, publication, raster, stamps
 from quirework.operators.audit import LIMITATIONS, Audit
 from quirework.operators.pagefold import fold_pages
 from quirework.operators.spatial import overlap_join
@@ -133,17 +133,109 @@ def text_records(t):
     return r.select("doc_id", "page", "rec", "r.text", F.round("r.x", 3).alias("x"), F.round("r.right", 3).alias("right"), F.round("r.top", 3).alias("top"), F.round("r.bottom", 3).alias("bottom"), "r.render_mode")
 
 
-@query(f"""WITH {LINES_SQL}, ruled AS (SELECT *, replace(replace(replace(line, ' ', ''), chr(160), ''), chr(173), '') <> '' AS goes FROM numbered_records WHERE rec = 0)
-  SELECT n.doc_id, CAST(n.page AS INTEGER) AS page, CASE WHEN r.goes AND n.rec = 0 THEN 'X' ELSE n.line END AS text, round(43.2 + 14 * n.rec + CASE WHEN r.goes AND n.rec > 0 AND n.doc_id % 2 = 0 THEN 7 ELSE 0 END, 3) AS top,
-    CAST(72 + 5 * CASE WHEN r.goes AND n.rec = 0 THEN 1 ELSE length(n.line) END AS DOUBLE) AS "right" FROM numbered_records n JOIN ruled r USING (doc_id, page)""")
-def edited_pages(t):
-    """Each page's first line replaced, in every other document what is below moved down; read back from the new bytes."""
+#: Pages of even documents that have a fill under their second line or below, which a push would leave behind.
+PUSHED_SQL = f"""WITH {LINES_SQL}, ruled AS (
+  SELECT doc_id, page, bool_or(rec = 0 AND replace(replace(replace(line, ' ', ''), chr(160), ''), chr(173), '') <> '') AS spelled, bool_or(rec > 0 AND role IN (0, 4, 5)) AND doc_id % 2 = 0 AS blocked
+  FROM numbered_records GROUP BY doc_id, page
+)"""
+
+
+def pushed_pages(t) -> DataFrame:
+    """Each page's first line replaced, in every other document what is below moved down."""
 
     def ask(doc_id, page, records):
-        return [{k: r[k] for k in ("x", "top", "right", "bottom")} | {"edit": 0, "expected": r["text"], "replacement": "X", "push": None if doc_id % 2 else 7.0} for r in records[:1]]
+        return [{k: r[k] for k in ("x", "top", "right", "bottom")} | {"edit": 0, "expected": r["text"], "replacement": "X", "push": None if doc_id is None or doc_id % 2 else 7.0} for r in records[:1]]
+
+    return edits.edit_each(pages(t("documents")), ask)
+
+
+@query(f"""{PUSHED_SQL}
+  SELECT n.doc_id, CAST(n.page AS INTEGER) AS page, CASE WHEN goes AND n.rec = 0 THEN 'X' ELSE n.line END AS text, round(43.2 + 14 * n.rec + CASE WHEN goes AND n.rec > 0 AND n.doc_id % 2 = 0 THEN 7 ELSE 0 END, 3) AS top,
+    CAST(72 + 5 * CASE WHEN goes AND n.rec = 0 THEN 1 ELSE length(n.line) END AS DOUBLE) AS "right" FROM numbered_records n JOIN (SELECT doc_id, page, spelled AND NOT coalesce(blocked, false) AS goes FROM ruled) r ON n.doc_id IS NOT DISTINCT FROM r.doc_id AND n.page = r.page""")
+def edited_pages(t):
+    """Pages as their edits make them, read back from the new bytes."""
+    return fold_pages(pushed_pages(t), characters=False).select("doc_id", "page", F.explode("records").alias("r")).select("doc_id", "page", "r.text", F.round("r.top", 3).alias("top"), F.round("r.right", 3).alias("right"))
+
+
+@query(f"""{PUSHED_SQL} SELECT doc_id, CAST(page AS INTEGER) AS page, spelled AND NOT coalesce(blocked, false) AS ok,
+  CASE WHEN NOT spelled THEN 'what is there doesn''t spell the expected text' WHEN blocked THEN '{bands.REFUSALS[8].replace("'", "''")}' END AS reason FROM ruled""")
+def edit_refusals(t):
+    """Which pages their edits can't be made on, and why: the edits of edited_pages."""
+    return pushed_pages(t).select("doc_id", "page", "ok", "reason")
+
+
+#: Objects of a page are the lines of an order, and its cuts follow from the order.
+BANDS_SQL = """WITH o AS (
+  SELECT l_orderkey AS page, l_linenumber * 1000000000000 + l_partkey * 10000 + l_suppkey AS id, ['text', 'text', 'text', 'image', 'path', 'path', 'clip'][CAST((l_linenumber + l_partkey) % 7 + 1 AS INTEGER)] AS kind,
+    CAST(l_partkey % 500 AS DOUBLE) AS x, floor(l_extendedprice) % 700 AS top, l_partkey % 500 + 4 * floor(l_quantity) AS "right", floor(l_extendedprice) % 700 + 8 + l_suppkey % 30 AS bottom,
+    l_suppkey % 13 <> 0 AS movable, l_orderkey % 5 = 0 AS shared, CASE WHEN l_suppkey % 3 = 0 THEN floor(l_extendedprice) % 700 + 8 + l_suppkey % 30 + l_partkey % 60 END AS clip_bottom FROM lineitem
+), c AS (
+  SELECT o_orderkey AS page, CAST(k AS INTEGER) AS cut, floor(o_totalprice) % 600 + 100 * k AS below_y, CAST(5 + o_custkey % 40 AS DOUBLE) AS dy,
+    [NULL, NULL, 200, 150][CAST(o_orderkey % 4 + 1 AS INTEGER)]::DOUBLE AS x0, [NULL, 300, NULL, 400][CAST(o_orderkey % 4 + 1 AS INTEGER)]::DOUBLE AS x1
+  FROM orders, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR o_custkey % 3 = 0
+), z AS (
+  SELECT *, x >= coalesce(x0, -1e9) - 2 AND "right" <= coalesce(x1, 1e9) + 2 AS is_in, "right" < coalesce(x0, -1e9) + 2 OR x > coalesce(x1, 1e9) - 2 AS is_out, x0 IS NOT NULL OR x1 IS NOT NULL AS banded
+  FROM c JOIN o USING (page) WHERE CASE kind WHEN 'text' THEN (top + bottom) / 2 > below_y WHEN 'clip' THEN false ELSE bottom > below_y + 0.5 END
+), m AS (
+  SELECT *, CASE WHEN kind = 'text' THEN CASE WHEN is_in THEN 'inside' WHEN is_out THEN 'outside' ELSE 'spanning' END WHEN banded AND is_out THEN 'outside' WHEN banded AND NOT is_in THEN 'spanning' ELSE 'inside' END AS zone FROM z
+), r AS (
+  SELECT *, zone = 'inside' AND movable AS moves, CASE
+    WHEN kind = 'text' THEN CASE WHEN zone = 'spanning' AND top < below_y THEN 1 WHEN zone = 'inside' AND NOT movable THEN 2 END
+    WHEN zone = 'spanning' AND top < below_y THEN 3 WHEN zone <> 'inside' THEN NULL WHEN NOT movable THEN 8
+    WHEN kind = 'image' THEN CASE WHEN top < below_y - 0.5 THEN 4 WHEN shared THEN 5 END
+    WHEN top < below_y - 0.5 THEN 6 WHEN bottom + sum(CASE WHEN zone = 'inside' AND movable THEN dy ELSE 0 END) OVER (PARTITION BY page, id ORDER BY cut) > clip_bottom + 0.5 THEN 7 END AS object_rule FROM m
+), f AS (
+  SELECT page, cut, count(*) FILTER (moves) AS n_moved, count(*) FILTER (zone = 'outside') AS n_outside, count(*) FILTER (zone = 'spanning') AS n_spanning,
+    min(top) FILTER (zone = 'spanning') AS floor, max(bottom) FILTER (moves OR kind = 'text' AND zone = 'inside') AS lowest,
+    arg_min(object_rule, CASE WHEN object_rule < 3 THEN object_rule ELSE 3 END * 100000000000000 + id) FILTER (object_rule IS NOT NULL) AS object_rule FROM r GROUP BY page, cut
+), e AS (
+  SELECT page, cut, coalesce(n_moved, 0) AS n_moved, coalesce(n_outside, 0) AS n_outside, coalesce(n_spanning, 0) AS n_spanning, floor, lowest,
+    CAST(coalesce(object_rule, CASE WHEN lowest > floor - 0.5 THEN 9 WHEN lowest + dy > floor - 0.5 THEN 10 END) AS INTEGER) AS rule FROM c LEFT JOIN f USING (page, cut)
+), v AS (
+  SELECT page, count(rule) = 0 AS ok, min(cut) FILTER (rule IS NOT NULL) AS refused_cut, arg_min(rule, cut) FILTER (rule IS NOT NULL) AS rule FROM e GROUP BY page
+)"""
+
+
+def bands_of(t) -> tuple[DataFrame, DataFrame]:
+    """Cuts and objects of the queries below."""
+    n = F.floor("l_extendedprice") % 700
+    bottom = n + 8 + F.col("l_suppkey") % 30
+    kinds = F.array(*map(F.lit, ("text", "text", "text", "image", "path", "path", "clip")))
+    d = lambda c, name: c.cast("double").alias(name)
+    objects = t("lineitem").select(
+        F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("id"), F.get(kinds, ((F.col("l_linenumber") + F.col("l_partkey")) % 7).cast("int")).alias("kind"),
+        d(F.col("l_partkey") % 500, "x"), d(n, "top"), d(F.col("l_partkey") % 500 + 4 * F.floor("l_quantity"), "right"), d(bottom, "bottom"),
+        (F.col("l_suppkey") % 13 != 0).alias("movable"), (F.col("l_orderkey") % 5 == 0).alias("shared"), d(F.when(F.col("l_suppkey") % 3 == 0, bottom + F.col("l_partkey") % 60), "clip_bottom"),
+    )
+    side = lambda values: F.get(F.array(*(F.lit(v).cast("double") for v in values)), (F.col("o_orderkey") % 4).cast("int"))
+    each = t("orders").withColumn("cut", F.explode(F.when(F.col("o_custkey") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    cuts = each.select(F.col("o_orderkey").alias("page"), "cut", d(F.floor("o_totalprice") % 600 + 100 * F.col("cut"), "below_y"), d(5 + F.col("o_custkey") % 40, "dy"), side((None, None, 200, 150)).alias("x0"), side((None, 300, None, 400)).alias("x1"))
+    return cuts, objects
+
+
+@query(f"{BANDS_SQL} SELECT page, cut, n_moved, n_outside, n_spanning, floor, lowest, rule FROM e")
+def band_extents(t):
+    """Zones, floors and refusals of each cut."""
+    cuts, objects = bands_of(t)
+    return bands.extents(cuts, bands.classified(cuts, objects, ["page"]), ["page"])
+
+
+REASONS_SQL = "[" + ", ".join("'" + text.replace("'", "''") + "'" for text in bands.REFUSALS.values()) + "]"
+
+
+@query(f"""{BANDS_SQL} SELECT page, ok, refused_cut, {REASONS_SQL}[rule] AS reason FROM v""")
+def band_verdicts(t):
+    """Pages whose cuts can all be made, or what forbids it."""
+    cuts, objects = bands_of(t)
+    return bands.page_verdicts(bands.extents(cuts, bands.classified(cuts, objects, ["page"]), ["page"]), ["page"])
+
 
-    after = edits.edit_each(pages(t("documents").where("doc_id IS NOT NULL")), ask)
-    return fold_pages(after, characters=False).select("doc_id", "page", F.explode("records").alias("r")).select("doc_id", "page", "r.text", F.round("r.top", 3).alias("top"), F.round("r.right", 3).alias("right"))
+@query(f"""{BANDS_SQL} SELECT page, id, kind, sum(dy) AS dy, min(top) + sum(dy) AS new_top FROM r JOIN v USING (page) WHERE moves AND ok GROUP BY page, id, kind""")
+def band_moves(t):
+    """Where the objects of pages that aren't refused come to lie."""
+    cuts, objects = bands_of(t)
+    pairs = bands.classified(cuts, objects, ["page"])
+    return bands.moved(pairs, bands.page_verdicts(bands.extents(cuts, pairs, ["page"]), ["page"]), ["page"])
 
 
 @query("""WITH l AS (SELECT l_suppkey AS page, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS l, (l_partkey * 37) % 1000 AS x, (l_orderkey * 53) % 1000 AS y FROM lineitem),

@@ -50,6 +50,8 @@ def test_lines_below_move_and_those_beside_do_not():
     ("content", "edit", "why"),
     [
         (LINES, {"recs": None}, "spell"),
+        (LINES + b"1 0 0 rg 80 20 100 2 re f\n", {"recs": [2], "push": 5.0}, "graphics below"),
+        (LINES, {"recs": [2], "push": 5000.0}, "leave the page"),
         (LINES, {"recs": [3], "push": 5.0}, "operator of its own"),
         (LINES + b"BT /F1 10 Tf 1 0.2 0 1 100 600 Tm (far) Tj ET\n", {"recs": [2], "push": 5.0}, "turned or skewed"),
         (LINES, {"recs": [2], "replacement": "日本"}, r"U\+65E5"),
