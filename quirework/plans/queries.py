@@ -19,7 +19,7 @@ from quirework.operators.spatial import overlap_join
 from quirework.plans import preflight as P
 from quirework.sources.fonts import METRICS
 from quirework.sources.synthetic import HEIGHT, LINES_SQL, pages
-from quirework.streaming import handoff
+from quirework.streaming import handoff, stateful
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -704,6 +704,42 @@ def handoff_takes(t):
     return handoff.take_once(as_actions(t("events")), 3000)
 
 
+def as_kinds(events: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Events as rows of streaming.stateful, by their type."""
+    action = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("event_type")]
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", action.alias("action"), "value")
+
+
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'result' WHEN 'click' THEN 'request' WHEN 'view' THEN 'request' END AS action FROM events), w AS (
+  SELECT *, last_value(CASE WHEN action = 'result' THEN struct_pack(i := event_id, v := value) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b,
+    first_value(CASE WHEN action = 'result' THEN struct_pack(i := event_id, v := value, t := ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a
+  FROM e WHERE action IS NOT NULL)
+SELECT user_id AS key, event_id AS request_id, ts AS requested, coalesce(b.i, CASE WHEN a.t <= ts + INTERVAL 40000 SECOND THEN a.i END) AS result_id,
+  CASE WHEN b IS NOT NULL THEN b.v WHEN a.t <= ts + INTERVAL 40000 SECOND THEN a.v END AS value, b IS NULL AS waited FROM w WHERE action = 'request'""")
+def round_trips(t):
+    """Requests with the latest result of their user, or the first that comes in time."""
+    return stateful.round_trips(as_kinds(t("events"), {"purchase": "result", "click": "request", "view": "request"}), 40_000)
+
+
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'attach' WHEN 'error' THEN 'detach' ELSE 'item' END AS action FROM events), h AS (
+  SELECT *, last_value(CASE WHEN action <> 'item' THEN struct_pack(a := action, i := event_id) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM e
+), n AS (
+  SELECT *, lead(struct_pack(a := action, i := event_id)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM h WHERE action <> 'detach'
+)
+SELECT user_id AS key, event_id AS item_id, CASE WHEN c.a = 'attach' THEN c.i ELSE f.i END AS taken_by, c.a IS DISTINCT FROM 'attach' AS replayed, value
+FROM n WHERE action = 'item' AND (c.a = 'attach' OR f.a = 'attach')""")
+def replayed_items(t):
+    """Items that a consumer got, at once or from the stash."""
+    return stateful.replays(as_kinds(t("events"), {"signup": "attach", "error": "detach", "click": "item", "view": "item", "purchase": "item"}))
+
+
+@query(f"SELECT user_id, event_id, ts FROM events WHERE event_type <> 'error' AND ts + INTERVAL {handoff.TTL_SECONDS} SECOND < (SELECT max(ts) FROM events)")
+def swept_handoffs(t):
+    """What a sweep at the time of the last event deletes."""
+    last = t("events").agg(F.max("ts")).first()[0]
+    return handoff.expired(t("events").where("event_type <> 'error'").select("user_id", "event_id", "ts"), last)
+
+
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
 def latest_requests(t):
     return handoff.latest_wins(t("events").select("user_id", "event_id", "ts", "value"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "value")

@@ -1,18 +1,14 @@
 """One-shot handoffs: put a record under a key, take it once, and not after its time.
 
-Batch and stream forms of one rule. A put replaces what the key held; a take
+The batch form; streaming/stateful.py has that of streams. A put replaces what the key held; a take
 gets it if it is no older than TTL and leaves the key empty either way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TTL_SECONDS = 300
 RESULT = "key long, take_id long, taken_ts timestamp, put_id long, value double"
@@ -31,37 +27,6 @@ def take_once(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     return seen.where("action = 'take'").select("key", F.col("id").alias("take_id"), F.col("ts").alias("taken_ts"), F.col("got.id").alias("put_id"), F.col("got.value").alias("value"))
 
 
-def take_once_stream(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """The same on a stream, with the pending put of each key as state; it goes when event time passes its end.
-
-    events needs a watermark on ts. Within a batch, events are ordered by ts and id.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(frames).sort_values(["ts", "id"])
-        held = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            at = r.ts.value
-            if r.action == "put":
-                held = (int(r.id), at, float(r.value))
-            elif r.action == "take":
-                good = held is not None and at - held[1] <= ttl * 10**9
-                out.append((key[0], int(r.id), r.ts, held[0] if good else None, held[2] if good else None))
-                held = None
-        if held:
-            state.update(held)
-            state.setTimeoutTimestamp(max(held[1] // 10**6 + ttl * 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["key", "take_id", "taken_ts", "put_id", "value"]).astype({"put_id": "Int64"})
-
-    return events.groupBy("key").applyInPandasWithState(step, RESULT, "id long, at long, value double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def expired(puts: DataFrame, now, ttl: int = TTL_SECONDS) -> DataFrame:
     """Records that a sweep at a time deletes."""
     return puts.where(F.col("ts") + F.expr(f"INTERVAL {int(ttl)} SECONDS") < F.lit(now))
@@ -77,8 +42,3 @@ def phase_changes(log: DataFrame, key: str, order: str, phase: str) -> DataFrame
     """Log rows at which the phase differs from that before."""
     before = F.lag(phase).over(W.partitionBy(key).orderBy(order))
     return log.withColumn("__before", before).where(~F.col(phase).eqNullSafe(F.col("__before"))).drop("__before")
-
-
-def replay_once(stash: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    """Stashed items that no consumer has had yet, each once."""
-    return stash.dropDuplicates([key]).join(seen.select(key).distinct(), key, "left_anti")
