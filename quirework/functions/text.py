@@ -82,18 +82,16 @@ def winansi_offenders(x: Column) -> Column:
 
     Half of a pair is no character that a Spark string can hold: its char is U+FFFD.
     """
-    raw = F.hex(F.encode(F.coalesce(x, F.lit("")), "UTF-16BE"))
-    n = (F.length(raw) / 4).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-
-    def unit(i: Column) -> Column:
-        code = F.substring(raw, 4 * i + 1, F.lit(4))
-        half = F.rlike(code, F.lit("^D[89A-F]"))
-        char = F.when(half, "\uFFFD").otherwise(F.decode(F.unhex(F.when(half, "FFFD").otherwise(code)), "UTF-16BE"))
-        return F.struct(char.alias("char"), F.concat(F.lit("U+"), code).alias("code"), i.alias("index"))
-
-    each = F.transform(at, unit)
-    return F.filter(each, lambda u: ~F.rlike(u["char"], F.lit(f"^[\\x20-\\x7E\\xA0-\\xFF{CP1252_EXTRA}]$")))
+    codes = F.regexp_extract_all(F.hex(F.encode(F.coalesce(x, F.lit("")), "UTF-16BE")), F.lit(".{4}"), F.lit(0))
+    extra = CP1252_EXTRA.replace("\\u", "|").lstrip("|")
+    each = F.filter(F.transform(codes, lambda code, i: F.struct(code.alias("code"), i.alias("index"))), lambda u: ~F.rlike(u["code"], F.lit(f"^(00[2-6A-F].|007[0-9A-E]|{extra})$")))
+
+    def unit(u: Column) -> Column:
+        half = F.rlike(u["code"], F.lit("^D[89A-F]"))
+        char = F.when(half, "\uFFFD").otherwise(F.decode(F.unhex(F.when(half, "FFFD").otherwise(u["code"])), "UTF-16BE"))
+        return F.struct(char.alias("char"), F.concat(F.lit("U+"), u["code"]).alias("code"), u["index"].alias("index"))
+
+    return F.transform(each, unit)
 
 
 def winansi_encodable(x: Column) -> Column:

@@ -21,31 +21,52 @@ def merge_totals(files: DataFrame, keys: list[str]) -> DataFrame:
     return usable_files(files).groupBy(*keys).agg(F.count("*").alias("inputs"), F.sum("size").alias("bytes"), F.sum("pages").alias("pages"))
 
 
+def part_of(value: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at most value, by halving."""
+    low, high = 0, len(bounds)
+
+    def half(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value < F.lit(bounds[mid]), half(low, mid)).otherwise(half(mid + 1, high))
+
+    return half(low, high)
+
+
 def before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, ties: tuple[str, ...] = (), parts: int = 256) -> DataFrame:
-    """df with the sum of value over the rows that come before in order, within each key.
+    """df with the sum of value over the rows that come before in order, and then in order of ties, within each key.
 
-    A key may hold any share of all rows: its order, a number, is cut into parts
-    of equal width first. Parts are summed, with partial sums before the shuffle,
-    and their few sums run on; the rows run on within a part alone.
+    A key may hold any share of all rows: its order, a number, is cut at
+    quantiles first, so that parts have about equally many rows however far some
+    lie off. Parts are summed, with partial sums before the shuffle, and their few
+    sums run on; the rows run on within a part alone. Rows of one key with one
+    order are in one part. Nulls come first.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = max((high - low) / parts, 1e-9) if low is not None else 1
-    cut = df.withColumn("__value", value.cast("long")).withColumn("__part", F.floor((F.col(order) - F.lit(low)) / F.lit(width)))
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    part = F.when(F.col(order).isNull(), -1).otherwise(part_of(F.col(order), sorted(set(cuts))))
+    cut = df.withColumn("__value", value.cast("long")).withColumn("__part", part)
     sums = cut.groupBy(*keys, "__part").agg(F.sum("__value").alias("__sum"))
     earlier = F.sum("__sum").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), F.coalesce(earlier, F.lit(0)).alias("__earlier"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    met = cut.join(sums, [*same, F.col("__part").eqNullSafe(F.col("__p"))])
+    met = cut.join(sums, [*same, F.col("__part") == F.col("__p")])
     inside = F.sum("__value").over(W.partitionBy(*keys, "__part").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1))
     return met.withColumn(name, (F.col("__earlier") + F.coalesce(inside, F.lit(0))).cast("long")).drop("__value", "__part", "__p", "__earlier", *(f"__{k}" for k in keys))
 
 
+def ties_of(files: DataFrame) -> tuple[str, ...]:
+    """Columns that order files of one place."""
+    return tuple(c for c in ("name", "size", "pages") if c in files.columns)
+
+
 def manifest(files: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each page of the merged file: where it comes from and its number from 1.
 
     Numbers come from running sums over files, not over pages.
     """
-    placed = before(usable_files(files).where("pages > 0"), keys, "ord", F.col("pages"), "__before")
+    usable = usable_files(files).where("pages > 0")
+    placed = before(usable, keys, "ord", F.col("pages"), "__before", ties_of(usable))
     pages = placed.select(*keys, "ord", "name", "__before", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("source_page"))
     return pages.select(*keys, "ord", "name", "source_page", (F.col("__before") + F.col("source_page")).cast("long").alias("page"))
 
@@ -71,16 +92,10 @@ def moved(files: DataFrame, keys: list[str], move: Column, by: Column) -> DataFr
     """New order after moving each file for which move holds by so many places; ties keep their order."""
     at = (F.col("__n") + 1).cast("double")
     target = F.when(move, at + by + F.when(by > 0, 0.5).otherwise(-0.5)).otherwise(at)
-    ranked = before(files, keys, "ord", F.lit(1), "__n").withColumn("__at", at).withColumn("__to", target).drop("__n")
+    ranked = before(files, keys, "ord", F.lit(1), "__n", ties_of(files)).withColumn("__at", at).withColumn("__to", target).drop("__n")
     return before(ranked, keys, "__to", F.lit(1), "__n", ("__at",)).withColumn("ord", (F.col("__n") + 1).cast("int")).drop("__at", "__to", "__n")
 
 
-def page_grid(pages: DataFrame, keys: list[str], deleted: Column, turn: Column) -> DataFrame:
-    """State of a grid of pages: rotation from 0 to 270, deleted ones out of the numbering, labels from 1."""
-    counted = before(pages.withColumn("deleted", deleted), keys, "ord", F.when(F.col("deleted"), 0).otherwise(1), "__kept")
-    return counted.withColumn("rotate", F.pmod(turn, F.lit(360)).cast("int")).withColumn("label", F.when(~F.col("deleted"), F.col("__kept") + 1)).drop("__kept")
-
-
 def preview(rows: DataFrame, keys: list[str], order: str, show: int) -> DataFrame:
     """The first few rows of each key, and how many more there are. A preview's limit is what it is for."""
     every = W.partitionBy(*keys)

@@ -224,7 +224,6 @@ def prepare_pages(rasters: DataFrame, keys: list[str], with_raster: bool = False
     kinds = ", ".join(f"`{k}` {rasters.schema[k].dataType.simpleString()}" for k in keys)
     kind = _parse_datatype_string(f"{kinds}, {STATS}" + ", w int, h int, luma binary" * with_raster)
     arrow = to_arrow_schema(kind)
-    rasters.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirework.functions import geometry as G
 from quirework.functions import ranges as R
 from quirework.functions import text as T
-from quirework.operators import bands, edits, layout, merge, publication, raster, stamps
+from quirework.operators import bands, edits, gridlog, layout, merge, publication, raster, stamps
 from quirework.operators.audit import LIMITATIONS, Audit
 from quirework.operators.pagefold import fold_pages
 from quirework.operators.spatial import overlap_join
@@ -327,13 +327,12 @@ def page_ranges(t):
     return t("orders").select("o_orderkey", got["error"].alias("error"), F.array_join(got["pages"].cast("array<string>"), " ").alias("pages"))
 
 
-@query("""WITH d AS (SELECT DISTINCT user_id, CAST(epoch(ts) AS BIGINT) // 86400 - 19000 AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS run FROM d),
+@query("""WITH d AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) - 19000 AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS run FROM d),
 r AS (SELECT user_id, run, min(day) + 1 AS a, max(day) + 1 AS b FROM g GROUP BY ALL)
 SELECT user_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY user_id""")
 def compact_ranges(t):
-    """Days with events of each user, as ranges. An event counts to the day of its nearest second, as SQL has it."""
-    nearest = F.col("ts") + F.expr("INTERVAL '0.5' SECOND")
-    days = t("events").select("user_id", (F.datediff(nearest.cast("date"), F.lit("1970-01-01").cast("date")) - 19000).cast("long").alias("day")).distinct()
+    """Days with events of each user, as ranges."""
+    days = t("events").select("user_id", (F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")) - 19000).cast("long").alias("day")).distinct()
     return R.compact_ranges(days, ["user_id"], "day")
 
 
@@ -358,10 +357,12 @@ def winansi_text(t):
     return t("documents").select("doc_id", T.sanitize_winansi(s).alias("shown"), (~T.winansi_encodable(s)).alias("offends"))
 
 
-@query("""SELECT o_orderkey, 'DOC-' || CASE WHEN length(CAST(o_orderkey AS VARCHAR)) < 4 THEN lpad(CAST(o_orderkey AS VARCHAR), 4, '0') ELSE CAST(o_orderkey AS VARCHAR) END || '/x' AS bates, length(CAST(o_orderkey AS VARCHAR)) > 4 AS overflows,
-  CASE WHEN o_custkey < 1 THEN '' ELSE CASE WHEN o_custkey > 702 THEN chr(CAST(64 + ((o_custkey - 1) // 26 - 1) // 26 AS INTEGER)) ELSE '' END || CASE WHEN o_custkey > 26 THEN chr(CAST(65 + ((o_custkey - 1) // 26 - 1) % 26 AS INTEGER)) ELSE '' END
-    || chr(CAST(65 + (o_custkey - 1) % 26 AS INTEGER)) END AS letters,
-  o_custkey AS number, 'Exhibit of ' || o_orderkey || ' {who}' AS said FROM orders""")
+@query("""WITH RECURSIVE spelled AS (
+  SELECT DISTINCT o_custkey AS k, o_custkey AS n, '' AS s FROM orders
+  UNION ALL SELECT k, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || s FROM spelled WHERE n > 0
+), letters AS (SELECT k, s FROM spelled WHERE n <= 0)
+SELECT o_orderkey, 'DOC-' || CASE WHEN length(CAST(o_orderkey AS VARCHAR)) < 4 THEN lpad(CAST(o_orderkey AS VARCHAR), 4, '0') ELSE CAST(o_orderkey AS VARCHAR) END || '/x' AS bates, length(CAST(o_orderkey AS VARCHAR)) > 4 AS overflows,
+  s AS letters, o_custkey AS number, 'Exhibit of ' || o_orderkey || ' {who}' AS said FROM orders JOIN letters ON k = o_custkey""")
 def labels_and_letters(t):
     k = F.col("o_orderkey")
     letters = T.number_to_letters(F.col("o_custkey"))
@@ -403,7 +404,7 @@ def classified_errors(t):
     return t("events").select("event_id", T.classify_error(said).alias("kind"), T.is_allocation_error(said).alias("memory"))
 
 
-@query("""WITH d AS (SELECT doc_id, chr(9) || substr(text, 1 + CAST(doc_id % 50 AS INTEGER), 40) || CASE doc_id % 3 WHEN 0 THEN '→' WHEN 1 THEN '𝄞' ELSE '€' END || 'x' || chr(10) AS s FROM documents WHERE text IS NOT NULL),
+@query("""WITH d AS (SELECT doc_id, chr(9) || text || CASE doc_id % 3 WHEN 0 THEN '→' WHEN 1 THEN '𝄞' ELSE '€' END || 'x' || chr(10) AS s FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM d), u AS (SELECT doc_id, i, substr(s, i, 1) AS ch, ascii(substr(s, i, 1)) AS cp FROM c),
 w AS (SELECT *, sum(CASE WHEN cp > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - CASE WHEN cp > 65535 THEN 2 ELSE 1 END AS place FROM u),
 h AS (SELECT doc_id, place, cp, CASE WHEN cp > 65535 THEN 55296 + (cp - 65536) // 1024 ELSE cp END AS unit FROM w UNION ALL SELECT doc_id, place + 1, cp, 56320 + (cp - 65536) % 1024 FROM w WHERE cp > 65535)
@@ -412,7 +413,7 @@ WHERE NOT (unit BETWEEN 32 AND 126 OR unit BETWEEN 160 AND 255 OR unit IN (8364,
 def winansi_offenders(t):
     """What of a text can't be shown, by UTF-16 unit: controls too, and both halves of a pair."""
     k = F.col("doc_id") % 3
-    s = F.concat(F.lit("\t"), F.substring(F.col("text"), (1 + F.col("doc_id") % 50).cast("int"), F.lit(40)), F.when(k == 0, "→").when(k == 1, "𝄞").otherwise("€"), F.lit("x\n"))
+    s = F.concat(F.lit("\t"), F.col("text"), F.when(k == 0, "→").when(k == 1, "𝄞").otherwise("€"), F.lit("x\n"))
     each = t("documents").where("text IS NOT NULL").select("doc_id", F.explode(T.winansi_offenders(s)).alias("o"))
     return each.select("doc_id", F.col("o.index").alias("place"), "o.code")
 
@@ -540,6 +541,43 @@ def reordered_files(t):
     return merge.moved(as_files(t("documents")), ["source", "lang"], F.col("size") % 5 == 0, F.lit(-2)).select("source", "lang", "size", F.col("ord").cast("long").alias("ord"))
 
 
+#: A grid for each user, and a log of its events.
+GRIDS_SQL = """WITH RECURSIVE e AS (
+  SELECT user_id AS grid, CAST(3 + user_id % 9 AS INTEGER) AS n, event_id AS i, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+    CASE event_type WHEN 'view' THEN 'select' WHEN 'click' THEN 'move' WHEN 'error' THEN 'undo' WHEN 'purchase' THEN 'rotate' ELSE ['remove', 'drop', 'restore', 'drop'][CAST(event_id % 4 + 1 AS INTEGER)] END AS op FROM events WHERE user_id IS NOT NULL
+), o AS (
+  SELECT *, CAST(i % n AS INTEGER) AS item, CAST(CASE op WHEN 'move' THEN 2 * (i % 2) - 1 WHEN 'rotate' THEN 90 * (i % 7 - 3) ELSE i // 7 % n END AS INTEGER) AS arg, [CAST(i % n AS INTEGER), CAST(i // 3 % n AS INTEGER)] AS items FROM e
+), g AS (SELECT DISTINCT grid, n FROM e), f AS (
+  SELECT grid, n, CAST(0 AS BIGINT) AS k, [list_transform(range(n), lambda x: struct_pack(item := CAST(x AS INTEGER), rotate := 0, removed := false, selected := false))] AS past FROM g
+  UNION ALL
+  SELECT grid, n, k, CASE WHEN op = 'undo' THEN CASE WHEN len(past) > 1 THEN list_slice(past, 1, len(past) - 1) ELSE past END ELSE list_append(past, CASE
+    WHEN op IN ('move', 'drop') THEN CASE WHEN dest BETWEEN 1 AND n THEN list_concat(list_concat(list_slice(rest, 1, dest - 1), [now[pos]]), list_slice(rest, dest, n)) ELSE now END
+    WHEN op IN ('remove', 'restore') THEN list_transform(now, lambda p: struct_pack(item := p.item, rotate := p.rotate, removed := CASE WHEN p.item = item0 THEN op = 'remove' ELSE p.removed END, selected := p.selected))
+    WHEN op = 'rotate' THEN list_transform(now, lambda p: struct_pack(item := p.item, rotate := CASE WHEN p.item = item0 THEN (arg + 720) % 360 ELSE p.rotate END, removed := p.removed, selected := p.selected))
+    ELSE list_transform(now, lambda p: struct_pack(item := p.item, rotate := p.rotate, removed := p.removed, selected := list_contains(items, p.item))) END) END
+  FROM (SELECT *, CASE op WHEN 'move' THEN pos + arg ELSE list_position(list_transform(now, lambda p: p.item), arg) END AS dest
+    FROM (SELECT f.grid, f.n, o.k, o.op, o.item AS item0, o.arg, o.items, f.past, list_last(f.past) AS now, list_position(list_transform(list_last(f.past), lambda p: p.item), o.item) AS pos, list_filter(list_last(f.past), lambda p: p.item <> o.item) AS rest
+      FROM f JOIN o ON o.grid = f.grid AND o.k = f.k + 1))
+), z AS (SELECT grid, list_last(past) AS pages, n FROM f QUALIFY row_number() OVER (PARTITION BY grid ORDER BY k DESC) = 1),
+u AS (SELECT grid, pages, unnest(range(n)) AS place FROM z)
+SELECT grid, CAST(place AS INTEGER) AS place, pages[place + 1].item AS item, pages[place + 1].rotate AS rotate, pages[place + 1].removed AS removed, pages[place + 1].selected AS selected,
+  CASE WHEN NOT pages[place + 1].removed THEN CAST(len(list_filter(list_slice(pages, 1, place + 1), lambda p: NOT p.removed)) AS INTEGER) END AS number,
+  'Page ' || (pages[place + 1].item + 1) || CASE WHEN place <> pages[place + 1].item THEN ' → ' || (place + 1) ELSE '' END AS label FROM u"""
+
+
+@query(GRIDS_SQL)
+def edited_grids(t):
+    """Page grids after their logs of edits."""
+    n = (3 + F.col("user_id") % 9).cast("int")
+    i = F.col("event_id")
+    other = F.get(F.array(*map(F.lit, ("remove", "drop", "restore", "drop"))), (i % 4).cast("int"))
+    op = F.coalesce(F.create_map(*map(F.lit, ("view", "select", "click", "move", "error", "undo", "purchase", "rotate")))[F.col("event_type")], other)
+    arg = F.when(F.col("op") == "move", 2 * (i % 2) - 1).when(F.col("op") == "rotate", 90 * (i % 7 - 3)).otherwise(F.floor(i / 7) % n)
+    events = t("events").where("user_id IS NOT NULL").withColumn("op", op)
+    log = events.select(F.col("user_id").alias("grid"), F.struct("ts", "event_id").alias("seq"), "op", (i % n).alias("item"), arg.alias("arg"), F.array(i % n, F.floor(i / 3) % n).alias("items"))
+    return gridlog.replay(t("events").where("user_id IS NOT NULL").select(F.col("user_id").alias("grid"), n.alias("n")).distinct(), log, ["grid"])
+
+
 # Rules
 
 JOBS_SQL = """WITH j AS (SELECT o_orderkey AS job, CASE o_orderkey % 6 WHEN 0 THEN 'raster-export' WHEN 1 THEN 'editor' WHEN 2 THEN 'requant' WHEN 3 THEN 'multi-doc' WHEN 4 THEN 'structural' ELSE 'ocr' END AS op,

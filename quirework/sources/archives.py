@@ -21,11 +21,10 @@ def read_zip(files: DataFrame) -> DataFrame:
     """(doc_id, entry, name, data, err) of each entry; an archive that can't be read is one row with err."""
     kind = _parse_datatype_string(f"doc_id {files.schema['doc_id'].dataType.simpleString()}, entry int, name string, data binary, err string")
     arrow = to_arrow_schema(kind)
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 try:
                     with zipfile.ZipFile(io.BytesIO(row["data"] or b"")) as z:
                         for i, info in enumerate(z.infolist()):

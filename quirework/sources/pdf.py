@@ -307,11 +307,10 @@ def read_pages(files: DataFrame) -> DataFrame:
     """Files (doc_id, data) to page relations with err: a file that can't be read is one row with page null."""
     kind = _parse_datatype_string(f"doc_id {files.schema['doc_id'].dataType.simpleString()}, page int, {PAGE}, err string")
     arrow = to_arrow_schema(kind)
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 pdf, err = open_pdf(row["data"] or b"")
                 if not pdf:
                     yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "err": err}], schema=arrow)
