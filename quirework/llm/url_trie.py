@@ -123,17 +123,29 @@ def match_by_trie(parted: DataFrame, rules: list[tuple[str, str, str]], id_col:
     return map_rows(parted, [id_col, "host", "path"], start, fields(parted, [id_col], "host string, path string, rule string, verdict string"))
 
 
-def match_by_join(found: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
-    """found with longer rules of any number: each url is joined by its host's suffixes and its path's whole segments."""
+def fitting(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each row (__row, host, path) with the rules that fit it, and no others: it is joined by its host's suffixes and those of its path's prefixes that a rule can have.
+
+    A rule ends within a segment after so many characters, or at its begin. The
+    lengths that occur, no more than the longest rule has characters, say where a
+    path is cut, so that rules with one host and many beginnings of a segment
+    don't share a key.
+    """
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
-    keyed = rules.select(F.col("verdict").alias("__verdict"), F.col("host").alias("__h"), F.regexp_replace("path", "[^/]*$", "").alias("__p"), F.col("path").alias("__path"), salts)
+    keyed = rules.select(F.col("verdict").alias("__verdict"), F.col("host").alias("__h"), F.col("path").alias("__path"), salts)
+    lengths = F.array(*(F.lit(r[0]) for r in rules.select(F.length(F.regexp_extract("path", "[^/]*$", 0))).distinct().collect())).cast("array<int>")
     labels, segments = F.split("host", r"\."), F.split("path", "/")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(segments, 1, i), "/"), F.lit("/"))).otherwise(""))
+    whole = lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(segments, F.lit(1), i), "/"), F.lit("/"))).otherwise("")
+    cut = lambda segment, i: F.transform(F.filter(lengths, lambda n: n <= F.length(segment)), lambda n: F.concat(whole(i), F.substring(segment, F.lit(1), n)))
+    tried = rows.where("host <> ''").select("__row", F.explode(F.array_distinct(F.flatten(F.transform(segments, cut)))).alias("__path"), F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int").alias("__salt"), hosts.alias("__hosts"))
+    return tried.select("__row", "__path", "__salt", F.explode("__hosts").alias("__h")).join(keyed, ["__h", "__path", "__salt"])
+
+
+def match_by_join(found: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
+    """found with longer rules of any number."""
     rows = staged(found.withColumn("__row", F.monotonically_increasing_id()), "urls")
-    tried = rows.where("host <> ''").select("__row", "path", F.explode(hosts).alias("__h"), F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int").alias("__salt"), "host")
-    tried = tried.select("__row", "path", "__h", "__salt", F.explode(paths).alias("__p"))
-    fits = tried.join(keyed, ["__h", "__p", "__salt"]).where(F.startswith(F.col("path"), F.col("__path")))
+    fits = fitting(rows, rules)
     rank = lambda host, path, verdict: F.struct((F.length(host) * RANK + F.length(path)).alias("n"), F.col(verdict).alias("verdict"), F.concat(host, path).alias("rule"))
     best = fits.groupBy("__row").agg(F.max(rank("__h", "__path", "__verdict")).alias("best"))
     got = rows.join(best, "__row", "left")

@@ -274,3 +274,15 @@ def test_captures_take_ids_of_the_whole_range(spark):
     assert [(r["url_key"], r["time"], r["page_id"]) for r in got] == sorted((r["url_key"], r["time"], r["page_id"]) for r in got)
     same = [i for i in ids if i % 3]
     assert {r["page_id"]: r["refers_to"] for r in got if r["refers_to"] is not None} == {i: same[0] for i in same[1:]}
+
+
+def test_rules_that_end_within_a_segment_meet_only_what_they_fit(spark):
+    rng = random.Random(8)
+    words = [f"{a}{i}" for a in ("a", "ab", "abc", "b/c", "b/cd") for i in range(400)]
+    rules = [(rng.choice(["allow", "block"]), "com", "/" + w) for w in words] + [("block", "x.com", ""), ("allow", "com", "/b/"), ("allow", "com", "/")]
+    urls = [(i, f"http://{rng.choice(['x.com', 'com', 'y.x.com', 'org'])}/{rng.choice(words)}{rng.choice(['', '/', 'z', '7/q'])}") for i in range(2000)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    by_trie = {tuple(r) for r in url_trie.match(df, rules, id_col="page_id").collect()}
+    assert {tuple(r) for r in url_trie.match(df, rules, id_col="page_id", max_chars=40).collect()} == by_trie
+    rows = df.select(F.col("page_id").alias("__row"), url_trie.host_of(F.col("url")).alias("host"), url_trie.path_of(F.col("url")).alias("path"))
+    assert 2000 < url_trie.fitting(rows, spark.createDataFrame(rules, "verdict string, host string, path string")).count() < 12_000
