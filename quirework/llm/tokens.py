@@ -28,7 +28,7 @@ import pyarrow as pa
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters in one block, unless a single text is longer, and bytes of the longest piece that is merged here.
-BLOCK_CHARS, LONG = 4_000_000, 40
+BLOCK_CHARS, LONG = 2_000_000, 40
 LETTER, NUMBER, SIGN = 1, 2, 3
 #: Texts that are encoded together.
 ENCODE_ROWS = 2048
