@@ -1,4 +1,12 @@
-"""A training corpus from documents, stage by stage. Each stage works on all that the one before kept."""
+"""A training corpus from documents, stage by stage. Each stage works on all that the one before kept.
+
+Results for odd input: documents with a null or empty text, or fewer than 50
+words, fail the quality rules and go; a null id is kept as one; repeated rows
+meet in one group of near-duplicates, of which one stays; very long texts are
+judged, searched and packed whole; extra columns, of any type and with names that
+clash, come through all stages but the last, which gives its own; an empty table
+gives an empty result with the columns of the last stage.
+"""
 
 from __future__ import annotations
 
