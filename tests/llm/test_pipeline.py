@@ -178,3 +178,19 @@ def test_token_totals_against_plain_python(spark):
             n[1] += len(tok.encode(r["text"], add_special_tokens=False).ids)
     got = token_rollup.op10_token_rollup(spark, SF).select("source", "lang", "tokenizer_version", F.array("n_docs", "n_tokens").alias("n")).collect()
     assert {tuple(r)[:3]: r["n"] for r in got} == want
+
+
+def test_run_on_odd_rows_and_on_an_empty_table(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = simhash_bktree.keep_one(compression_bands.keep(table)).orderBy("doc_id").limit(30).collect()
+    first, second, third, *others = (r["text"] for r in kept)
+    rows = [(1, first), (1, first), (2, first), (3, None), (4, ""), (5, "too few"), (None, second), (6, " ".join(others)), (7, third + " password = abcdefghijkl1234")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, record struct<`a b`:int>, row long, piece string"
+    for name, made in (("odd", rows), ("empty", [])):
+        spark.createDataFrame([(i, t, None, "s", 1, (1,), 3, "p") for i, t in made], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in got} - {1, 2} == {None, 6, 7} and max(r["piece"] for r in got if r["doc_id"] == 6) > 0
+    assert len({r["doc_id"] for r in got} & {1, 2}) == 1  # one of three copies
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/empty")
+    assert empty.count() == 0 and empty.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
