@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF), con.sql(ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
