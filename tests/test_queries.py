@@ -29,7 +29,7 @@ def test_query(spark, name):
     assert rows(got) == rows(want)
 
 
-def test_days_are_those_of_the_nearest_second(spark, tmp_path):
+def test_days_end_at_midnight(spark, tmp_path):
     con = duckdb.connect()
     con.sql("CREATE TABLE events AS SELECT i AS user_id, TIMESTAMP '2024-01-01 23:59:59' + to_microseconds(i * 100000 + d * 86400000000) AS ts FROM range(12) a(i), (VALUES (0), (1), (5)) b(d)")
     con.sql(f"COPY events TO '{tmp_path}/events.parquet'")
