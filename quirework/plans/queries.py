@@ -17,6 +17,7 @@ from quirework.operators.audit import LIMITATIONS, Audit
 from quirework.operators.pagefold import fold_pages
 from quirework.operators.spatial import overlap_join
 from quirework.plans import preflight as P
+from quirework.sources import sinks
 from quirework.sources.fonts import METRICS
 from quirework.sources.synthetic import HEIGHT, LINES_SQL, pages
 from quirework.streaming import handoff, stateful
@@ -351,6 +352,21 @@ def csv_cells(t):
     return t("conversations").select("conv_id", "turn", T.csv_cell(s).alias("safe"), T.csv_cell_plain(s).alias("plain"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, ['=', '', '"', '-'][turn % 4 + 1] || text || CASE WHEN turn % 4 = 3 THEN ',' || chr(10) ELSE '' END AS s FROM conversations)
+SELECT 'report' AS dialect, conv_id, turn, nullif(CASE WHEN substr(s, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || s ELSE s END, '') AS cell FROM c
+UNION ALL SELECT 'plain', conv_id, turn, nullif(s, '') FROM c""")
+def csv_round_trip(t):
+    """Turns written as CSV files of both dialects, and read back."""
+    k = F.col("turn") % 4
+    s = F.concat(F.when(k == 0, "=").when(k == 2, '"').when(k == 3, "-").otherwise(""), "text", F.when(k == 3, ",\n").otherwise(""))
+    rows, back = t("conversations").select("conv_id", "turn", s.alias("cell")), []
+    for dialect in sinks.ENDS:
+        path = sinks.shared_folder(rows.sparkSession)
+        sinks.write_csv(rows, path, dialect)
+        back.append(sinks.read_csv(rows.sparkSession, path, "conv_id long, turn int, cell string").withColumn("dialect", F.lit(dialect)))
+    return back[0].unionByName(back[1])
+
+
 @query("""SELECT doc_id, regexp_replace(translate(text, 'aeiou', '“€…ł→'), '[ł→]', '?', 'g') AS shown, len(regexp_extract_all(translate(text, 'aeiou', '“€…ł→'), '[ł→]')) > 0 AS offends FROM documents""")
 def winansi_text(t):
     s = F.translate("text", "aeiou", "“€…ł→")
