@@ -53,6 +53,49 @@ def denied(absent: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     return absent.select(*keys).distinct().join(present.select(*keys), keys, "left_semi")
 
 
+# The field names of a manifest, and the bytes that end a header.
+ENTRIES = "entries array<struct<id: string, name: string, version: string, upstreamDistSha256: string, bundledDependencies: array<struct<name: string>>>>"
+HEADER_END = "*/\n"
+
+
+def provenance(rules: DataFrame, manifests: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, problem, detail) of third-party code whose origin the manifest of its tree doesn't bear out.
+
+    rules: keys, id, name, version, path, required and absent (names that have to
+    be, and must not be, among those bundled). manifests: keys, body (JSON).
+    files: keys, path, content (binary). One manifest a tree, one file a path.
+
+    The first entry of an id counts. Without an entry neither digest nor bundled
+    names can be held against it, so only that and the file are told. A null or
+    broken body has no entries, an entry without digest or names has drifted or
+    bundles nothing, a null content is empty; a tree without rules gives no row.
+    The digest is that of the bytes after the header, whatever they are.
+    """
+    said = manifests.select(*keys, F.from_json("body", ENTRIES)["entries"].alias("__entries"))
+    of_path = files.select(*keys, "path", F.coalesce("content", F.lit(b"")).alias("__content"))
+    met = rules.join(said, keys, "left").withColumn("__entry", F.get(F.filter("__entries", lambda e: e["id"] == F.col("id")), F.lit(0)))
+    met = met.join(of_path, [*keys, "path"], "left")
+    # one character a byte, so that places count bytes
+    at = F.instr(F.decode("__content", "ISO-8859-1"), F.lit(HEADER_END))
+    digest = F.sha2(F.expr(f"substring(__content, __at + {len(HEADER_END)})"), 256)
+    met = met.withColumn("__at", at).withColumn("__digest", F.when(F.col("__at") > 0, digest))
+    entry, there = F.col("__entry"), F.col("__content").isNotNull()
+    known, none = entry.isNotNull(), F.expr("cast(array() as array<string>)")
+    bundled = F.coalesce(F.transform(entry["bundledDependencies"], lambda d: d["name"]), none)
+    lacking, extra = F.array_except(F.coalesce("required", none), bundled), F.array_intersect(F.coalesce("absent", none), bundled)
+    row = lambda problem, detail=None: F.struct(F.lit(problem).alias("problem"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+    each = F.array(
+        F.when(~known, row("no entry")),
+        F.when(known & ~(entry["name"].eqNullSafe(F.col("name")) & entry["version"].eqNullSafe(F.col("version"))), row("another name or version", F.concat_ws(" ", entry["name"], entry["version"]))),
+        F.when(~there, row("no file")),
+        F.when(there & (F.col("__at") == 0), row("no header")),
+        F.when(known & ~F.col("__digest").eqNullSafe(entry["upstreamDistSha256"]) & F.col("__digest").isNotNull(), row("other bytes", F.col("__digest"))),
+    )
+    names = F.when(known, F.concat(F.transform(lacking, lambda n: row("bundled name missing", n)), F.transform(extra, lambda n: row("bundled name denied", n))))
+    told = F.concat(F.array_compact(each), F.coalesce(names, F.expr("cast(array() as array<struct<problem: string, detail: string>>)")))
+    return met.select(*keys, "id", F.explode(told).alias("__p")).select(*keys, "id", "__p.problem", "__p.detail")
+
+
 def normal_path(path: Column) -> Column:
     """An absolute path without empty parts, . and ..; above the root there is only the root."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quirework.functions import geometry as G
 from quirework.functions import ranges as R
 from quirework.functions import text as T
-from quirework.operators import bands, edits, gridlog, layout, merge, publication, raster, stamps
+from quirework.operators import bands, cascade, edits, gridlog, layout, merge, publication, raster, stamps
 from quirework.operators.audit import LIMITATIONS, Audit
 from quirework.operators.pagefold import fold_pages
 from quirework.operators.spatial import overlap_join
@@ -475,6 +475,33 @@ def publication_audit(t):
     return publication.violations(files_of_pages(t("pages")))
 
 
+@query("""WITH f AS (
+  SELECT doc_id, doc_id % 8 AS k, coalesce(text, '') AS body, CASE WHEN doc_id % 8 = 1 THEN 'no header ' ELSE '/* v */' || chr(10) END || coalesce(text, '') AS content FROM documents WHERE doc_id IS NOT NULL
+), g AS (SELECT *, strpos(content, '*/' || chr(10)) AS ends FROM f), h AS (SELECT *, sha256(substr(content, ends + 3)) AS digest FROM g)
+SELECT doc_id, 'lib' AS id, 'no entry' AS problem, NULL AS detail FROM h WHERE k IN (0, 7)
+UNION ALL SELECT doc_id, 'lib', 'another name or version', 'viewer 2.5.2' FROM h WHERE k = 2
+UNION ALL SELECT doc_id, 'lib', 'no file', NULL FROM h WHERE k = 6
+UNION ALL SELECT doc_id, 'lib', 'no header', NULL FROM h WHERE k <> 6 AND ends = 0
+UNION ALL SELECT doc_id, 'lib', 'other bytes', digest FROM h WHERE k NOT IN (0, 6, 7) AND ends > 0 AND digest <> sha256(body || CASE WHEN k = 3 THEN 'x' ELSE '' END)
+UNION ALL SELECT doc_id, 'lib', 'bundled name missing', 'inflate' FROM h WHERE k = 4
+UNION ALL SELECT doc_id, 'lib', 'bundled name denied', 'shaper' FROM h WHERE k = 5""")
+def publication_provenance(t):
+    """Each document as the code of a tree, whose manifest is right, or wrong in one way."""
+    k, body = F.col("doc_id") % 8, F.coalesce("text", F.lit(""))
+    docs = t("documents").where("doc_id IS NOT NULL")
+    head = F.when(k == 1, "no header ").otherwise("/* v */\n")
+    files = docs.where(k != 6).select("doc_id", F.lit("lib.js").alias("path"), F.encode(F.concat(head, body), "UTF-8").alias("content"))
+    names = F.when(k == 4, F.array(F.lit("fonts"))).when(k == 5, F.array(F.lit("fonts"), F.lit("inflate"), F.lit("shaper"))).otherwise(F.array(F.lit("inflate"), F.lit("fonts")))
+    entry = F.struct(
+        F.when(k == 0, "other").otherwise("lib").alias("id"), F.lit("viewer").alias("name"), F.when(k == 2, "2.5.2").otherwise("2.5.3").alias("version"),
+        F.sha2(F.concat(body, F.when(k == 3, "x").otherwise("")), 256).alias("upstreamDistSha256"), F.transform(names, lambda n: F.struct(n.alias("name"))).alias("bundledDependencies"),
+    )
+    manifests = docs.select("doc_id", F.when(k == 7, '{"entries":[').otherwise(F.to_json(F.struct(F.array(entry).alias("entries")))).alias("body"))
+    text = lambda *names: F.array(*map(F.lit, names))
+    rules = docs.select("doc_id", F.lit("lib").alias("id"), F.lit("viewer").alias("name"), F.lit("2.5.3").alias("version"), F.lit("lib.js").alias("path"), text("fonts", "inflate").alias("required"), text("shaper").alias("absent"))
+    return publication.provenance(rules, manifests, files, ["doc_id"])
+
+
 @query("""SELECT n_nationkey AS nation, 'missing' AS state FROM nation WHERE n_regionkey < 3 AND NOT EXISTS (FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)
 UNION ALL SELECT n_nationkey, 'denied' FROM nation WHERE n_regionkey >= 3 AND EXISTS (FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)""")
 def required_and_denied(t):
@@ -806,3 +833,74 @@ def phase_log(t):
 
 
 assert HEIGHT == 792
+
+
+# Overflow: each text as lines of 20 characters, 15 a page; an edit pushes a page's lower lines down
+
+FLOW_SQL = """WITH RECURSIVE cut AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,20}') AS l FROM documents WHERE doc_id IS NOT NULL)
+), r AS (
+  SELECT doc_id, i // 15 AS page, i % 15 AS id, CAST(60 + 40 * (i % 15) AS DOUBLE) AS top, CAST(70 + 40 * (i % 15) + length(replace(line, ' ', '')) % 5 AS DOUBLE) AS bottom, doc_id % 2 = 0 OR (doc_id + i // 15 * 5 + i % 15 * 3) % 41 > 0 AS flows FROM cut
+), p AS (
+  SELECT doc_id, page, list(struct_pack(top := top, bottom := bottom, flows := flows)) AS recs,
+    doc_id % 2 = 1 AND (doc_id * 31 + page * 7) % 43 = 0 AS rotated, doc_id % 2 = 1 AND (doc_id * 17 + page) % 47 = 0 AS resized, doc_id % 2 = 1 AND (doc_id * 13 + page * 3) % 53 = 0 AS locked, CASE WHEN doc_id % 2 = 1 AND (doc_id * 3 + page * 11) % 37 = 0 THEN 655 ELSE 100 END AS gb
+  FROM r GROUP BY ALL
+), e AS (SELECT doc_id, max(page) AS last, doc_id % least(max(page) + 1, 3) AS start, 60 + 40 * (doc_id % 15) AS line, CAST(20 + 40 * (doc_id % 4) AS DOUBLE) AS dy FROM r GROUP BY doc_id
+), first AS (
+  SELECT doc_id, start, start AS page, 0 AS depth, dy, line, list_filter(recs, lambda x: (x.top + x.bottom) / 2 > line AND x.bottom + dy > 650) AS over, recs, rotated, FALSE AS resized, FALSE AS locked, gb, resized AS small, last FROM e JOIN p USING (doc_id) WHERE p.page = e.start
+), walk AS (
+  SELECT * FROM first
+  UNION ALL
+  SELECT n.doc_id, n.start, n.page, n.depth, n.push, -1000, CASE WHEN n.page > n.last THEN [] ELSE list_filter(p.recs, lambda x: x.bottom + n.push > 650) END, p.recs, coalesce(p.rotated, FALSE), coalesce(p.resized, FALSE) <> n.small, coalesce(p.locked, FALSE), p.gb, n.small, n.last FROM (
+    SELECT doc_id, start, page + 1 AS page, depth + 1 AS depth, small, last,
+      12 + list_max(list_transform(gone, lambda x: x.bottom + CASE WHEN (x.top + x.bottom) / 2 > line THEN dy ELSE 0 END)) - list_min(list_transform(gone, lambda x: x.top + CASE WHEN (x.top + x.bottom) / 2 > line THEN dy ELSE 0 END)) AS push
+    FROM (SELECT *, list_filter(recs, lambda x: x.top >= cutoff) AS gone FROM (SELECT *, list_min(list_transform(over, lambda x: x.top)) - 0.5 AS cutoff FROM walk))
+    WHERE len(over) > 0 AND depth <= 64 AND NOT (rotated OR resized AND depth > 0 OR locked AND depth > 0) AND page <= last AND gb <= cutoff AND len(list_filter(gone, lambda x: NOT x.flows)) = 0
+  ) n LEFT JOIN p ON p.doc_id = n.doc_id AND p.page = n.page
+), seen AS (SELECT *, list_filter(recs, lambda x: x.top >= cutoff) AS gone FROM (SELECT *, list_min(list_transform(over, lambda x: x.top)) - 0.5 AS cutoff FROM walk)
+), judged AS (
+  SELECT *, CASE WHEN depth > 64 THEN 'the cascade is too deep' WHEN page > last THEN NULL WHEN rotated AND (depth > 0 OR len(over) > 0) THEN 'the page is rotated' WHEN resized THEN 'the page has another size' WHEN locked THEN 'its text is locked'
+    WHEN len(over) = 0 THEN NULL WHEN len(list_filter(gone, lambda x: NOT x.flows)) > 0 THEN 'text that would leave can''t be written elsewhere' WHEN gb > cutoff THEN 'graphics would have to leave' END AS reason FROM seen
+), plan AS (
+  SELECT doc_id, arg_max(reason, depth) AS reason, CASE WHEN arg_max(reason IS NOT NULL, depth) THEN max(page) END AS refused_page, max(depth) AS deepest FROM judged GROUP BY doc_id
+)
+"""
+
+
+def flow_inputs(t):
+    """(edits, moves, pages, records) of documents."""
+    d, odd = F.col("doc_id"), F.col("doc_id") % 2 == 1
+    texts = t("documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    lines = texts.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,20}"), F.lit(0))).alias("i", "line"))
+    page, i = F.floor(F.col("i") / 15).cast("int"), (F.col("i") % 15).cast("int")
+    height = 10 + F.length(F.replace("line", F.lit(" "), F.lit(""))) % 5
+    records = lines.select("doc_id", page.alias("page"), i.alias("id"), (60 + 40 * i).cast("double").alias("top"), (60 + 40 * i + height).cast("double").alias("bottom"), (~odd | ((d + page * 5 + i * 3) % 41 > 0)).alias("flows"))
+    # a page for each 300 characters, without a shuffle
+    count = F.ceil(F.length("text") / 300).cast("int")
+    each = texts.where("text <> ''").select("doc_id", count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("page"))
+    k, rare = F.col("page"), lambda hit, yes, no: F.when(odd & hit, yes).otherwise(no)
+    pages = each.select(
+        "doc_id", "page", rare((d * 17 + k) % 47 == 0, 600.0, 612.0).alias("vw"), F.lit(792.0).alias("vh"), rare((d * 31 + k * 7) % 43 == 0, 90, 0).alias("rotate"),
+        rare((d * 13 + k * 3) % 53 == 0, "its text is locked", None).alias("refusal"), rare((d * 3 + k * 11) % 37 == 0, 655.0, 100.0).alias("graphics_bottom"),
+    )
+    edits = texts.where("text <> ''").select("doc_id", F.lit(0).alias("edit"), (d % F.least(count, F.lit(3))).cast("int").alias("page"))
+    below = (F.col("top") + F.col("bottom")) / 2 > 60 + 40 * (d % 15)
+    moves = records.join(edits, ["doc_id", "page"]).where(below).select("doc_id", "edit", "id", (20 + 40 * (d % 4)).cast("double").alias("dy"))
+    return edits, moves, pages, records
+
+
+@query(f"{FLOW_SQL} SELECT doc_id, CAST(start AS INTEGER) AS page, reason IS NULL AS ok, reason, CAST(refused_page AS INTEGER) AS refused_page, len(gone) AS leaving, CAST(CASE WHEN reason IS NULL THEN deepest ELSE 0 END AS INTEGER) AS flowed_pages FROM (SELECT doc_id, start, CASE WHEN len(over) > 0 THEN gone ELSE [] END AS gone FROM seen WHERE depth = 0) JOIN plan USING (doc_id)")
+def flow_verdicts(t):
+    """Whether what an edit pushes off its page finds a place on those that follow, and how many it reaches."""
+    return cascade.planned(*flow_inputs(t), ["doc_id"], 650.0).select("doc_id", "page", "ok", "reason", "refused_page", "leaving", "flowed_pages")
+
+
+@query(f"""{FLOW_SQL}, held AS (
+  SELECT s.doc_id, s.page, r.id, r.top, s.cutoff, CASE WHEN (r.top + r.bottom) / 2 > s.line THEN s.dy ELSE 0 END AS push, list_min(list_transform(gone, lambda x: x.top + CASE WHEN (x.top + x.bottom) / 2 > s.line THEN s.dy ELSE 0 END)) AS lead
+  FROM seen s JOIN plan USING (doc_id) JOIN r ON r.doc_id = s.doc_id AND r.page = s.page WHERE reason IS NULL
+) SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(id AS INTEGER) AS id, CAST(page + CASE WHEN top >= cutoff THEN 1 ELSE 0 END AS INTEGER) AS to_page, CASE WHEN top >= cutoff THEN 40 + (top + push - lead) ELSE top + push END AS new_top FROM held""")
+def flowed_records(t):
+    """Where each line of the pages lands that an edit reaches."""
+    edits, moves, pages, records = flow_inputs(t)
+    plan = cascade.planned(edits, moves, pages, records, ["doc_id"], 650.0)
+    return cascade.landed(plan, moves, records, ["doc_id"], 40.0).drop("edit")
