@@ -58,9 +58,9 @@ def started(edits: DataFrame, moves: DataFrame, pages: DataFrame, records: DataF
     mine = edits.select(*keys, "edit", "page")
     on = mine.join(records, [*keys, "page"]).join(moves.select(*keys, "edit", "id", "dy"), [*keys, "edit", "id"], "left")
     over = F.col("dy").isNotNull() & (F.col("bottom") + F.col("dy") > bottom_y)
-    cut = on.where(over).groupBy(*keys, "edit").agg((F.min("top") - SLACK).alias("cutoff"))
     dy = F.coalesce("dy", F.lit(0.0))
-    left = on.join(cut, [*keys, "edit"]).where("top >= cutoff").groupBy(*keys, "edit").agg(F.first("cutoff").alias("cutoff"), F.min(F.col("top") + dy).alias("lead"), F.max(F.col("bottom") + dy).alias("__lowest"), F.count("*").alias("leaving"), F.max(~F.coalesce("flows", F.lit(True))).alias("__stuck"))
+    cut = on.withColumn("cutoff", F.min(F.when(over, F.col("top"))).over(W.partitionBy(*keys, "edit")) - SLACK)
+    left = cut.where("top >= cutoff").groupBy(*keys, "edit").agg(F.first("cutoff").alias("cutoff"), F.min(F.col("top") + dy).alias("lead"), F.max(F.col("bottom") + dy).alias("__lowest"), F.count("*").alias("leaving"), F.max(~F.coalesce("flows", F.lit(True))).alias("__stuck"))
     known = pages.select(*keys, "page", "vw", "vh", "rotate", "graphics_bottom")
     got = mine.join(left, [*keys, "edit"], "left").join(known, [*keys, "page"], "left")
     leaves = F.col("cutoff").isNotNull()
@@ -70,11 +70,11 @@ def started(edits: DataFrame, moves: DataFrame, pages: DataFrame, records: DataF
 
 
 def folded(follow: Column, carry: Column, vw: Column, vh: Column, bottom_y: float, gap: float) -> Column:
-    """(carry, reason, refused_page, hops) after the pages of follow, in their order; those past the last are not there."""
+    """(carry, reason, refused_page, hops) after the pages of follow, in their order."""
     none = lambda kind: F.lit(None).cast(kind)
 
-    def hop(at, push, cutoff, lead, fresh):
-        return F.struct(at.cast("int").alias("page"), push.cast("double").alias("push"), cutoff.alias("cutoff"), lead.alias("lead"), F.lit(fresh).alias("fresh"))
+    def hop(at, push, cutoff, lead):
+        return F.struct(at.cast("int").alias("page"), push.alias("push"), cutoff.alias("cutoff"), lead.alias("lead"), F.lit(False).alias("fresh"))
 
     def step(done: Column, p: Column) -> Column:
         push = done["carry"] + gap
@@ -88,10 +88,9 @@ def folded(follow: Column, carry: Column, vw: Column, vh: Column, bottom_y: floa
             .when(p["graphics_bottom"] > at["cutoff"], GRAPHICS)
         )
         made = lambda carry, reason, refused, hops: F.struct(carry.alias("carry"), reason.alias("reason"), refused.alias("refused_page"), hops.alias("hops"))
-        fresh = made(none("double"), none("string"), none("int"), F.concat(done["hops"], F.array(hop(p["page"], none("double"), none("double"), none("double"), True))))
         refused = made(none("double"), why, p["page"].cast("int"), done["hops"])
-        onward = made(p["lowest"] - at["lead"], none("string"), none("int"), F.concat(done["hops"], F.array(hop(p["page"], push, at["cutoff"], at["lead"], False))))
-        return F.when(done["carry"].isNull(), done).when(~p["there"], fresh).when(why.isNotNull(), refused).otherwise(onward)
+        onward = made(p["lowest"] - at["lead"], none("string"), none("int"), F.concat(done["hops"], F.array(hop(p["page"], push, at["cutoff"], at["lead"]))))
+        return F.when(done["carry"].isNull(), done).when(why.isNotNull(), refused).otherwise(onward)
 
     start = F.struct(carry.alias("carry"), none("string").alias("reason"), none("int").alias("refused_page"), F.expr(f"cast(array() as array<struct<{HOP}>>)").alias("hops"))
     return F.aggregate(follow, start, step)
@@ -100,18 +99,23 @@ def folded(follow: Column, carry: Column, vw: Column, vh: Column, bottom_y: floa
 def planned(edits: DataFrame, moves: DataFrame, pages: DataFrame, records: DataFrame, keys: list[str], bottom_y: float, gap: float = 12.0) -> DataFrame:
     """Each edit with ok, reason, refused_page, leaving (records that leave its page), flowed_pages, and the pages it reaches (hops, the edit's own not among them)."""
     first = started(edits, moves, pages, records, keys, bottom_y)
-    known = stepped(pages, records, keys).select(*keys, F.col("page").alias("__page"), "rotate", F.col("vw").alias("__vw"), F.col("vh").alias("__vh"), "refusal", "graphics_bottom", "steps", "lowest", "stuck", F.lit(True).alias("__there"))
+    known = stepped(pages, records, keys).select(*keys, F.col("page").alias("__page"), "rotate", F.col("vw").alias("__vw"), F.col("vh").alias("__vh"), "refusal", "graphics_bottom", "steps", "lowest", "stuck")
     wanted = first.where("carry IS NOT NULL").select(*keys, "edit", "page", "vw", "vh", "carry", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("__n")).withColumn("__page", F.col("page") + F.col("__n"))
-    met = wanted.join(known, [*keys, "__page"], "left")
-    one = F.struct("__n", F.col("__page").cast("int").alias("page"), F.coalesce("__there", F.lit(False)).alias("there"), "rotate", F.col("__vw").alias("vw"), F.col("__vh").alias("vh"), "refusal", "graphics_bottom", "steps", "lowest", "stuck")
+    met = wanted.join(known, [*keys, "__page"])
+    one = F.struct("__n", F.col("__page").cast("int").alias("page"), "rotate", F.col("__vw").alias("vw"), F.col("__vh").alias("vh"), "refusal", "graphics_bottom", "steps", "lowest", "stuck")
     rows = met.groupBy(*keys, "edit").agg(F.first("vw").alias("vw"), F.first("vh").alias("vh"), F.first("carry").alias("carry"), F.array_sort(F.collect_list(one)).alias("__follow"))
-    end = rows.select(*keys, "edit", folded(F.col("__follow"), F.col("carry"), F.col("vw"), F.col("vh"), bottom_y, gap).alias("__end"))
-    got = first.join(end, [*keys, "edit"], "left")
-    deep = F.col("__end.carry").isNotNull()
+    end = rows.select(*keys, "edit", F.size("__follow").alias("__there"), folded(F.col("__follow"), F.col("carry"), F.col("vw"), F.col("vh"), bottom_y, gap).alias("__end"))
+    got = first.join(end, [*keys, "edit"], "left").withColumn("__there", F.coalesce("__there", F.lit(0)))
+    # what no page has taken in goes on to a new one, if the document ends before the depth
+    rest = F.when(F.col("__end").isNull(), F.col("carry")).otherwise(F.col("__end.carry"))
+    fresh, deep = rest.isNotNull() & (F.col("__there") < DEPTH), rest.isNotNull() & (F.col("__there") >= DEPTH)
     reason = F.coalesce("reason", "__end.reason", F.when(deep, F.lit(DEEP)))
     where = F.when(F.col("reason").isNotNull(), F.col("page")).when(deep, F.col("page") + DEPTH + 1).otherwise(F.col("__end.refused_page")).cast("int")
+    empty = F.expr(f"cast(array() as array<struct<{HOP}>>)")
+    new = F.struct((F.col("page") + F.col("__there") + 1).cast("int").alias("page"), *(F.lit(None).cast("double").alias(c) for c in ("push", "cutoff", "lead")), F.lit(True).alias("fresh"))
+    reached = F.concat(F.coalesce("__end.hops", empty), F.when(fresh, F.array(new)).otherwise(empty))
     ok = reason.isNull()
-    hops = F.when(ok, F.col("__end.hops"))
+    hops = F.when(ok, reached)
     return got.select(*keys, "edit", F.col("page").cast("int").alias("page"), ok.alias("ok"), reason.alias("reason"), where.alias("refused_page"), F.col("leaving").cast("long").alias("leaving"), F.coalesce(F.size(hops), F.lit(0)).alias("flowed_pages"), "cutoff", "lead", hops.alias("hops"))
 
 

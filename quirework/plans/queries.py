@@ -835,10 +835,10 @@ def phase_log(t):
 assert HEIGHT == 792
 
 
-# Overflow: each text as lines of 20 characters, 15 a page; an edit pushes a page's lower lines down
+# Overflow: each text as lines of 60 characters, 15 a page; an edit pushes a page's lower lines down
 
 FLOW_SQL = """WITH RECURSIVE cut AS (
-  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,20}') AS l FROM documents WHERE doc_id IS NOT NULL)
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,60}') AS l FROM documents WHERE doc_id IS NOT NULL)
 ), r AS (
   SELECT doc_id, i // 15 AS page, i % 15 AS id, CAST(60 + 40 * (i % 15) AS DOUBLE) AS top, CAST(70 + 40 * (i % 15) + length(replace(line, ' ', '')) % 5 AS DOUBLE) AS bottom, doc_id % 2 = 0 OR (doc_id + i // 15 * 5 + i % 15 * 3) % 41 > 0 AS flows FROM cut
 ), p AS (
@@ -871,12 +871,12 @@ def flow_inputs(t):
     """(edits, moves, pages, records) of documents."""
     d, odd = F.col("doc_id"), F.col("doc_id") % 2 == 1
     texts = t("documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = texts.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,20}"), F.lit(0))).alias("i", "line"))
+    lines = texts.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,60}"), F.lit(0))).alias("i", "line"))
     page, i = F.floor(F.col("i") / 15).cast("int"), (F.col("i") % 15).cast("int")
     height = 10 + F.length(F.replace("line", F.lit(" "), F.lit(""))) % 5
     records = lines.select("doc_id", page.alias("page"), i.alias("id"), (60 + 40 * i).cast("double").alias("top"), (60 + 40 * i + height).cast("double").alias("bottom"), (~odd | ((d + page * 5 + i * 3) % 41 > 0)).alias("flows"))
-    # a page for each 300 characters, without a shuffle
-    count = F.ceil(F.length("text") / 300).cast("int")
+    # a page for each 900 characters, without a shuffle
+    count = F.ceil(F.length("text") / 900).cast("int")
     each = texts.where("text <> ''").select("doc_id", count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("page"))
     k, rare = F.col("page"), lambda hit, yes, no: F.when(odd & hit, yes).otherwise(no)
     pages = each.select(
