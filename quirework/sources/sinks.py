@@ -172,12 +172,16 @@ def file_bytes(path: str) -> Iterator[bytes]:
                 yield block
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of a written file without its header; empty cells are null."""
+def read_csv(spark: SparkSession, path: str, schema: str, dialect: str = "report") -> DataFrame:
+    """The rows of a file written in a dialect, without its header; empty cells are null.
+
+    The end of lines is given, for a reader that looks for it takes the first
+    break of a part, which may stand in a cell.
+    """
     parts = [os.path.join(local(path), p["path"]) for p in manifest_of(path)["parts"] if not os.path.basename(p["path"]).startswith("header-")]
     if not parts:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).options(multiLine=True, header=False, quote='"', escape='"', mode="FAILFAST").csv(parts)
+    return spark.read.schema(schema).options(multiLine=True, lineSep=ENDS[dialect].decode(), header=False, quote='"', escape='"', charToEscapeQuoteEscaping='"', mode="FAILFAST").csv(parts)
 
 
 def shared_folder(spark: SparkSession) -> str:

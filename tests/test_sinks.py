@@ -90,3 +90,13 @@ def test_attempts_that_no_message_names(tmp_path):
     assert whole(str(tmp_path)) == b"a\nb\nc\nd\ne"
     told = json.load(open(tmp_path / sinks.MANIFEST))
     assert [p["rows"] for p in told["parts"]] == [2, 3] and len(os.listdir(tmp_path / told["parts"][0]["path"].split("/")[0])) == 2
+
+
+@pytest.mark.parametrize("dialect", ["report", "plain"])
+def test_read_back_whatever_a_part_begins_with(spark, tmp_path, dialect):
+    """Each part begins with a cell that has a line break of another kind than the rows."""
+    cells = ["x,\n", "plain", "a\r\n,b", "end\r", ",\r", "last", "\r", "z", '"\0', "\0,", "\nq\n"]
+    rows = spark.createDataFrame(list(enumerate(cells)), "id long, cell string").repartitionByRange(5, "id").sortWithinPartitions("id")
+    sinks.write_csv(rows, str(tmp_path / "out"), dialect)
+    got = {r[0]: r[1] for r in sinks.read_csv(spark, str(tmp_path / "out"), "id long, cell string", dialect).collect()}
+    assert got == {i: "'" + c if dialect == "report" and c[0] == "\r" else c for i, c in enumerate(cells)}
