@@ -26,12 +26,12 @@ from pyspark.sql.types import _parse_datatype_string
 
 from quirework.functions.text import cmp_key, cmp_key_of, same_text
 from quirework.operators.bands import REFUSALS, SLACK
-from quirework.operators.pagefold import IDENTITY, PAGE, Matrix, Page, View, times
+from quirework.operators.pagefold import IDENTITY, PAGE, Draw, Matrix, Page, View, times
 from quirework.sources.fonts import UNKNOWN, Font
 
 #: How far beyond its rectangle an edit reaches, and the step between lines of new text as a share of the size.
 PAD, LEADING = 2.0, 1.2
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 64
 EDIT = "edit int, x double, top double, right double, bottom double, expected string, replacement string, push double"
 KEYS = ["doc_id", "page"]
 
@@ -107,6 +107,10 @@ class Anchor:
         return (" ".join(map(numeral, (*rest, y - dy))) + " Tm" + (f" {numeral(self.leading)} TL" if self.op == "TD" else "")).encode()
 
 
+#: How many operands they take.
+ANCHORS = {"Tm": 6, "Td": 2, "TD": 2, "T*": 0}
+
+
 class Anchored(Page):
     """A fold that keeps, for each record, its line's anchor, its matrices and the operator that showed it."""
 
@@ -115,16 +119,16 @@ class Anchored(Page):
         self.anchor: Anchor | None = None
         self.kept: list[tuple[Anchor | None, Matrix, Matrix, str, float, float, float]] = []
 
-    def step(self, op, args, at):
+    def step(self, op, args, n, s, e):
         self.op = op
         if op in ("'", '"') and args:
-            self.anchor = Anchor(op, args[0].s, at.e, IDENTITY, self.leading)
-        super().step(op, args, at)
-        need = {"Tm": 6, "Td": 2, "TD": 2, "T*": 0}.get(op)
+            self.anchor = Anchor(op, self.base + args[0].s, e, IDENTITY, self.leading)
+        super().step(op, args, n, s, e)
+        need = ANCHORS.get(op)
         if op == "BT":
             self.anchor = None
         elif need is not None and len(args) >= need:
-            self.anchor = Anchor(op, args[-need].s if need else at.s, at.e, self.tlm, self.leading)
+            self.anchor = Anchor(op, self.base + args[-need].s if need else s, e, self.tlm, self.leading)
 
     def emit(self, parts, start, end):
         n, state = len(self.records), (self.anchor, self.tm, self.ctm, self.op, self.stretch, self.word, self.spacing)
@@ -278,31 +282,32 @@ def edit_pages(pages: DataFrame, folded: DataFrame, edits: DataFrame) -> DataFra
 Ask = Callable[[int, int, list[dict]], list[dict]]
 
 
-def edit_each(pages: DataFrame, ask: Ask) -> DataFrame:
+def edited_row(row: dict, ask: Ask) -> tuple[bytes | None, bool, str | None] | None:
+    """content, ok and reason of a page, of one fold. Null if it is asked nothing."""
+    try:
+        page = anchored(row)
+        asked = ask(row["doc_id"], row["page"], page.records)
+        return (edited(page, row["content"], [e | {"recs": run_of(page.records, e)} for e in asked]), True, None) if asked else None
+    except (ValueError, ArithmeticError, IndexError) as e:
+        return row["content"], False, str(e)
+
+
+def edit_each(pages: DataFrame, ask: Ask, draw: Draw | None = None, contents: bool = True) -> DataFrame:
     """pages with content as edits make it, and ok and reason. What is asked of a page follows from the page itself.
 
     A page is folded once: what it is asked, the runs that match and its new
     bytes all come of that fold, in a narrow map without a shuffle. A page that
-    is asked nothing gives no row; one that can't be read is refused.
+    is asked nothing gives no row; one that can't be read is refused. draw makes
+    the page of a row that isn't one. Without contents only ok and reason come.
     """
-    kind = _parse_datatype_string(f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page int, {PAGE}, ok boolean, reason string")
+    kind = _parse_datatype_string(f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page int, {f'{PAGE}, ' if contents else ''}ok boolean, reason string")
     arrow = to_arrow_schema(kind)
 
-    def one(row: dict) -> tuple[bytes | None, bool, str | None] | None:
-        try:
-            page = anchored(row)
-            asked = ask(row["doc_id"], row["page"], page.records)
-            return (edited(page, row["content"], [e | {"recs": run_of(page.records, e)} for e in asked]), True, None) if asked else None
-        except (ValueError, ArithmeticError, IndexError) as e:
-            return row["content"], False, str(e)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(i, ROWS_AT_ONCE)
-                made = [one(row) for row in part.select([*KEYS, "box", "rotate", "content", "fonts"]).to_pylist()]
-                part = part.filter(pa.array([m is not None for m in made]))
-                new = dict(zip(("content", "ok", "reason"), zip(*filter(None, made)))) or dict.fromkeys(("content", "ok", "reason"), ())
-                yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else part[f.name] for f in arrow], schema=arrow)
+                rows = batch.slice(i, ROWS_AT_ONCE).to_pylist()
+                made = [r | dict(zip(("content", "ok", "reason"), new)) for r in (map(draw, rows) if draw else rows) if r and (new := edited_row(r, ask))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in made], f.type) for f in arrow], schema=arrow)
 
-    return pages.select(*(f.name for f in arrow if f.name not in ("ok", "reason"))).mapInArrow(run, kind)
+    return (pages if draw else pages.select(*KEYS, *(f.name for f in _parse_datatype_string(PAGE)))).mapInArrow(run, kind)
