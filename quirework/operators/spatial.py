@@ -1,8 +1,8 @@
 """Overlap by a grid of cells.
 
 Without a key, an overlap predicate makes Spark try each pair. overlap_join()
-deals both sides into cells of one size instead, joins on the page and the cell,
-and keeps pairs that share several cells at their first.
+deals both sides into blocks of cells of one size instead, joins on the page and
+the block, and keeps pairs that share several blocks at their first.
 
 Within a page, which is one row, Grid does the same in memory. Rectangles that
 take more than a quarter of their page stand in one extra cell that every record
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELL, BIG_SHARE = 48.0, 0.25
+#: A block is so many cells wide and high. Copies of a rectangle are shuffled by block, of which it touches fewer.
+BLOCK = 4
 
 
 def rect_area(r: dict) -> float:
@@ -61,10 +63,11 @@ class Grid:
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """All pairs (keys, l, r) of rectangles that share more than an edge.
 
-    Both sides: keys, id, x, top, right, bottom. A pair counts in the cell of
+    Both sides: keys, id, x, top, right, bottom. A pair counts in the block of
     the upper left corner of its common part only, so no pair comes twice and
     none has to be taken out.
     """
+    cell *= BLOCK
     grid = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
 
     def dealt(df: DataFrame, p: str) -> DataFrame:

@@ -195,3 +195,17 @@ def test_a_page_is_drawn_and_folded_in_one_pass(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_overlaps_are_joined_by_blocks_of_cells(spark):
+    import random
+
+    from quirework.operators.spatial import BLOCK, overlap_join
+
+    random.seed(3)
+    made = [[(i % 2, i, x, y, x + random.choice((0.0, 3.0, 90.0)), y + random.choice((1.0, 70.0))) for i in range(60) for x, y in [(random.uniform(-150, 150), random.choice((-64.0, 0.0, 64.0, 17.5)))]] for _ in "lr"]
+    left, right = (spark.createDataFrame(rows, "k int, id int, x double, top double, right double, bottom double") for rows in made)
+    got = overlap_join(left, right, ["k"], 16.0)
+    want = [(a[0], a[1], b[1]) for a in made[0] for b in made[1] if a[0] == b[0] and max(a[2], b[2]) < min(a[4], b[4]) and max(a[3], b[3]) < min(a[5], b[5])]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+    assert f"/ {16.0 * BLOCK}" in got._jdf.queryExecution().optimizedPlan().toString() and BLOCK > 1
