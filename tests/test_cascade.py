@@ -2,7 +2,11 @@
 
 import random
 
+import duckdb
+import pytest
+
 from quirework.operators import cascade
+from quirework.plans.queries import ORACLES, QUERIES
 
 BOTTOM, TOP, GAP = 650.0, 40.0, 12.0
 PAGES = "doc long, page int, vw double, vh double, rotate int, refusal string, graphics_bottom double"
@@ -98,3 +102,54 @@ def test_nothing(spark):
     plan = cascade.planned(e, m, p, r, ["doc"], BOTTOM)
     assert [(x["ok"], x["flowed_pages"], x["leaving"]) for x in plan.collect()] == [(True, 0, 0)]
     assert cascade.landed(plan, m, r, ["doc"], TOP).count() == 0 and cascade.planned(e.where("doc > 1"), m, p, r, ["doc"], BOTTOM).count() == 0
+
+
+def shuffled(spark, frame):
+    """Rows that the shuffles of a run write, with no table sent around whole."""
+    sc, store = spark.sparkContext._jsc.sc(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("shuffled", "")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known = set(spark.sparkContext.statusTracker().getJobIdsForGroup("shuffled"))
+        frame.write.format("noop").mode("overwrite").save()
+        sc.listenerBus().waitUntilEmpty()
+        jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup("shuffled")) - known
+        stages = {i for j in jobs for i in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+        return sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def documents(path, texts):
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    con.sql(f"COPY documents TO '{path}/documents.parquet'")
+    return con
+
+
+def test_verdicts_deal_pages_and_no_lines(spark, tmp_path):
+    """300 texts of three pages and 45 lines: an edit meets its pages by two blocks, not page by page to the depth."""
+    documents(tmp_path, [(i, "a line of text. " * 168) for i in range(300)])
+    # pages, an edit's two blocks, and what an edit has met: its group and the pages in it
+    assert shuffled(spark, QUERIES["flow_verdicts"](spark, str(tmp_path))) <= 300 * (3 + 2 + 3)
+
+
+@pytest.mark.parametrize("name", ["flow_verdicts", "flowed_records"])
+def test_odd_texts(spark, tmp_path, name):
+    """Texts that end with a line or page, long ones, wide characters, line ends, nothing."""
+    texts = ["", None, "x", "x" * 60, "x" * 899, "x" * 900, "x" * 901, "é😀\r\n" * 700, " " * 1800, "\n" * 2000, "ab cd" * 12_000, "z" * 58_500, "z" * 57_600]
+    con = documents(tmp_path, [*((i * 20 + k, t) for i, t in enumerate(texts) for k in range(20)), (None, "nobody's")])
+    plain = lambda rows: sorted(tuple(str(round(v, 6) if isinstance(v, float) else v) for v in r) for r in rows)
+    got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+    assert plain(got.select(want.columns).collect()) == plain(want.fetchall())
+
+
+def test_lines_that_are_not_there(spark):
+    """Edits and pages without lines, a page that isn't there, tops and moves that are null."""
+    own = spark.createDataFrame([(1, 0, 0, None), (1, 1, 5, []), (2, 0, 0, [(0, 600.0, 640.0, None, 20.0), (1, None, 640.0, False, 20.0), (2, 10.0, 20.0, False, None)])], "doc long, edit int, page int, lines array<struct<id: int, top: double, bottom: double, flows: boolean, dy: double>>")
+    sheets = spark.createDataFrame([(1, 0, 612.0, 792.0, 0, None, None, None), (2, 0, 612.0, 792.0, None, None, 100.0, None), (2, 1, 612.0, 792.0, 0, None, None, [(7, 600.0, None, True), (8, -40.0, 30.0, True)])], "doc long, page int, vw double, vh double, rotate int, refusal string, graphics_bottom double, lines array<struct<id: int, top: double, bottom: double, flows: boolean>>")
+    plan = cascade.planned_lines(own, sheets, ["doc"], BOTTOM, GAP)
+    assert sorted((x["doc"], x["edit"], x["ok"], x["leaving"], x["flowed_pages"]) for x in plan.collect()) == [(1, 0, True, 0, 0), (1, 1, True, 0, 0), (2, 0, True, 1, 1)]
+    assert sorted(tuple(x) for x in cascade.landed_lines(plan, own, sheets, ["doc"], TOP).collect()) == [(2, 0, 0, 0, 1, 40.0), (2, 0, 0, 2, 0, 10.0), (2, 0, 1, 7, 1, 600.0), (2, 0, 1, 8, 1, -40.0)]
