@@ -136,6 +136,12 @@ def test_verdicts_deal_pages_and_no_lines(spark, tmp_path):
     assert shuffled(spark, QUERIES["flow_verdicts"](spark, str(tmp_path))) <= 300 * (3 + 2 + 3)
 
 
+def test_landing_deals_pages_and_no_lines(spark, tmp_path):
+    documents(tmp_path, [(i, "a line of text. " * 168) for i in range(300)])
+    # besides the plan: an edit's own page, the pages that it reaches, and all pages
+    assert shuffled(spark, QUERIES["flowed_records"](spark, str(tmp_path))) <= 300 * (3 + 2 + 3 + 2 + 3 + 3)
+
+
 @pytest.mark.parametrize("name", ["flow_verdicts", "flowed_records"])
 def test_odd_texts(spark, tmp_path, name):
     """Texts that end with a line or page, long ones, wide characters, line ends, nothing."""
